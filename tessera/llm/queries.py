@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import line_dedup, token_output
+from tessera.llm import embedding_dedup, line_dedup, ngram_join, token_output
 
 QUERIES = {
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op6_token_output": token_output.op6_token_output,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLE_SQL = {
+    "op3_embedding_dedup": embedding_dedup.OP3_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op10_ngram_join": ngram_join.OP10_SQL,
 }
