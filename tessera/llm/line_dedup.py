@@ -85,7 +85,7 @@ class LineRuns:
         run = self._write(state)
         # The plain files, not the bucketed table: both sides are dealt anew, so that a line that a third of the documents hold can be split.
         repeated = spark.read.schema("h1 long, h2 long, keep long, repeated boolean").parquet(self.ws.path(run)).where("repeated").select("h1", "h2", "keep")
-        drops = lines.join(repeated, ["h1", "h2"]).where("id <> keep").groupBy("id").agg(F.collect_list("pos").alias("drops"))
+        drops = lines.join(repeated.hint("merge"), ["h1", "h2"]).where("id <> keep").groupBy("id").agg(F.collect_list("pos").alias("drops"))
         drops = self.ws.stash(drops, f"drops-{run}")
         self._push(run, 0)
         return drops
@@ -141,7 +141,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = drops[0]
     for x in drops[1:]:
         every = every.union(x)
-    return rows.join(every, "id", "left").select("id", "text", "drops").mapInArrow(_without, "id long, n_lines long, n_dropped long, kept binary")
+    # The same plan at every size: the drops grow with the documents, so they are never broadcast.
+    return rows.join(every.hint("merge"), "id", "left").select("id", "text", "drops").mapInArrow(_without, "id long, n_lines long, n_dropped long, kept binary")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
