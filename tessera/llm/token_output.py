@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import Workspace, cut_points
 
 #: Pieces of text a worker remembers the ids of.
-_REMEMBERED = 250_000
+_REMEMBERED = 800_000
 _known: dict[str, tuple] = {}
 _SPECIAL = "<|endoftext|>"
 
@@ -23,8 +25,9 @@ class _Encoder:
     """encode(text) of a byte-level BPE, piece by piece.
 
     A single space, or a single line feed, between two other characters always starts a pre-token of this family of
-    tokenizers, so a text whose white space is of these kinds only can be cut there, and each piece encoded once. Other
-    texts, and those with special tokens, are encoded whole.
+    tokenizers, so a text whose white space is of these kinds only can be cut there, and each piece encoded once: by the
+    tokenizer's own model, after its own pre-tokenizer unless the piece is a plain word. Other texts, and those with
+    special tokens, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -32,29 +35,44 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.cuttable = self.tokenizer.normalizer is None
+        self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        # How the pre-tokenizer writes the characters of plain words.
+        self.latin = {k: "".join(x for x, _ in self.split(chr(k))) for k in range(0x250)}
+        self.space = self.latin[32]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut, fresh = [], set()
         for text in texts:
             parts = None
-            if text and _SPECIAL not in text and text.split() == text.replace("\n", " ").split(" "):
+            if text and self.cuttable and _SPECIAL not in text and text.split() == text.replace("\n", " ").split(" "):
                 parts = text.replace("\n", " \n").split(" ")
                 parts[0] = "\r" + parts[0]
                 fresh.update(parts)
             cut.append(parts)
         fresh.difference_update(self.ids)
         if len(self.ids) + len(fresh) > _REMEMBERED:
-            self.ids = {}
-            fresh = {x for parts in cut if parts for x in parts}
-        names = list(fresh)
-        for name, code in zip(names, self._batch([x if x[0] == "\n" else x[1:] if x[0] == "\r" else " " + x for x in names]), strict=True):
-            self.ids[name] = code
+            # The pieces that came first are the frequent ones.
+            self.ids = dict(islice(self.ids.items(), _REMEMBERED // 4))
+            fresh = {x for parts in cut if parts for x in parts if x not in self.ids}
+        for name in fresh:
+            self.ids[name] = self._piece(name)
         get = self.ids.__getitem__
-        return [b"".join(map(get, parts)) if parts else self._batch([text])[0] if text else b"" for text, parts in zip(texts, cut, strict=True)]
+        return [b"".join(map(get, parts)) if parts else self._whole(text) if text else b"" for text, parts in zip(texts, cut, strict=True)]
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, name: str) -> bytes:
+        word, sign = (name[:-1], [name[-1]]) if name[-1] in ".," else (name, [])
+        if word.isalpha() and max(word) < "\u0250":
+            return self._codes([self.space + word.translate(self.latin), *sign])
+        text = name if name[0] == "\n" else name[1:] if name[0] == "\r" else " " + name
+        return self._codes([x for x, _ in self.split(text)])
+
+    def _codes(self, words: list[str]) -> bytes:
+        return array("I", [x.id for w in words for x in self.model.tokenize(w)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _encode(path: str, end: int):
