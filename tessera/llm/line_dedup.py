@@ -56,7 +56,7 @@ class LineRuns:
     they are merged into one of the next level.
     """
 
-    def __init__(self, ws: Workspace, fanout: int = 2):
+    def __init__(self, ws: Workspace, fanout: int = 3):
         self.ws, self.fanout = ws, fanout
         self.levels: list[list[str]] = []
         self.buckets = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -110,7 +110,7 @@ class LineRuns:
         self.levels = []
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
     """Drops lines whose key another document of smaller id holds.
 
     Returns (id, n_lines, n_dropped, kept: the text that is left, in UTF-8), one row for each row of docs. A line's key
@@ -122,18 +122,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     cuts = cut_points(rows, "id", batches)
-    batch = F.lit(0)
+    lines = ws.stash(rows.where("id is not null").mapInArrow(_lines(least), "id long, pos int, h1 long, h2 long"), "lines")
+    ranges = [F.lit(True)]
     for cut in cuts:
-        batch = batch + F.when(F.col("id") > cut, 1).otherwise(0)
-    lines = rows.where("id is not null").mapInArrow(_lines(least), "id long, pos int, h1 long, h2 long").withColumn("batch", batch)
-    lines.write.partitionBy("batch").parquet(ws.path("lines"))
-    lines = spark.read.schema("id long, pos int, h1 long, h2 long, batch int").parquet(ws.path("lines"))
+        ranges[-1] = ranges[-1] & (F.col("id") <= cut)
+        ranges.append(F.col("id") > cut)
     sorted_scan = "spark.sql.legacy.bucketedTableScan.outputOrdering"
     before = spark.conf.get(sorted_scan)
     spark.conf.set(sorted_scan, "true")
     try:
         runs = LineRuns(ws, fanout)
-        drops = [runs.add(lines.where(F.col("batch") == k).drop("batch")) for k in range(len(cuts) + 1)]
+        drops = [runs.add(lines.where(x)) for x in ranges]
         runs.close()
     finally:
         spark.conf.set(sorted_scan, before)
