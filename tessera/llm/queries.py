@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, line_dedup, ngram_join, token_output
+from tessera.llm import embedding_dedup, language, line_dedup, ngram_join, quality, token_output
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op6_token_output": token_output.op6_token_output,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_language_id": language.op8_language_id,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
