@@ -2,15 +2,64 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, mixing, ngram_join, quality, token_output
+
+#: Every leaf at most once, and most of the tokens.
+MIX = replace(mixing.PRODUCTION, budget_share=0.9, max_epochs=1)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects (score below 0.5); texts are not shuffled."""
+    return quality.keep_good(docs, quality.learning_labels(spark, sf_dir))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each near-duplicate group: five-word shingles, Jaccard similarity 0.8 or more."""
+    groups = ngram_join.ngram_components(docs, n=5, num=80, den=100)
+    extra = groups.where("id <> component_id").select(F.col("id").alias("_extra")).distinct()
+    return docs.join(extra.hint("merge"), docs["doc_id"] == extra["_extra"], "left_anti")
+
 
-STAGES: list = []
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps each leaf's part of the mixture."""
+    return mixing.keep_mixture(docs, MIX, mixing.source_domain())
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files and returns their digest."""
+    return token_output.encode_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmarks),
+    ("mixing to target weights", target_mixture),
+    ("token output", token_files),
+]
+
+#: The classifier and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents, each to what the one before has kept and written."""
+    from tessera.llm.shared import Workspace
+
+    ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = ws.stash(docs, f"stage{k}")
     return docs

@@ -228,10 +228,14 @@ def pooled_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", tex
     return ws.stash(rows.mapInArrow(_pool(shared), "id long, pooled binary"), "pooled")
 
 
+def _sampled(labels: DataFrame, sample: int) -> DataFrame:
+    some = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
+    return some.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(sample)
+
+
 def fit_quality(pooled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | float:
     """A network for labels (id, label 0 or 1), from at most `sample` labelled rows, chosen by hash. With one label alone, or none, a constant score."""
-    some = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
-    some = some.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(sample)
+    some = _sampled(labels, sample)
     got = pooled.where("id IS NOT NULL").join(F.broadcast(some), "id").groupBy("id").agg(F.first("pooled").alias("pooled"), F.first("label").alias("label")).orderBy("id").collect()
     if not got:
         return 0.5
@@ -256,6 +260,30 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return pooled.mapInArrow(_score(ws.spark.sparkContext.broadcast(net)), "id long, score double")
 
 
+def _keep(vectors, network):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, net = vectors.value, network.value
+        for batch in batches:
+            score = net.score(pool(table, *slots(*blob(batch.column("_text"))))) if batch.num_rows else np.zeros(0)
+            yield batch.select([k for k in range(batch.num_columns) if batch.schema.names[k] != "_text"]).filter(pa.array(score >= 0.5))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """docs, with all its columns, without the rows that score_quality() scores below 0.5. Each row is decided where it is read."""
+    ws = Workspace(docs.sparkSession, "quality")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    shared = ws.spark.sparkContext.broadcast(word_vectors(rows))
+    some = _sampled(labels, sample)
+    pooled = rows.join(F.broadcast(some), "id").select("id", "text").mapInArrow(_pool(shared), "id long, pooled binary")
+    net = fit_quality(pooled, labels, sample)
+    if isinstance(net, float):
+        return docs if net >= 0.5 else docs.limit(0)
+    named = docs.select("*", F.col(text_col).cast("binary").alias("_text"))
+    return named.mapInArrow(_keep(shared, ws.spark.sparkContext.broadcast(net)), docs.schema)
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
