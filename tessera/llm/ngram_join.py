@@ -198,7 +198,7 @@ def _resolve(ws: Workspace, sets: DataFrame, num: int, den: int) -> DataFrame:
         return labels
     large = ws.stash(large, "large")
     now = ws.stash(large.select("id", "cluster", "blocks").join(labels, "id"), "large-labels0")
-    k = 0
+    k, apart = 0, now.select("cluster", "label").distinct().count()
     while True:
         # A few delegates of every component meet, and merge what links.
         k += 1
@@ -213,10 +213,12 @@ def _resolve(ws: Workspace, sets: DataFrame, num: int, den: int) -> DataFrame:
         met = some.join(rooms, "cluster").withColumn("b", spread("label", "rooms", k)).join(large.select("id", "grams"), "id")
         met = met.repartition("cluster", "b").sortWithinPartitions("cluster", "b").select("cluster", "b", "id", "label", "grams")
         merged = met.mapInArrow(_verify(num, den, ["cluster", "b"]), "id long, label long, to long").select("label", "to").distinct()
-        before = now.select("cluster", "label").distinct().count()
         now = ws.stash(now.join(merged, "label", "left").select("id", "cluster", "blocks", F.coalesce("to", "label").alias("label")), f"large-labels{k}")
-        if most == 1 or now.select("cluster", "label").distinct().count() == before:
+        # Rounds go on while they halve what is apart, so there are few; the rest is compared in full below.
+        after = now.select("cluster", "label").distinct().count()
+        if most == 1 or 2 * after > apart:
             break
+        apart = after
     # What is still apart: all sets outside a cluster's largest component, against all of the cluster.
     held = now.groupBy("cluster", "label").agg(F.count("*").alias("held"))
     main = held.groupBy("cluster").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
