@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, embedding_dedup, language, line_dedup, mixing, ngram_join, quality, token_output
+from tessera.llm import decontamination, embedding_dedup, html_text, language, licenses, line_dedup, mixing, ngram_join, quality, token_output
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_output": token_output.op6_token_output,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_language_id": language.op8_language_id,
+    "op9_html_extraction": html_text.op9_html_extraction,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
