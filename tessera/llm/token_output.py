@@ -16,63 +16,80 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import Workspace, cut_points
 
 #: Pieces of text a worker remembers the ids of.
-_REMEMBERED = 800_000
+_REMEMBERED = 1_200_000
 _known: dict[str, tuple] = {}
 _SPECIAL = "<|endoftext|>"
 
 
-class _Encoder:
-    """encode(text) of a byte-level BPE, piece by piece.
+class _Whole(Exception):
+    """This text has to be encoded whole."""
 
-    A single space, or a single line feed, between two other characters always starts a pre-token of this family of
-    tokenizers, so a text whose white space is of these kinds only can be cut there, and each piece encoded once: by the
-    tokenizer's own model, after its own pre-tokenizer unless the piece is a plain word. Other texts, and those with
-    special tokens, are encoded whole.
-    """
+
+class _Pieces(dict):
+    """Ids of pieces, each a word with its space, or with the line feed that it starts with."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.cuttable = self.tokenizer.normalizer is None
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
         # How the pre-tokenizer writes the characters of plain words.
         self.latin = {k: "".join(x for x, _ in self.split(chr(k))) for k in range(0x250)}
         self.space = self.latin[32]
 
+    def __missing__(self, name: str) -> bytes:
+        word = name[1:] if name[:1] == "\n" else name
+        if word.split() != [word] or _SPECIAL in word:
+            raise _Whole
+        if name is word:
+            stem, sign = (name[:-1], [name[-1]]) if name[-1] in ".," else (name, [])
+            plain = stem.isalpha() and max(stem) < "\u0250"
+            code = self.codes([self.space + stem.translate(self.latin), *sign] if plain else [x for x, _ in self.split(" " + name)])
+        else:
+            code = self.codes([x for x, _ in self.split(name)])
+        self[name] = code
+        return code
+
+    def codes(self, words: list[str]) -> bytes:
+        return array("I", [x.id for w in words for x in self.model.tokenize(w)]).tobytes()
+
+
+class _Encoder:
+    """encode(text) of a byte-level BPE, piece by piece.
+
+    A single space, or a single line feed, between two other characters always starts a pre-token of this family of
+    tokenizers, so a text whose white space is of these kinds only can be cut there, and each piece encoded once: by the
+    tokenizer's own model, after its own pre-tokenizer unless the piece is a plain word. Other texts, and those with
+    special tokens, are encoded whole.
+    """
+
+    def __init__(self, path: str):
+        self.pieces = _Pieces(path)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut, fresh = [], set()
-        for text in texts:
-            parts = None
-            if text and self.cuttable and _SPECIAL not in text and text.split() == text.replace("\n", " ").split(" "):
-                parts = text.replace("\n", " \n").split(" ")
-                parts[0] = "\r" + parts[0]
-                fresh.update(parts)
-            cut.append(parts)
-        fresh.difference_update(self.ids)
-        if len(self.ids) + len(fresh) > _REMEMBERED:
+        if len(self.pieces) > _REMEMBERED:
             # The pieces that came first are the frequent ones.
-            self.ids = dict(islice(self.ids.items(), _REMEMBERED // 4))
-            fresh = {x for parts in cut if parts for x in parts if x not in self.ids}
-        for name in fresh:
-            self.ids[name] = self._piece(name)
-        get = self.ids.__getitem__
-        return [b"".join(map(get, parts)) if parts else self._whole(text) if text else b"" for text, parts in zip(texts, cut, strict=True)]
-
-    def _piece(self, name: str) -> bytes:
-        word, sign = (name[:-1], [name[-1]]) if name[-1] in ".," else (name, [])
-        if word.isalpha() and max(word) < "\u0250":
-            return self._codes([self.space + word.translate(self.latin), *sign])
-        text = name if name[0] == "\n" else name[1:] if name[0] == "\r" else " " + name
-        return self._codes([x for x, _ in self.split(text)])
-
-    def _codes(self, words: list[str]) -> bytes:
-        return array("I", [x.id for w in words for x in self.model.tokenize(w)]).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            first = list(islice(self.pieces.items(), _REMEMBERED // 4))
+            self.pieces.clear()
+            self.pieces.update(first)
+        return [self._one(x) if x else b"" for x in texts]
+
+    def _one(self, text: str) -> bytes:
+        known = self.pieces
+        try:
+            if not known.cuttable:
+                raise _Whole
+            parts = text.replace("\n", " \n").split(" ")
+            head = parts[0]
+            if head.split() != [head] or _SPECIAL in head:
+                raise _Whole
+            rest = b"".join(map(known.__getitem__, islice(parts, 1, None)))
+            return known.codes([x for x, _ in known.split(head)]) + rest
+        except _Whole:
+            return np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _encode(path: str, end: int):
