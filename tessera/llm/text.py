@@ -34,7 +34,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_BYTES = splitmix(256, 1)[LOWER]
+_EXACT = splitmix(256, 1)
+_BYTES = _EXACT[LOWER]
 _POWERS = np.multiply.accumulate(np.full(_FAST, 0x2545F4914F6CDD1D, np.uint64))
 _PLACES = splitmix(64, 2) | np.uint64(1)
 
@@ -68,12 +69,12 @@ def _pieces(buf: np.ndarray, off: np.ndarray, limit: int) -> Iterator[tuple[int,
         at = cut
 
 
-def tokens(buf: np.ndarray, off: np.ndarray, classes: np.ndarray = WORDS, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes of one class, A-Z lower-cased: their hashes, where each starts, and the first token of each row (and of the end).
+def tokens(buf: np.ndarray, off: np.ndarray, classes: np.ndarray = WORDS, limit: int = 1 << 20, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes of one class, A-Z lower-cased if fold: their hashes, where each starts, and the first token of each row (and of the end).
 
     classes must give 0 to white space.
     """
-    table = np.where(classes > 0, _BYTES, np.uint64(0))
+    table = np.where(classes > 0, _BYTES if fold else _EXACT, np.uint64(0))
     hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, hi in _pieces(buf, off, limit):
         raw = buf[lo:hi]
@@ -98,7 +99,7 @@ def tokens(buf: np.ndarray, off: np.ndarray, classes: np.ndarray = WORDS, limit:
             span = body[rel[i] : rel[i] + gap[i]]
             span = span[classes[span] > 0]
             if len(span) > _FAST:
-                h[i] = int.from_bytes(hashlib.blake2b(LOWER[span].tobytes(), digest_size=8).digest(), "little")
+                h[i] = int.from_bytes(hashlib.blake2b((LOWER[span] if fold else span).tobytes(), digest_size=8).digest(), "little")
         hashes.append(h)
         starts.append(st + lo)
     where = np.concatenate(starts)

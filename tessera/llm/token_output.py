@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,19 +12,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Workspace, cut_points
+from tessera.llm.text import WORDS, blob, splitmix, tokens
 
-#: Pieces of text a worker remembers the ids of.
+#: Words a worker remembers the ids of.
 _REMEMBERED = 1_200_000
-_known: dict[str, tuple] = {}
+_known: dict[str, _Encoder] = {}
 _SPECIAL = "<|endoftext|>"
+#: Bytes that are white space for some libraries, and not a space or a line feed.
+_ODD = np.zeros(256, bool)
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+#: What stands before a word: nothing, a space, a line feed.
+_LEADS = splitmix(3, 23)
+
+
+class _Words:
+    """Ids of words, by a hash of their bytes and of what stands before them."""
+
+    def __init__(self, bits: int = 20):
+        self.keys, self.entry = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.order = np.zeros(1024, np.uint64)
+        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.values, self.n, self.used = np.zeros(4096, np.int32), 0, 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, or -1."""
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(keys), -1, np.int64)
+        left, at = np.arange(len(keys)), (keys & mask).astype(np.int64)
+        while len(left):
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.entry[at[hit]]
+            on = ~hit & (there != 0)
+            left, at = left[on], (at[on] + 1) & int(mask)
+        return out
+
+    def add(self, keys: np.ndarray, codes: list[list[int] | None]) -> None:
+        """New keys, each once; a code of None is kept as such."""
+        sizes = np.array([-1 if c is None else len(c) for c in codes], np.int32)
+        flat = np.array([x for c in codes if c for x in c], np.int32)
+        total = np.maximum(sizes, 0)
+        first = self.used + np.cumsum(total) - total
+        new, used = self.n + len(keys), self.used + len(flat)
+        self.order, self.start, self.count = (_room(x, new) for x in (self.order, self.start, self.count))
+        self.values = _room(self.values, used)
+        self.order[self.n : new], self.start[self.n : new], self.count[self.n : new] = keys, first, sizes
+        self.values[self.used : used] = flat
+        before, self.n, self.used = self.n, new, used
+        if self.n > len(self.keys) // 2:
+            bits = int(np.ceil(np.log2(self.n * 4)))
+            self.keys, self.entry, before = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
+        self._place(np.arange(before, self.n))
+
+    def _place(self, entries: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at = (self.order[entries] & np.uint64(mask)).astype(np.int64)
+        while len(entries):
+            free = np.flatnonzero(self.keys[at] == 0)
+            slot, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[slot], self.entry[slot] = self.order[entries[won]], entries[won]
+            on = np.ones(len(entries), bool)
+            on[won] = False
+            # What lost its slot to another looks there again, and goes on.
+            entries, at = entries[on], (at[on] + 1) & mask
+
+    def forget(self, n: int) -> None:
+        """Keeps the first n entries: the words that came first are the frequent ones."""
+        self.n = min(n, self.n)
+        self.used = int(self.start[self.n - 1] + max(0, self.count[self.n - 1])) if self.n else 0
+        self.keys[:] = 0
+        self._place(np.arange(self.n))
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, len(x) * 3 // 2), x.dtype)
+    out[: len(x)] = x
+    return out
 
 
-class _Whole(Exception):
-    """This text has to be encoded whole."""
-
+class _Encoder:
+    """encode() of a byte-level BPE, word by word.
 
-class _Pieces(dict):
-    """Ids of pieces, each a word with its space, or with the line feed that it starts with."""
+    A single space, or a single line feed, between two other characters always starts a pre-token of this family of
+    tokenizers, so a text whose white space is of these kinds only can be cut there, and each word encoded once: by the
+    tokenizer's own model, after its own pre-tokenizer unless the word is plain. Other texts, and those with special
+    tokens, are encoded whole. Words are told apart by 64-bit hashes.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,58 +112,86 @@ class _Pieces(dict):
         # How the pre-tokenizer writes the characters of plain words.
         self.latin = {k: "".join(x for x, _ in self.split(chr(k))) for k in range(0x250)}
         self.space = self.latin[32]
-
-    def __missing__(self, name: str) -> bytes:
-        word = name[1:] if name[:1] == "\n" else name
+        self.words = _Words()
+
+    def encode(self, buf: np.ndarray, off: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each with `end` behind, and how many each row has."""
+        rows = len(off) - 1
+        h, where, first = tokens(buf, off, fold=False)
+        row = np.repeat(np.arange(rows), np.diff(first))
+        odd = self._odd(buf, off)
+        used = np.flatnonzero(~odd[row])
+        lead = np.where(where[used] == off[row[used]], 0, np.where(buf[where[used] - 1] == 10, 2, 1))
+        keys = h[used] ^ _LEADS[lead]
+        keys[keys == 0] = 1
+        at = self.words.find(keys)
+        if (new := np.flatnonzero(at < 0)).size:
+            names, pick = np.unique(keys[new], return_index=True)
+            pick = new[pick]
+            if self.words.n + len(names) > _REMEMBERED:
+                self.words.forget(_REMEMBERED // 4)
+                at = self.words.find(keys)
+                new = np.flatnonzero(at < 0)
+                names, pick = np.unique(keys[new], return_index=True)
+                pick = new[pick]
+            # In the order in which they came.
+            order = np.argsort(pick, kind="stable")
+            names, pick = names[order], pick[order]
+            last = np.append(where, off[-1])
+            word = used[pick]
+            ends = np.where(first[row[word] + 1] == word + 1, off[row[word] + 1], last[word + 1] - 1)
+            codes = [self._code(buf[a:b].tobytes().decode("utf-8", "replace"), k) for a, b, k in zip(where[word].tolist(), ends.tolist(), lead[pick].tolist(), strict=True)]
+            self.words.add(names, codes)
+            at[new] = self.words.find(keys[new])
+        count = self.words.count[at]
+        odd[row[used[count < 0]]] = True
+        good = ~odd[row[used]]
+        at, owner, count = at[good], row[used][good], count[good].astype(np.int64)
+        inner = np.cumsum(count) - count
+        flat = self.words.values[np.repeat(self.words.start[at] - inner, count) + np.arange(int(count.sum()))]
+        sizes = np.bincount(owner, count, rows).astype(np.int64) if len(owner) else np.zeros(rows, np.int64)
+        whole = {r: self.tokenizer.encode(buf[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids for r in np.flatnonzero(odd).tolist()}
+        plain = sizes.copy()
+        for r, ids in whole.items():
+            sizes[r], plain[r] = len(ids), 0
+        sizes += len(end)
+        begin = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.int32)
+        out[np.repeat(begin - (np.cumsum(plain) - plain), plain) + np.arange(len(flat))] = flat
+        for r, ids in whole.items():
+            out[begin[r] : begin[r] + len(ids)] = ids
+        for k, x in enumerate(end):
+            out[begin + sizes - len(end) + k] = x
+        return out, sizes
+
+    def _odd(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows with white space other than single spaces and line feeds between words."""
+        rows = len(off) - 1
+        odd = np.full(rows, not self.cuttable)
+        lo, hi = int(off[0]), int(off[-1])
+        raw = buf[lo:hi]
+        if not len(raw):
+            return odd
+        blank = WORDS[raw] == 0
+        held = np.flatnonzero(np.diff(off))
+        odd[held] |= blank[off[held] - lo] | blank[off[held + 1] - 1 - lo]
+        double = np.flatnonzero(blank[1:] & blank[:-1]) + 1 + lo
+        # Blanks at the ends of two rows are found above.
+        for places in (double, np.flatnonzero(_ODD[raw]) + lo):
+            odd[np.searchsorted(off, places, "right") - 1] = True
+        return odd
+
+    def _code(self, word: str, lead: int) -> list[int] | None:
         if word.split() != [word] or _SPECIAL in word:
-            raise _Whole
-        if name is word:
-            stem, sign = (name[:-1], [name[-1]]) if name[-1] in ".," else (name, [])
-            plain = stem.isalpha() and max(stem) < "\u0250"
-            code = self.codes([self.space + stem.translate(self.latin), *sign] if plain else [x for x, _ in self.split(" " + name)])
-        else:
-            code = self.codes([x for x, _ in self.split(name)])
-        self[name] = code
-        return code
-
-    def codes(self, words: list[str]) -> bytes:
-        return array("I", [x.id for w in words for x in self.model.tokenize(w)]).tobytes()
-
+            return None
+        if lead == 1:
+            stem, sign = (word[:-1], [word[-1]]) if word[-1] in ".," else (word, [])
+            if stem.isalpha() and max(stem) < "\u0250":
+                return self._ids([self.space + stem.translate(self.latin), *sign])
+        return self._ids([x for x, _ in self.split(("", " ", "\n")[lead] + word)])
 
-class _Encoder:
-    """encode(text) of a byte-level BPE, piece by piece.
-
-    A single space, or a single line feed, between two other characters always starts a pre-token of this family of
-    tokenizers, so a text whose white space is of these kinds only can be cut there, and each piece encoded once: by the
-    tokenizer's own model, after its own pre-tokenizer unless the piece is a plain word. Other texts, and those with
-    special tokens, are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        self.pieces = _Pieces(path)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.pieces) > _REMEMBERED:
-            # The pieces that came first are the frequent ones.
-            first = list(islice(self.pieces.items(), _REMEMBERED // 4))
-            self.pieces.clear()
-            self.pieces.update(first)
-        return [self._one(x) if x else b"" for x in texts]
-
-    def _one(self, text: str) -> bytes:
-        known = self.pieces
-        try:
-            if not known.cuttable:
-                raise _Whole
-            parts = text.replace("\n", " \n").split(" ")
-            head = parts[0]
-            if head.split() != [head] or _SPECIAL in head:
-                raise _Whole
-            rest = b"".join(map(known.__getitem__, islice(parts, 1, None)))
-            return known.codes([x for x, _ in known.split(head)]) + rest
-        except _Whole:
-            return np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, words: list[str]) -> list[int]:
+        return [x.id for w in words for x in self.model.tokenize(w)]
 
 
 def _encode(path: str, end: int):
@@ -97,10 +199,11 @@ def _encode(path: str, end: int):
         if path not in _known:
             _known.clear()
             _known[path] = _Encoder(path)
-        tail, at, part = np.array([end], "<u4").tobytes(), 0, None
+        at, part = 0, None
         for batch in batches:
-            codes = [x + tail for x in _known[path].encode([x or "" for x in batch.column("text").to_pylist()])]
-            sizes = np.array([len(x) // 4 for x in codes], np.int64)
+            if not batch.num_rows:
+                continue
+            flat, sizes = _known[path].encode(*blob(batch.column("text")), [end])
             parts = batch.column("part").to_numpy()
             if part != parts[0]:
                 at = 0
@@ -110,7 +213,7 @@ def _encode(path: str, end: int):
             for k in np.flatnonzero(parts[1:] != parts[:-1]) + 1:
                 starts[k:] -= starts[k]
             at, part = int(starts[-1] + sizes[-1]), parts[-1]
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(codes), np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("id"), pa.array(starts), pa.array(sizes), ids], ["part", "doc_id", "start_in_part", "n_tokens", "ids"])
 
     return run
@@ -127,7 +230,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     cuts = cut_points(rows, "id", parts)
     bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
     dealt = rows.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: F.col("id") > x)))).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "id")

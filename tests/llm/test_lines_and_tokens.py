@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm import text as T
+from tessera.llm import token_output
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.token_output import _Encoder, encode_documents, read_tokens, token_digest, write_tokens
 
@@ -63,21 +64,36 @@ def test_lines_empty_null_and_repeated_ids(spark):
 TEXTS = ["", "one", " lead", "trail ", "a  b", "it's we'll\nx\n\ny", "naïve café z 12 345", "tab\tx", "A<|endoftext|>B c", "x" * 5000, "日本 語\nテキスト", "a \nb\n c"]
 
 
-def test_encoder_matches_whole_encoding():
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    plain = Tokenizer.from_file(path)
-    for text, got in zip(TEXTS, _Encoder(path).encode(TEXTS), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+def encoded(encoder, texts):
+    raw = [t.encode("utf-8") for t in texts]
+    flat, sizes = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), [0])
+    cuts = np.cumsum(sizes)
+    return [flat[a:b].tolist() for a, b in zip(cuts - sizes, cuts, strict=True)]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab1 \n\t.'é \x1c!日")), max_size=30))
-def test_encoder_on_any_white_space(text):
+def test_encoder_matches_whole_encoding(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t, add_special_tokens=False).ids + [0] for t in TEXTS]
+    encoder = _Encoder(path)
+    for _ in range(2):
+        assert encoded(encoder, TEXTS) == want
+    assert [encoded(encoder, [t])[0] for t in TEXTS] == want
+    monkeypatch.setattr(token_output, "_REMEMBERED", 8)
+    small = _Encoder(path)
+    for k in range(40):
+        some = [f"word{j} w{j}x {j}, w{j % 7}" for j in range(k, k + 9)]
+        assert encoded(small, some) == [plain.encode(t, add_special_tokens=False).ids + [0] for t in some]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab1 \n\t.'é \x1c!日\u2003")), max_size=30), max_size=4))
+def test_encoder_on_any_white_space(texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     if not hasattr(test_encoder_on_any_white_space, "pair"):
         test_encoder_on_any_white_space.pair = _Encoder(path), Tokenizer.from_file(path)
     ours, plain = test_encoder_on_any_white_space.pair
-    assert np.frombuffer(ours.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert encoded(ours, texts) == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
 
 
 def test_token_files_round_trip(spark, tmp_path):
