@@ -293,6 +293,28 @@ def f08_dictionary_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.decode(coded, "p_brand", codes).select("p_partkey", "p_brand", "code")
 
 
+@_spark("SELECT c_custkey, c_custkey AS plain, c_custkey % 1000 AS hex, CAST(-1 AS BIGINT) AS bad FROM customer")
+def f02_parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers written in tens and sixteens, and one that is none, read back."""
+    key = F.col("c_custkey")
+    texts = load(spark, sf_dir, "customer").select(key, key.cast("string").alias("a"), F.hex(key % 1000).alias("b"), F.concat(F.lit("x."), key.cast("string")).alias("c"))
+    return texts.select("c_custkey", scalars.integer_of(F.col("a")).alias("plain"), scalars.integer_of(F.col("b"), 16).alias("hex"), F.coalesce(scalars.integer_of(F.col("c")), F.lit(-1)).cast("long").alias("bad"))
+
+
+@_spark("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, CAST(((hour(o_orderdate) * 60 + minute(o_orderdate)) * 60 + second(o_orderdate)) * 1000 AS BIGINT) AS t FROM orders")
+def f03_parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates and times of day by their text patterns."""
+    texts = load(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.date_format("o_orderdate", "HH:mm:ss").alias("t"))
+    return texts.select("o_orderkey", text.parsed(F.col("d"), "DATE").cast("string").alias("d"), text.parsed(F.col("t"), "TIME").alias("t"))
+
+
+@_spark("SELECT CAST(k AS BIGINT) AS k, round(1 - exp(-k / 1000.0), 9) AS p, round(-1000.0 * ln(1 - k / 500.0), 6) AS draw FROM range(1, 500) t(k)")
+def f10_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure probabilities, and draws of the exponential distribution from even quantiles."""
+    k = F.col("id")
+    return spark.range(1, 500).select(k.alias("k"), F.round(scalars.failure_probability(k, F.lit(1000.0)), 9).alias("p"), F.round(scalars.exponential(1000.0, k / 500.0), 6).alias("draw"))
+
+
 _both("f12_substring", "SELECT c_custkey, substring(c_mktsegment FROM 1 FOR 3) AS s FROM {customer}")
 _both("f13_case", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class FROM {part}")
 
@@ -313,6 +335,28 @@ def m01_equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.groupBy(F.col("range_id").cast("long").alias("range_id")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("greatest"))
 
 
+@_spark("SELECT CASE WHEN p_name < 'g' THEN 0 WHEN p_name < 'p' THEN 1 ELSE 2 END AS range_id, count(*) AS n FROM part GROUP BY 1")
+def m03_assign_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range numbers of string keys."""
+    cuts = [R.Range(None, "g"), R.Range("g", "p"), R.Range("p", None)]
+    return load(spark, sf_dir, "part").groupBy(R.range_id(F.col("p_name"), cuts).alias("range_id")).agg(F.count("*").alias("n"))
+
+
+@_spark("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS astray FROM lineitem")
+def m08_repartition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dealt by ranges of one key and again by another's: all are there, each in its range's partition."""
+    lines = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    for key in ("l_partkey", "l_suppkey"):
+        lines = R.deal(lines, key, R.design(lines, key, 6)).withColumn("_at", F.spark_partition_id())
+    return lines.agg(F.count("*").alias("n_rows"), F.sum(F.when(F.col("range_id") != F.col("_at"), 1).otherwise(0)).cast("long").alias("astray"))
+
+
+@_spark("SELECT o_orderstatus, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT * FROM orders WHERE o_orderkey % 2 = 1) GROUP BY o_orderstatus")
+def u01_union_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    return orders.where("o_orderkey % 2 = 0").unionByName(orders.where("o_orderkey % 2 = 1")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
 BY_PART = Layout("by_part", "l_partkey", 4, sort_key="l_partkey")
 BY_SUPPLIER = Layout("by_supplier", "l_suppkey", 4, sort_key="l_shipdate", codec="gzip")
 BY_PART_DATE = Layout("by_part_date", "l_partkey", 4, sort_key="l_shipdate")
@@ -392,6 +436,21 @@ QUERIES["r01_recoverability"] = r01_recoverability
 _TINY = recovery.Cluster(racks=6, nodes_per_rack=4, gb_per_node=20.0, mttf_node=3_000.0, mttf_rack=20_000.0)
 
 
+def r02_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of nodes and racks for some seeds, a task for each."""
+    seeds = spark.createDataFrame([(k,) for k in range(8)], "seed long").repartition(8)
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for seed in frame["seed"]:
+                found = recovery.schedule(_TINY, 100_000.0, int(seed))
+                yield pd.DataFrame({"seed": int(seed), "minutes": [t for t, _, _ in found], "kind": [k for _, k, _ in found], "which": [n for _, _, n in found]})
+
+    return seeds.mapInPandas(run, "seed long, minutes double, kind string, which long")
+
+
 def r03_block_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated time to a loss of a replicated block store, for two and three copies."""
     policies = {f"{k} copies": {"replication": k, "per_node": 40} for k in (1, 2, 3)}
@@ -409,4 +468,4 @@ def r04_fractured_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.summary(recovery.run_simulations(spark, recovery.simulate_fractures, range(12), policies, _TINY, 100_000.0))
 
 
-QUERIES |= {"r03_block_store": r03_block_store, "r04_fractured_store": r04_fractured_store}
+QUERIES |= {"r02_schedule": r02_schedule, "r03_block_store": r03_block_store, "r04_fractured_store": r04_fractured_store}
