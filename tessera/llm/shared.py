@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,20 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, and only in local mode, one of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="tessera-"))
-        atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
-    return _own_root[0]
+from tessera import storage
 
 
 class Workspace:
@@ -35,7 +18,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = storage.scratch(spark, name)
         # Texts are long: small Arrow batches keep the Python workers small.
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
@@ -49,12 +32,10 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Deletes written tables, and shuffle files of plans that nothing refers to any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            storage.delete(self.spark, self.path(name))
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
 
 def connected_components(ws: Workspace, edges: DataFrame, tag: str) -> DataFrame:

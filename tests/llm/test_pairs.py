@@ -126,3 +126,13 @@ def test_near_duplicates(spark, monkeypatch, block):
 
 def test_near_duplicates_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_ngram_join_long_texts(spark):
+    rng = random.Random(9)
+    long_ = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    near = list(long_)
+    near[5] = near[70_000] = "changed"
+    rows = [(1, " ".join(near)), (2, " ".join(long_)), (3, "y" * 300_000), (4, "y" * 300_000), (5, "y" * 299_999 + "z"), (6, " ".join(long_[:60_000]))]
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
