@@ -20,7 +20,7 @@ class Workspace:
         self.spark = spark
         self.root = storage.scratch(spark, name)
         # Texts are long: small Arrow batches keep the Python workers small.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -69,7 +69,7 @@ def _pieces(buf: np.ndarray, off: np.ndarray, limit: int) -> Iterator[tuple[int,
         at = cut
 
 
-def tokens(buf: np.ndarray, off: np.ndarray, classes: np.ndarray = WORDS, limit: int = 1 << 20, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(buf: np.ndarray, off: np.ndarray, classes: np.ndarray = WORDS, limit: int = 1 << 18, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes of one class, A-Z lower-cased if fold: their hashes, where each starts, and the first token of each row (and of the end).
 
     classes must give 0 to white space.

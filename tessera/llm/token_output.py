@@ -59,8 +59,8 @@ class _Words:
         self.order[self.n : new], self.start[self.n : new], self.count[self.n : new] = keys, first, sizes
         self.values[self.used : used] = flat
         before, self.n, self.used = self.n, new, used
-        if self.n > len(self.keys) // 2:
-            bits = int(np.ceil(np.log2(self.n * 4)))
+        if 3 * self.n > 2 * len(self.keys):
+            bits = int(np.ceil(np.log2(self.n * 2)))
             self.keys, self.entry, before = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
         self._place(np.arange(before, self.n))
 
