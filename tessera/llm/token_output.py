@@ -129,7 +129,7 @@ class _Encoder:
             names, pick = np.unique(keys[new], return_index=True)
             pick = new[pick]
             if self.words.n + len(names) > _REMEMBERED:
-                self.words.forget(_REMEMBERED // 4)
+                self.words.forget(_REMEMBERED * 3 // 4)
                 at = self.words.find(keys)
                 new = np.flatnonzero(at < 0)
                 names, pick = np.unique(keys[new], return_index=True)
@@ -140,7 +140,8 @@ class _Encoder:
             last = np.append(where, off[-1])
             word = used[pick]
             ends = np.where(first[row[word] + 1] == word + 1, off[row[word] + 1], last[word + 1] - 1)
-            codes = [self._code(buf[a:b].tobytes().decode("utf-8", "replace"), k) for a, b, k in zip(where[word].tolist(), ends.tolist(), lead[pick].tolist(), strict=True)]
+            raw = buf.tobytes()
+            codes = [self._code(raw[a:b].decode("utf-8", "replace"), k) for a, b, k in zip(where[word].tolist(), ends.tolist(), lead[pick].tolist(), strict=True)]
             self.words.add(names, codes)
             at[new] = self.words.find(keys[new])
         count = self.words.count[at]
@@ -182,12 +183,17 @@ class _Encoder:
         return odd
 
     def _code(self, word: str, lead: int) -> list[int] | None:
+        if lead == 1:
+            sign = word[-1] if word[-1] in ".," else ""
+            stem = word[:-1] if sign else word
+            if stem.isalpha():
+                # The pre-tokenizer writes ASCII letters as they are.
+                plain = stem if stem.isascii() else stem.translate(self.latin) if max(stem) < "\u0250" else ""
+                if plain:
+                    ids = [x.id for x in self.model.tokenize(self.space + plain)]
+                    return ids + self._ids([sign]) if sign else ids
         if word.split() != [word] or _SPECIAL in word:
             return None
-        if lead == 1:
-            stem, sign = (word[:-1], [word[-1]]) if word[-1] in ".," else (word, [])
-            if stem.isalpha() and max(stem) < "\u0250":
-                return self._ids([self.space + stem.translate(self.latin), *sign])
         return self._ids([x for x, _ in self.split(("", " ", "\n")[lead] + word)])
 
     def _ids(self, words: list[str]) -> list[int]:
