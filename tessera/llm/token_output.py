@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -47,10 +48,8 @@ class _Words:
             left, at = left[on], (at[on] + 1) & int(mask)
         return out
 
-    def add(self, keys: np.ndarray, codes: list[list[int] | None]) -> None:
-        """New keys, each once; a code of None is kept as such."""
-        sizes = np.array([-1 if c is None else len(c) for c in codes], np.int32)
-        flat = np.array([x for c in codes if c for x in c], np.int32)
+    def add(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """New keys, each once, with their ids one after the other; a size of -1 marks a word that cannot be cut out."""
         total = np.maximum(sizes, 0)
         first = self.used + np.cumsum(total) - total
         new, used = self.n + len(keys), self.used + len(flat)
@@ -112,6 +111,7 @@ class _Encoder:
         # How the pre-tokenizer writes the characters of plain words.
         self.latin = {k: "".join(x for x, _ in self.split(chr(k))) for k in range(0x250)}
         self.space = self.latin[32]
+        self.signs = {x: [t.id for t in self.model.tokenize(x)] for x in ".,"}
         self.words = _Words()
 
     def encode(self, buf: np.ndarray, off: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +141,7 @@ class _Encoder:
             word = used[pick]
             ends = np.where(first[row[word] + 1] == word + 1, off[row[word] + 1], last[word + 1] - 1)
             raw = buf.tobytes()
-            codes = [self._code(raw[a:b].decode("utf-8", "replace"), k) for a, b, k in zip(where[word].tolist(), ends.tolist(), lead[pick].tolist(), strict=True)]
-            self.words.add(names, codes)
+            self.words.add(names, *self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(where[word].tolist(), ends.tolist(), strict=True)], lead[pick].tolist()))
             at[new] = self.words.find(keys[new])
         count = self.words.count[at]
         odd[row[used[count < 0]]] = True
@@ -182,22 +181,35 @@ class _Encoder:
             odd[np.searchsorted(off, places, "right") - 1] = True
         return odd
 
-    def _code(self, word: str, lead: int) -> list[int] | None:
-        if lead == 1:
-            sign = word[-1] if word[-1] in ".," else ""
-            stem = word[:-1] if sign else word
-            if stem.isalpha():
-                # The pre-tokenizer writes ASCII letters as they are.
-                plain = stem if stem.isascii() else stem.translate(self.latin) if max(stem) < "\u0250" else ""
-                if plain:
-                    ids = [x.id for x in self.model.tokenize(self.space + plain)]
-                    return ids + self._ids([sign]) if sign else ids
-        if word.split() != [word] or _SPECIAL in word:
-            return None
-        return self._ids([x for x, _ in self.split(("", " ", "\n")[lead] + word)])
-
-    def _ids(self, words: list[str]) -> list[int]:
-        return [x.id for w in words for x in self.model.tokenize(w)]
+    def _learn(self, words: list[str], leads: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids."""
+        tokenize, latin, space, signs = self.model.tokenize, self.latin, self.space, self.signs
+        sizes, flat = [], []
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects, none in a cycle
+        try:
+            for word, lead in zip(words, leads, strict=True):
+                if lead == 1:
+                    sign = signs.get(word[-1])
+                    stem = word[:-1] if sign else word
+                    if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+                        # The pre-tokenizer writes ASCII letters as they are.
+                        ids = [x.id for x in tokenize(space + (stem if stem.isascii() else stem.translate(latin)))]
+                        if sign:
+                            ids += sign
+                        sizes.append(len(ids))
+                        flat += ids
+                        continue
+                if word.split() != [word] or _SPECIAL in word:
+                    sizes.append(-1)
+                    continue
+                ids = [x.id for w, _ in self.split(("", " ", "\n")[lead] + word) for x in tokenize(w)]
+                sizes.append(len(ids))
+                flat += ids
+        finally:
+            if collecting:
+                gc.enable()
+        return np.array(sizes, np.int32), np.array(flat, np.int32)
 
 
 def _encode(path: str, end: int):
@@ -241,7 +253,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
     dealt = rows.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: F.col("id") > x)))).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "id")
     coded = dealt.mapInArrow(_encode(tokenizer, end), "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>")
-    writer = coded.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", row_group_mb << 20).option("parquet.page.size", page_kb << 10)
+    writer = coded.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("parquet.block.size", row_group_mb << 20).option("parquet.page.size", page_kb << 10)
     if encoding == "delta":
         writer = writer.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "v2")
     elif encoding != "dictionary":
@@ -268,7 +280,7 @@ def part_starts(table: DataFrame) -> DataFrame:
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
-        off, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        off, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).view("<u4")
         sums = [zlib.crc32(flat[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(sums, pa.int64())], ["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32"])
 
