@@ -21,8 +21,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each near-duplicate group: five-word shingles, Jaccard similarity 0.8 or more."""
     groups = ngram_join.ngram_components(docs, n=5, num=80, den=100)
-    extra = groups.where("id <> component_id").select(F.col("id").alias("_extra")).distinct()
-    return docs.join(extra.hint("merge"), docs["doc_id"] == extra["_extra"], "left_anti")
+    extra = groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(extra.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

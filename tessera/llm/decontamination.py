@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace
+from tessera.llm.shared import Workspace, free_name
 from tessera.llm.text import tokens, windows
 
 #: Words of a seed, and of the shortest tile.
@@ -183,13 +183,13 @@ def _find(shared, coverage: float):
     return run
 
 
-def _keep(shared, coverage: float):
+def _keep(shared, coverage: float, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
-            bad = {g[0] for g in items.matches(batch.column("_text").to_pylist(), coverage)}
+            bad = {g[0] for g in items.matches(batch.column(name).to_pylist(), coverage)}
             keep = pa.array([k not in bad for k in range(batch.num_rows)])
-            yield batch.select([k for k in range(batch.num_columns) if batch.schema.names[k] != "_text"]).filter(keep)
+            yield batch.select([k for k in range(batch.num_columns) if batch.schema.names[k] != name]).filter(keep)
 
     return run
 
@@ -219,9 +219,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     ws = Workspace(docs.sparkSession, "decontamination")
     out = docs
     for items in benchmark_blocks(benchmark, item_col, item_text_col, least, block_words):
-        # Under a name of its own, as docs may have any columns.
-        named = out.select("*", F.col(text_col).alias("_text"))
-        out = named.mapInArrow(_keep(ws.spark.sparkContext.broadcast(items), coverage), out.schema)
+        name = free_name(docs, "text_copy")
+        named = out.withColumn(name, F.col(text_col).cast("string"))
+        out = named.mapInArrow(_keep(ws.spark.sparkContext.broadcast(items), coverage, name), out.schema)
     return out
 
 

@@ -15,7 +15,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace
+from tessera.llm.shared import Workspace, free_name
 
 LEVELS = ("domain", "lang", "source")
 
@@ -144,10 +144,11 @@ def keep_mixture(docs: DataFrame, mix: Mix, domain: Column, lang: str = "lang",
     """The rows of docs, once each and with all columns, that select_mixture() takes. Texts are not shuffled."""
     ws = Workspace(docs.sparkSession, "mixing")
     rows = ws.stash(_rows(docs, domain, lang, source, id_col, text_col), "rows")
-    plan = mixture_plan(ws, rows, mix).select(*(F.col(k).alias(f"_mix_{k}") for k in (*LEVELS, "whole", "cut")))
-    on = domain.eqNullSafe(F.col("_mix_domain")) & F.col(lang).eqNullSafe(F.col("_mix_lang")) & F.col(source).eqNullSafe(F.col("_mix_source"))
-    taken = (F.col("_mix_whole") > 0) | (_turn(mix, F.col("_mix_whole"), F.col(id_col)) <= F.col("_mix_cut"))
-    return docs.join(F.broadcast(plan), on).where(taken).select(*(docs[c] for c in docs.columns))
+    names = {k: free_name(docs, f"mix_{k}") for k in (*LEVELS, "whole", "cut")}
+    plan = mixture_plan(ws, rows, mix).select(*(F.col(k).alias(x) for k, x in names.items()))
+    on = domain.eqNullSafe(F.col(names["domain"])) & F.col(lang).eqNullSafe(F.col(names["lang"])) & F.col(source).eqNullSafe(F.col(names["source"]))
+    taken = (F.col(names["whole"]) > 0) | (_turn(mix, F.col(names["whole"]), F.col(id_col)) <= F.col(names["cut"]))
+    return docs.join(F.broadcast(plan), on).where(taken).drop(*names.values())
 
 
 def source_domain(source: str = "source") -> Column:

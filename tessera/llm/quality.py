@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace
+from tessera.llm.shared import Workspace, free_name
 from tessera.llm.text import blob, splitmix, tokens
 
 #: Slots for words, dimensions of a word vector, non-zero places of an index vector, neighbours on each side.
@@ -260,12 +260,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return pooled.mapInArrow(_score(ws.spark.sparkContext.broadcast(net)), "id long, score double")
 
 
-def _keep(vectors, network):
+def _keep(vectors, network, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, net = vectors.value, network.value
         for batch in batches:
-            score = net.score(pool(table, *slots(*blob(batch.column("_text"))))) if batch.num_rows else np.zeros(0)
-            yield batch.select([k for k in range(batch.num_columns) if batch.schema.names[k] != "_text"]).filter(pa.array(score >= 0.5))
+            score = net.score(pool(table, *slots(*blob(batch.column(name))))) if batch.num_rows else np.zeros(0)
+            yield batch.select([k for k in range(batch.num_columns) if batch.schema.names[k] != name]).filter(pa.array(score >= 0.5))
 
     return run
 
@@ -280,8 +280,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     net = fit_quality(pooled, labels, sample)
     if isinstance(net, float):
         return docs if net >= 0.5 else docs.limit(0)
-    named = docs.select("*", F.col(text_col).cast("binary").alias("_text"))
-    return named.mapInArrow(_keep(shared, ws.spark.sparkContext.broadcast(net)), docs.schema)
+    name = free_name(docs, "text_bytes")
+    return docs.withColumn(name, F.col(text_col).cast("binary")).mapInArrow(_keep(shared, ws.spark.sparkContext.broadcast(net), name), docs.schema)
 
 
 def remainder(column: str, n: int) -> Column:

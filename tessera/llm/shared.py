@@ -91,6 +91,14 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield now, pa.Table.from_batches(held)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that starts like `name` and that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut_points(df: DataFrame, column: str, n: int) -> list[int]:
     """At most n - 1 ascending values that cut df into n ranges of about as many rows."""
     known = df.select(column).where(F.col(column).isNotNull())

@@ -48,7 +48,7 @@ def test_stages_against_their_operators(spark):
 
 def test_stages_take_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, None, "en", None, 0), (3, "some words here " * 30_000, None, "s", 1), (4, "x", "en", "s", 1), (4, "x", "en", "s", 1)]
-    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("whole", F.lit(1)).withColumn("id", F.lit("a"))
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({k: F.lit(1) for k in ("whole", "id", "mix_whole", "text_bytes", "text_copy", "cut", "label", "n", "domain", "component_id")})
     for docs in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, SF)
