@@ -102,10 +102,9 @@ class Templates:
             need = self.threshold * (low + self.sizes[k]) / 2
             if len(at) < need - 1e-9:
                 continue
-            for p in range(len(at)):
-                ends = at[p : np.searchsorted(at, at[p] + high, "left")]
-                if len(ends) < need - 1e-9:
-                    continue
+            upto = np.searchsorted(at, at + high, "left")
+            for p in np.flatnonzero(upto - np.arange(len(at)) >= need - 1e-9):
+                ends = at[p : upto[p]]
                 left, both, best = Counter(), 0, None
                 for e in ends.tolist():
                     c = int(code[e])

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,8 +251,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     cuts = cut_points(rows, "id", parts)
-    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    dealt = rows.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: F.col("id") > x)))).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "id")
+    # A binary search for each row. Equal ids get the same part, and the order of ids is that of parts.
+    splits = [float("-inf"), *sorted({float(x) for x in cuts}), float("inf")]
+    if not cuts:
+        splits.insert(1, 0.0)
+    place = Bucketizer(splits=splits, inputCol="place", outputCol="bucket", handleInvalid="keep").transform(rows.withColumn("place", F.col("id").cast("double")))
+    dealt = place.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(F.col("bucket").cast("int"))).select("id", "text", "part").repartitionById(len(splits) - 1, F.col("part")).sortWithinPartitions("part", "id")
     coded = dealt.mapInArrow(_encode(tokenizer, end), "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>")
     writer = coded.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("parquet.block.size", row_group_mb << 20).option("parquet.page.size", page_kb << 10)
     if encoding == "delta":
