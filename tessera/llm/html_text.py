@@ -38,7 +38,13 @@ HINTS = re.compile(
 GOOD_HINTS = re.compile(r"(?:^|[-_\s])(?:article|post|story|entry|main|content|body|text)(?:$|[-_\s\d])", re.I)
 #: Names that tell how a page is laid out, not what a part of it is.
 _LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|layout|page|wrap|wrapper|container)[-_][\w-]+", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Attributes that can hide an element have one of these in their names.
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
+_DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))+")
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: Elements that may stand in a head; any other, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: An open element of these ends when another of the same kind begins.
@@ -58,6 +64,25 @@ class Block:
     heading: bool
 
 
+def hidden(rest: str) -> bool:
+    """Whether a tag's attributes hide its element: hidden, aria-hidden=true, or a style of display:none or visibility:hidden."""
+    if not _MAY_HIDE.search(rest):
+        return False
+    values: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        values.setdefault(name.lower(), html.unescape(a or b or c))
+    if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    # Of several declarations of a property the last one holds, but for important ones.
+    style: dict[str, tuple[bool, str]] = {}
+    for declaration in _DECLARATION.findall(_CSS_COMMENT.sub(" ", values.get("style", ""))):
+        key, _, value = declaration.partition(":")
+        key, (value, mark, _) = key.strip().lower(), value.lower().partition("!")
+        if bool(mark) >= style.get(key, (False, ""))[0]:
+            style[key] = bool(mark), value.strip()
+    return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] == "hidden"
+
+
 def blocks(page: str) -> tuple[list[Block], bool]:
     """The text blocks of a page, in order, and whether it has an article or main element with text."""
     found: list[Block] = []
@@ -87,6 +112,8 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     while at < end:
         m = _TAG.search(page, at)
         stop = m.start() if m else end
+        if stack[-1][0] == "head" and not page[at:stop].isspace() and stop > at:
+            stack.pop()
         if stop > at and not stack[-1][4]:
             piece = page[at:stop]
             text.append(piece)
@@ -112,6 +139,8 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                 stack.pop()
             links = 0
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            stack.pop()
         if name in INLINE:
             if name == "br":
                 text.append(" ")
@@ -128,7 +157,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if name in VOID or rest.endswith("/") and name not in MAIN and name not in FURNITURE and name not in ("p", "div", "section"):
             continue
         _, article, furniture, named, silent = stack[-1]
-        silent = silent or name in SILENT or bool(rest and HIDDEN.search(rest))
+        silent = silent or name in SILENT or bool(rest and hidden(rest))
         furniture = furniture or name in FURNITURE
         if rest:
             hints = _LAYOUT.sub(" ", " ".join(a or b or c for _, a, b, c in _NAMES.findall(rest)))

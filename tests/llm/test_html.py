@@ -75,3 +75,49 @@ def test_synthetic_pages_keep_the_article_only():
         inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
         want = " ".join(h.unescape(re.sub(r"<[^>]*>", " ", inside)).split())
         assert " ".join(main_text(page, tree).split()) == want
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        'style="overflow:hidden"',
+        'class="overflow-hidden"',
+        'aria-hidden="false"',
+        'data-hidden="0"',
+        'id="the-hidden-valley"',
+        'title="Hidden gems"',
+        "title='a hidden b'",
+        'data-style="display:none"',
+        'style="display:none;display:block"',
+        'style="display: block !important; display: none"',
+        'style="background:url(a;display:none)"',
+        'style="backface-visibility:hidden"',
+        'style="--display:none"',
+        'title="aria-hidden=true"',
+    ],
+)
+def test_words_like_hidden_do_not_hide(attributes):
+    page = f"<body><article {attributes}><p>Text of it.</p></article></body>"
+    assert main_text(page, trained()) == "Text of it."
+    assert main_text(page.replace("<article", "<article><p>More.</p></article><article"), trained()) == "More.\nText of it."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN", 'class="x" hidden', "hidden=''", "hidden/", "aria-hidden=true", "aria-hidden = 'true'", 'style="color:red; DISPLAY : None"', "style=display:none", "style='visibility:hidden !important'", 'style="display:/* */none"', 'style="display&#58;none"'])
+def test_hidden_elements_have_no_text(attributes):
+    assert main_text(f"<article><p>Shown.</p><div {attributes}><p>Not shown.</p></div></article>", trained()) == "Shown."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>T</title><meta charset=utf-8><body><p>Text of it.</p></body>",
+        "<html><head><title>T</title><link rel=x href=y><article><p>Text of it.</article></html>",
+        "<!DOCTYPE html><head><title>T</title><script>var a;</script>Text of it.",
+        "<head><style>p{}</style>\n<!-- c --><b>Text</b> of it.",
+        "<head><title>T</title><noscript><p>no</p></noscript><template><p>no</p></template><p>Text of it.",
+        "<head></head><body><p>Text of it.</p>",
+        "<head><title>T</title><html><body><p>Text of it.</p>",
+    ],
+)
+def test_head_without_its_end_tag(page):
+    assert main_text(page, trained()) == "Text of it."
