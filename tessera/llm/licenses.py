@@ -60,6 +60,34 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     "unlicense": ("Unlicense", "This is free and unencumbered software released into the public domain."),
     "rights": ("Proprietary", "Copyright. All rights reserved."),
 }
+
+#: The GNU licences' notices differ in a few words only, so each has its own.
+_GNU = 'This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} License for more details.'
+TEMPLATES["gpl2-notice"] = ("GPL-2.0", _GNU.format("program", "General Public", "2"))
+for _short, _name, _version in (("LGPL", "Library General Public", "2"), ("LGPL", "Lesser General Public", "2.1"), ("LGPL", "Lesser General Public", "3"), ("AGPL", "Affero General Public", "3")):
+    _licence = f"{_short}-{_version}" if "." in _version else f"{_short}-{_version}.0"
+    TEMPLATES[f"{_short.lower()}{_version}-line"] = (_licence, f"This work is licensed under the GNU {_name} License, version {_version}.")
+    for _thing in ("program", "library"):
+        TEMPLATES[f"{_short.lower()}{_version}-notice-{_thing}"] = (_licence, _GNU.format(_thing, _name, _version))
+
+#: Further clauses behind those of BSD-2-Clause.
+_ENDORSE = "Neither the name of the {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD = TEMPLATES["bsd"][1]
+TEMPLATES["bsd3"] = ("BSD-3-Clause", f"{_BSD} 3. {_ENDORSE.format('copyright holder')}")
+TEMPLATES["bsd3-author"] = ("BSD-3-Clause", f"{_BSD} 3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.")
+TEMPLATES["bsd4"] = (
+    "BSD-4-Clause",
+    f"{_BSD} 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the University of California, Berkeley and its contributors. 4. {_ENDORSE.format('University')}",
+)
+
+#: The other Creative Commons licences, and their versions before 4.0.
+for _version, _port, _nd in (("4.0", "International", "NoDerivatives"), ("3.0", "Unported", "NoDerivs"), ("2.5", "Generic", "NoDerivs"), ("2.0", "Generic", "NoDerivs")):
+    for _parts in ((), ("SA",), ("NC",), ("ND",), ("NC", "SA"), ("NC", "ND")):
+        _short = "-".join(("BY", *_parts))
+        _name = "-".join(("Attribution", *({"SA": "ShareAlike", "NC": "NonCommercial", "ND": _nd}[x] for x in _parts)))
+        _key = f"cc-{_short.lower()}" + ("" if _version == "4.0" else f"-{_version}")
+        TEMPLATES.setdefault(_key, (f"CC-{_short}-{_version}", f"This work is licensed under a Creative Commons {_name} {_version} {_port} License."))
+        TEMPLATES.setdefault(f"{_key}-line", (f"CC-{_short}-{_version}", f"Licensed under CC {_short} {_version}."))
 #: Years and the copyright sign differ from one use of a licence to the next.
 _VARIES = re.compile(r"\(c\)|©|\b(?:19|20)\d\d(?:\s*[-–,]\s*(?:19|20)\d\d)*\b", re.I)
 
@@ -69,6 +97,23 @@ def normalised(text: str | None) -> str:
     return _VARIES.sub(" ", text or "")
 
 
+def _within(part: np.ndarray, whole: np.ndarray) -> bool:
+    return any(np.array_equal(whole[p : p + len(part)], part) for p in np.flatnonzero(whole == part[0]))
+
+
+def _apart(x: tuple[int, int, int, float], others: list[tuple[int, int, int, float]]) -> bool:
+    return all(x[1] + x[2] < y[1] or y[1] + y[2] < x[1] for y in others)
+
+
+def _best(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """The best first, without overlaps."""
+    kept: list[tuple[int, int, int, float]] = []
+    for x in sorted(found, key=lambda x: (-x[3], -x[2], x[1], x[0])):
+        if _apart(x, kept):
+            kept.append(x)
+    return kept
+
+
 class Templates:
     """Bigrams of licence templates: how often each has each, and the bounds for passages."""
 
@@ -83,6 +128,9 @@ class Templates:
         self.counts = np.zeros((len(grams), len(self.codes) + 1), np.int64)
         for k, g in enumerate(grams):
             np.add.at(self.counts[k], np.searchsorted(self.codes, g), 1)
+        self.has = (self.counts > 0).astype(np.float64)
+        # For each template those of other licences whose whole text it continues.
+        self.continues = [[j for j in range(len(grams)) if self.licences[j] != self.licences[k] and 0 < self.sizes[j] < self.sizes[k] and _within(grams[j], grams[k])] for k in range(len(grams))]
 
     def bounds(self, k: int) -> tuple[float, float]:
         """Lengths of passages that can reach the threshold against template k."""
@@ -95,13 +143,14 @@ class Templates:
         known = np.flatnonzero(code < len(self.codes))
         if not len(known):
             return []
+        hits = self.has[:, :-1] @ np.bincount(code[known], minlength=len(self.codes))
         for k in range(len(self.names)):
             low, high = self.bounds(k)
-            at = known[self.counts[k, code[known]] > 0]
             # The size bound: a passage shares at least threshold * (low + size) / 2 bigrams with the template.
             need = self.threshold * (low + self.sizes[k]) / 2
-            if len(at) < need - 1e-9:
+            if hits[k] < need - 1e-9:
                 continue
+            at = known[self.counts[k, code[known]] > 0]
             upto = np.searchsorted(at, at + high, "left")
             for p in np.flatnonzero(upto - np.arange(len(at)) >= need - 1e-9):
                 ends = at[p : upto[p]]
@@ -116,12 +165,18 @@ class Templates:
                         best = (dice, m)
                 if best:
                     found.append((k, int(at[p]), best[1], best[0]))
-        found.sort(key=lambda x: (-x[3], -x[2], x[1], x[0]))
-        kept: list[tuple[int, int, int, float]] = []
-        for x in found:
-            if all(x[1] + x[2] < y[1] or y[1] + y[2] < x[1] for y in kept):
-                kept.append(x)
-        return kept
+        # Where a passage holds what a template adds to another's text, it is no passage of that other.
+        whole = _best([x for x in found if self.continues[x[0]] and self._continued(code, x)])
+        for y in whole:
+            found = [x for x in found if x[0] not in self.continues[y[0]] or _apart(x, [y])]
+        return _best(found)
+
+    def _continued(self, code: np.ndarray, x: tuple[int, int, int, float]) -> bool:
+        """Whether a passage shares the threshold's part of what its template adds to each that it continues."""
+        k, start, m, _ = x
+        n = np.bincount(code[start : start + m], minlength=len(self.codes) + 1)
+        both = np.minimum(n, self.counts[k]).sum()
+        return all(both - np.minimum(n, self.counts[j]).sum() >= self.threshold * (self.sizes[k] - self.sizes[j]) - 1e-9 for j in self.continues[k])
 
 
 def _scan(shared):
@@ -152,7 +207,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends with a bigram of its template; dice counts a bigram as often as both have it. Null and empty texts, and those
     of one word, match nothing; whole texts are read, and each is done where it is. Repeated rows give their rows
     again; ids may be null; other columns are ignored. At equal coefficients the longer passage, then the earlier one, then the
-    earlier template wins.
+    earlier template wins. A template whose text another's continues (BSD-2-Clause in BSD-3-Clause) gives way to it where
+    the passage holds the threshold's part of what the other adds.
     """
     ws = Workspace(docs.sparkSession, "licenses")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")

@@ -65,3 +65,39 @@ def test_templates_match_themselves_best(spark):
     assert scan_licenses(df.limit(0)).count() == 0
     r = scan_licenses(spark.createDataFrame([(None, "Copyright (c) 1999-2003. All rights reserved.")], "doc_id long, text string")).first()
     assert (r.id, r.license, r.dice) == (None, "Proprietary", 1.0)
+
+
+GPL3 = TEMPLATES["gpl3-notice"][1]
+BSD2 = TEMPLATES["bsd"][1]
+CLAUSE = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+
+
+def test_near_licences_have_their_own_names(spark):
+    cases = [
+        (["GPL-3.0"], GPL3),
+        (["GPL-2.0"], GPL3.replace(": you", "; you").replace("version 3", "version 2")),
+        (["GPL-2.0"], GPL3.replace("This program is free", "Foo is free").replace("either version 3 of the License, or (at your option) any later version", "version 2 of the License")),
+        (["LGPL-2.0"], GPL3.replace("program", "library").replace("General", "Library General").replace("version 3", "version 2")),
+        (["LGPL-2.1"], GPL3.replace("program", "library").replace("General", "Lesser General").replace("version 3", "version 2.1")),
+        (["LGPL-2.1"], GPL3.replace("General", "Lesser General").replace("version 3", "version 2.1")),
+        (["LGPL-3.0"], GPL3.replace("program", "library").replace("General", "Lesser General")),
+        (["LGPL-3.0"], GPL3.replace("General", "Lesser General")),
+        (["AGPL-3.0"], GPL3.replace("General", "Affero General")),
+        (["LGPL-3.0"], "This work is licensed under the GNU Lesser General Public License, version 3."),
+        (["AGPL-3.0"], "This work is licensed under the GNU Affero General Public License, version 3."),
+        (["CC-BY-3.0"], "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+        (["CC-BY-NC-SA-4.0"], "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+        (["CC-BY-ND-4.0"], "Licensed under CC BY-ND 4.0."),
+        (["BSD-2-Clause"], f"{BSD2} {DISCLAIMER}"),
+        (["BSD-3-Clause"], f"{BSD2} 3. {CLAUSE.format('the copyright holder')} {DISCLAIMER}"),
+        (["BSD-3-Clause"], f"{BSD2} * {CLAUSE.format('Google Inc.')} {DISCLAIMER}"),
+        (["BSD-3-Clause"], f"{BSD2} 3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission. {DISCLAIMER}"),
+        (["BSD-4-Clause"], f"{BSD2} 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the Foo Project. 4. {CLAUSE.format('the Foo Project')} {DISCLAIMER}"),
+        (["BSD-2-Clause", "BSD-3-Clause"], f"{BSD2} {BSD2} 3. {CLAUSE.format('Google Inc.')}"),
+    ]
+    df = spark.createDataFrame([(k, f"words before it. {t} words behind it") for k, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {}
+    for r in scan_licenses(df).orderBy("id", "first_word").collect():
+        got.setdefault(r.id, []).append(r.license)
+    assert [got.get(k) for k in range(len(cases))] == [want for want, _ in cases]
