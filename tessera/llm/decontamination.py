@@ -2,7 +2,8 @@
 
 Documents that share a seed, `least` consecutive words, with a benchmark item are tiled against it: the longest
 matching runs of words that are not yet covered are marked, found by running Karp-Rabin, until none of `least`
-words is left. The share of the item's words under tiles, in whatever order these stand in the document, decides.
+words is left. The share of the item's words under tiles, in whatever order these stand in the document, decides. An
+item of fewer than `least` words is its own seed and tile.
 """
 
 from __future__ import annotations
@@ -125,32 +126,44 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str | None], least: int = LEAST):
         self.ids, self.least = ids, least
         self.words, self.first = word_hashes(texts)
-        seeds = windows(self.words, least)
-        owner = np.repeat(np.arange(len(ids)), np.diff(self.first))
-        inside = owner[: len(seeds)] == owner[least - 1 :][: len(seeds)] if len(seeds) else np.zeros(0, bool)
+        size = np.diff(self.first)
+        # Seeds of `least` words, and whole items of fewer: (words of a seed, seeds, their items, mask, filter).
+        self.seeds = []
+        for width in range(1, least + 1):
+            some = size >= least if width == least else size == width
+            if some.any():
+                self.seeds.append((width, *self._index(width, some)))
+
+    def _index(self, width: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64, np.ndarray]:
+        seeds = windows(self.words, width)
+        owner = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        inside = (owner[: len(seeds)] == owner[width - 1 :]) & some[owner[: len(seeds)]]
         seeds, owner = seeds[inside], owner[: len(seeds)][inside]
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], owner[order]
         bits = max(16, int(np.ceil(np.log2(max(1, len(seeds)) * 16))))
-        self.mask = np.uint64((1 << bits) - 1)
-        self.seen = np.zeros(1 << bits, bool)
-        self.seen[self.seeds & self.mask] = True
+        mask = np.uint64((1 << bits) - 1)
+        seen = np.zeros(1 << bits, bool)
+        seen[seeds & mask] = True
+        return seeds[order], owner[order], mask, seen
 
     def matches(self, texts: list[str | None], coverage: float) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(row, item, words of the item, words covered, tiles, longest tile) of each text and item at or above the coverage."""
-        if not len(self.seeds):
+        if not self.seeds:
             return
         words, first = word_hashes(texts)
-        found = windows(words, self.least)
-        at = np.flatnonzero(self.seen[found & self.mask])
-        lo, hi = np.searchsorted(self.seeds, found[at], "left"), np.searchsorted(self.seeds, found[at], "right")
-        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-        row = np.searchsorted(first, at, "right") - 1
-        inside = at + self.least <= first[row + 1]
-        pairs = sorted({(int(r), int(self.owner[k])) for r, a, b in zip(row[inside], lo[inside], hi[inside], strict=True) for k in range(a, b)})
+        found: set[tuple[int, int]] = set()
+        for width, seeds, owner, mask, seen in self.seeds:
+            grams = windows(words, width)
+            at = np.flatnonzero(seen[grams & mask])
+            lo, hi = np.searchsorted(seeds, grams[at], "left"), np.searchsorted(seeds, grams[at], "right")
+            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+            row = np.searchsorted(first, at, "right") - 1
+            inside = at + width <= first[row + 1]
+            found.update((int(r), int(owner[k])) for r, a, b in zip(row[inside], lo[inside], hi[inside], strict=True) for k in range(a, b))
+        pairs = sorted(found)
         for r, k in pairs:
             item = self.words[self.first[k] : self.first[k + 1]]
-            tiles = tile(item, words[first[r] : first[r + 1]], self.least)
+            tiles = tile(item, words[first[r] : first[r + 1]], min(self.least, len(item)))
             covered = sum(n for _, _, n in tiles)
             if covered >= coverage * len(item):
                 yield r, k, len(item), covered, len(tiles), max(n for _, _, n in tiles)
@@ -198,7 +211,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item_id, n_words, n_covered, n_tiles, longest, coverage): the documents that hold a benchmark item, and which.
 
     Words are runs of letters and digits, lower-cased. An item is held if tiles of at least `least` words cover
-    the share `coverage` of its words. Items of fewer words, null or empty ones, and null or empty texts match nothing. A benchmark
+    the share `coverage` of its words; one of fewer words, even of one, if a document has its whole word sequence. Items
+    without words, and null or empty texts, match nothing. A benchmark
     beyond block_words is taken in blocks, each against all documents. Repeated documents or items give a row each; ids
     may be null; other columns are ignored.
     """

@@ -83,3 +83,14 @@ def test_documents(spark):
     assert (r.n_words, r.n_covered, r.n_tiles, r.longest, r.coverage) == (30, 30, 2, 15, 1.0)
     assert contaminated(d.limit(0), b).count() == 0 and contaminated(d, b.limit(0)).count() == 0
     assert drop_contaminated(d, b.limit(0)).count() == len(docs)
+
+
+def test_items_shorter_than_a_seed_are_held_by_their_whole_sequence(spark):
+    docs = [(1, "x y Alpha, beta; GAMMA delta z"), (2, "alpha beta gamma"), (3, "alpha beta x gamma delta"), (4, "so lonely here"), (5, "alpha"), (6, "beta gamma delta"), (7, "alpha beta gamma"), (8, "delta of it"), (9, ITEM + " alpha beta gamma delta")]
+    items = [(20, "alpha beta gamma delta"), (21, "lonely"), (22, "delta of"), (23, " ,. "), (24, None), (25, ITEM), (26, "word1 word2 word3")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for block in (4_000_000, 3):
+        got = sorted((r.id, r.item_id, r.n_words, r.n_covered, r.n_tiles, r.longest) for r in contaminated(d, b, block_words=block).collect())
+        assert got == [(1, 20, 4, 4, 1, 4), (4, 21, 1, 1, 1, 1), (8, 22, 2, 2, 1, 2), (9, 20, 4, 4, 1, 4), (9, 25, 30, 30, 1, 30), (9, 26, 3, 3, 1, 3)]
+        assert sorted(r.doc_id for r in drop_contaminated(d, b, block_words=block).collect()) == [2, 3, 5, 6, 7]
