@@ -1,15 +1,16 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into blocks at every tag that is not inline. A block has its words, its link density, the same of
-the blocks before and behind it, and what its surroundings say: whether it stands in an article, in an element for
-page furniture, or in one whose class, id or role names such. A decision tree, trained on the small table below,
-tells which blocks belong to the main text.
+A page is cut into blocks at every tag that is not inline. A block has its words and its link density, the same of
+the blocks before and behind it, and flags of its surroundings: whether it is a heading, stands in an article, in an element
+for page furniture, or in one whose class, id or role is a name of such. A decision tree, trained on the small table of labelled
+blocks below, tells which blocks belong to the main text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,14 +31,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements for page furniture; a header or footer of an article's own is that too.
 FURNITURE = frozenset("nav aside footer header form dialog menu fieldset".split())
 MAIN = frozenset("article main".split())
-#: Parts of class, id, role and aria-label values that name furniture, and those that name the main text.
-HINTS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side|aside|widgets?|footer|foot|masthead|header|topbar|toolbar|cookies?\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|trending|popular|comments?|commentlist|disqus|replies|reply|respond|discussion|copyright|legal|pagination|pager|tags?|tagcloud|skip|search|form|contentinfo|complementary|dialog)(?:$|[-_\s\d])",
-    re.I,
+#: Words that class, id and role names of page furniture are made of, and words that such names may have beside them.
+FURNITURE_WORDS = frozenset(
+    "ad ads alert advert adverts advertisement advertising adsense adslot adbox banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies dialog discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promotion promoted recommendations recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar trending widget widgets".split()
 )
-GOOD_HINTS = re.compile(r"(?:^|[-_\s])(?:article|post|story|entry|main|content|body|text)(?:$|[-_\s\d])", re.I)
-#: Names that tell how a page is laid out, not what a part of it is.
-_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|layout|page|wrap|wrapper|container)[-_][\w-]+", re.I)
+BESIDE_WORDS = frozenset("area article bar block body box btn button card container content entry form global group inner inline item left links list main message page panel policy primary post posts region right row section secondary site slot story text title to top unit user wrap wrapper".split())
+#: Beside one of these a header is a title's.
+_OF_TEXT = frozenset("article content entry post story text title".split())
 #: Attributes that can hide an element have one of these in their names.
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
@@ -46,11 +46,12 @@ _CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 #: Elements that may stand in a head; any other, and text, ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_MAY_NAME = re.compile(r"class|id|role", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\Wa-zA-Z\d_]+")
 #: An open element of these ends when another of the same kind begins.
 _ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-FEATURES = ("words", "link density", "words before", "link density before", "words behind", "link density behind", "in article", "in furniture", "named furniture", "heading", "page has article")
+FEATURES = ("words", "link density", "words before", "link density before", "words behind", "link density behind", "in article", "beside an article", "in furniture", "named furniture", "heading")
 
 
 @dataclass
@@ -64,13 +65,18 @@ class Block:
     heading: bool
 
 
+def _attributes(rest: str) -> dict[str, str]:
+    values: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        values.setdefault(name.lower(), html.unescape(a or b or c))
+    return values
+
+
 def hidden(rest: str) -> bool:
     """Whether a tag's attributes hide its element: hidden, aria-hidden=true, or a style of display:none or visibility:hidden."""
     if not _MAY_HIDE.search(rest):
         return False
-    values: dict[str, str] = {}
-    for name, a, b, c in _ATTRIBUTE.findall(rest):
-        values.setdefault(name.lower(), html.unescape(a or b or c))
+    values = _attributes(rest)
     if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true":
         return True
     # Of several declarations of a property the last one holds, but for important ones.
@@ -83,11 +89,25 @@ def hidden(rest: str) -> bool:
     return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] == "hidden"
 
 
+def names_furniture(rest: str) -> bool:
+    """Whether a class, the id or the role is made of furniture words, with nothing but words that may stand beside them."""
+    if not _MAY_NAME.search(rest):
+        return False
+    values = _attributes(rest)
+    for name in " ".join(values.get(k, "") for k in ("class", "id", "role")).split():
+        parts = {x.lower() for x in _PARTS.findall(name) if len(x) > 1}
+        furniture = parts & FURNITURE_WORDS
+        if furniture and parts <= FURNITURE_WORDS | BESIDE_WORDS and not (furniture == {"header"} and parts & _OF_TEXT):
+            return True
+    return False
+
+
 def blocks(page: str) -> tuple[list[Block], bool]:
     """The text blocks of a page, in order, and whether it has an article or main element with text."""
     found: list[Block] = []
     # Open elements: name, in article, in furniture, named furniture, silent.
     stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    open_: Counter[str] = Counter()
     text: list[str] = []
     linked: list[str] = []
     links = 0
@@ -108,12 +128,17 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         linked.clear()
         heading = False
 
+    def close() -> str:
+        name = stack.pop()[0]
+        open_[name] -= 1
+        return name
+
     end = len(page)
     while at < end:
         m = _TAG.search(page, at)
         stop = m.start() if m else end
         if stack[-1][0] == "head" and not page[at:stop].isspace() and stop > at:
-            stack.pop()
+            close()
         if stop > at and not stack[-1][4]:
             piece = page[at:stop]
             text.append(piece)
@@ -133,14 +158,13 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                     links = max(0, links - 1)
                 continue
             flush()
-            if any(x[0] == name for x in stack):
-                while stack[-1][0] != name:
-                    stack.pop()
-                stack.pop()
+            if open_[name] > 0:
+                while close() != name:
+                    pass
             links = 0
             continue
         if stack[-1][0] == "head" and name not in IN_HEAD:
-            stack.pop()
+            close()
         if name in INLINE:
             if name == "br":
                 text.append(" ")
@@ -151,24 +175,22 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         links = 0
         ends = _ENDS_ITSELF.get(name)
         if ends and stack[-1][0] in ends:
-            stack.pop()
+            close()
         if name not in ("p",) and stack[-1][0] == "p":
-            stack.pop()
+            close()
         if name in VOID or rest.endswith("/") and name not in MAIN and name not in FURNITURE and name not in ("p", "div", "section"):
             continue
         _, article, furniture, named, silent = stack[-1]
         silent = silent or name in SILENT or bool(rest and hidden(rest))
         furniture = furniture or name in FURNITURE
-        if rest:
-            hints = _LAYOUT.sub(" ", " ".join(a or b or c for _, a, b, c in _NAMES.findall(rest)))
-            if hints and HINTS.search(hints) and not (name in MAIN or name in ("html", "body") or GOOD_HINTS.search(hints) and not re.search(r"comment|repl(?:y|ies)|sidebar|advert|footer|related", hints, re.I)):
-                named = True
+        named = named or bool(rest) and name not in MAIN and name not in ("html", "body") and names_furniture(rest)
         heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
         stack.append((name, article or name in MAIN, furniture, named, silent))
+        open_[name] += 1
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
-            stack.pop()
+            stop_tag = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = stop_tag.end() if stop_tag else end
+            close()
     flush()
     return found, has_article
 
@@ -182,92 +204,122 @@ def features(found: list[Block], has_article: bool) -> np.ndarray:
         x[:, 0], x[:, 1] = words, density
         x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
         x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
-        x[:, 6:10] = [(b.article, b.furniture, b.named, b.heading) for b in found]
-        x[:, 10] = has_article
+        x[:, 6:] = [(b.article, has_article and not b.article, b.furniture, b.named, b.heading) for b in found]
     return x
 
 
-#: Labelled blocks: the features in order (words and link densities of a block, the one before and the one behind; then
-#: flags), and 1 for main text. Written by hand after common page layouts.
+#: Labelled blocks: the features in order (words and link densities of a block, the one before and the one behind, 0 where
+#: there is none; then flags), and 1 for main text. Written by hand after common page layouts.
 TABLE = [
-    # Menus, by element and by class, and lists of links without either.
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 1, 0),
-    (2, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0, 1, 0),
-    (2, 1.0, 1, 1.0, 8, 0.0, 0, 0, 1, 0, 0, 0),
+    # Pages without an article element. Menus, and lists of links without a name.
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 0, 0, 0),
+    (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
     (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
     (2, 1.0, 3, 1.0, 40, 0.0, 0, 0, 0, 0, 0, 0),
     (6, 0.8, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
-    (4, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 0, 0),
-    # Headers with a site name, notices and adverts, before and beside an article.
-    (3, 0.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 1, 0),
-    (5, 0.0, 0, 0.0, 4, 0.0, 0, 1, 0, 0, 0, 0),
-    (30, 0.0, 0, 0.0, 9, 0.0, 0, 0, 1, 0, 1, 0),
-    (12, 0.1, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 1, 0),
-    (8, 0.0, 1, 1.0, 6, 0.0, 0, 0, 1, 0, 1, 0),
-    (25, 0.0, 60, 0.0, 50, 0.0, 1, 0, 1, 0, 1, 0),
-    (7, 0.0, 40, 0.0, 70, 0.0, 1, 0, 1, 0, 1, 0),
-    (60, 0.0, 80, 0.0, 20, 0.0, 0, 0, 1, 0, 0, 0),
-    # Text beside an article that nothing names.
-    (14, 0.0, 3, 1.0, 7, 0.0, 0, 0, 0, 0, 1, 0),
-    (45, 0.0, 80, 0.0, 5, 0.0, 0, 0, 0, 0, 1, 0),
-    (4, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 0),
-    (6, 0.0, 0, 0.0, 12, 0.0, 0, 0, 0, 1, 1, 0),
-    # Sidebars, forms and footers, within an article or not.
-    (20, 0.2, 70, 0.0, 30, 0.0, 1, 1, 0, 0, 1, 0),
-    (5, 0.0, 70, 0.0, 30, 0.0, 1, 1, 0, 1, 1, 0),
-    (35, 0.0, 3, 0.0, 9, 0.3, 0, 1, 0, 0, 1, 0),
-    (9, 0.2, 50, 0.0, 0, 0.0, 0, 1, 0, 0, 1, 0),
-    (12, 0.0, 4, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 0),
-    (55, 0.0, 2, 0.0, 50, 0.0, 0, 1, 1, 0, 1, 0),
-    # Reader comments.
-    (22, 0.0, 3, 0.0, 3, 0.0, 1, 0, 1, 0, 1, 0),
-    (80, 0.0, 2, 1.0, 3, 0.0, 0, 0, 1, 0, 1, 0),
-    (2, 0.0, 40, 0.0, 25, 0.0, 0, 0, 1, 1, 1, 0),
-    (3, 0.4, 22, 0.0, 40, 0.0, 0, 0, 1, 0, 0, 0),
-    # Articles: titles, paragraphs of any length, lists and links within.
-    (8, 0.0, 6, 0.0, 60, 0.0, 1, 0, 0, 1, 1, 1),
-    (11, 0.0, 8, 0.0, 11, 0.0, 1, 0, 0, 1, 1, 1),
-    (11, 0.0, 11, 0.0, 45, 0.0, 1, 0, 0, 0, 1, 1),
-    (60, 0.0, 11, 0.0, 45, 0.0, 1, 0, 0, 0, 1, 1),
-    (120, 0.02, 60, 0.0, 1, 0.0, 1, 0, 0, 0, 1, 1),
-    (1, 0.0, 90, 0.0, 1, 0.0, 1, 0, 0, 0, 1, 1),
-    (1, 0.0, 1, 0.0, 9, 0.1, 1, 0, 0, 0, 1, 1),
-    (2, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0, 1, 1),
-    (30, 0.3, 60, 0.0, 45, 0.1, 1, 0, 0, 0, 1, 1),
-    (4, 1.0, 50, 0.0, 60, 0.0, 1, 0, 0, 0, 1, 1),
-    (2, 1.0, 30, 0.0, 2, 1.0, 1, 0, 0, 0, 1, 1),
-    (5, 1.0, 40, 0.0, 9, 0.2, 1, 0, 0, 0, 1, 1),
-    (3, 0.0, 70, 0.0, 80, 0.0, 1, 0, 0, 1, 1, 1),
-    (15, 0.0, 8, 0.0, 7, 0.2, 1, 0, 0, 0, 1, 1),
-    # Main text of pages without an article element.
-    (9, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 1),
-    (6, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1),
+    (14, 0.9, 12, 1.0, 13, 0.9, 0, 0, 0, 0, 0, 0),
+    (5, 0.6, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0, 0),
+    (9, 1.0, 70, 0.0, 8, 1.0, 0, 0, 0, 0, 0, 0),
+    # Lines between links: headings of link lists, dates, counts.
+    (2, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 1, 0),
+    (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0),
+    (7, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
+    (12, 0.2, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
+    (4, 0.25, 2, 1.0, 5, 0.4, 0, 0, 0, 0, 0, 0),
+    # Footers: short lines with links, at the end of the page.
+    (8, 0.5, 60, 0.0, 6, 0.7, 0, 0, 0, 0, 0, 0),
+    (6, 0.7, 8, 0.5, 0, 0.0, 0, 0, 0, 0, 0, 0),
+    (12, 0.0, 4, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0),
+    (9, 0.2, 50, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0),
+    (5, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 0),
+    # Notices, adverts, sidebars and reader comments, by element or by name.
+    (30, 0.0, 0, 0.0, 9, 0.0, 0, 0, 0, 1, 0, 0),
+    (60, 0.0, 80, 0.0, 20, 0.0, 0, 0, 0, 1, 0, 0),
+    (3, 0.4, 22, 0.0, 40, 0.0, 0, 0, 0, 1, 0, 0),
+    (55, 0.0, 2, 0.0, 50, 0.0, 0, 0, 1, 1, 0, 0),
+    (40, 0.0, 3, 1.0, 9, 0.3, 0, 0, 1, 0, 0, 0),
+    # Their main text: titles, paragraphs of any length between others, and links within.
+    (9, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, 0, 1, 1),
+    (6, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1, 1),
+    (5, 0.0, 3, 1.0, 12, 0.0, 0, 0, 0, 0, 1, 1),
     (60, 0.0, 9, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1),
     (45, 0.05, 60, 0.0, 9, 0.2, 0, 0, 0, 0, 0, 1),
+    (12, 0.0, 6, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 1),
     (3, 0.0, 45, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1),
-    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
     (1, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 1),
-    (30, 0.2, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1),
+    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
+    (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 1, 0.0, 0, 0, 0, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
     (2, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0, 0, 0, 1),
-]
-
-
-#: And by rule: furniture stays furniture, and an article's blocks its text, whatever their length and links.
-TABLE += [
-    (words, density, before, 0.0, behind, 0.0, article, furniture, named, heading, has, int(article and not furniture and not named))
-    for words, density in ((1, 0.0), (5, 0.0), (25, 0.1), (90, 0.0))
-    for before, behind in ((2, 50), (60, 6))
-    for article, has in ((1, 1), (0, 1))
-    for furniture, named in ((0, 0), (1, 0), (0, 1))
-    for heading in ((0, 1) if words == 5 else (0,))
+    (30, 0.2, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1),
+    (25, 0.3, 40, 0.0, 30, 0.1, 0, 0, 0, 0, 0, 1),
+    (55, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 1),
+    (40, 0.1, 1, 1.0, 7, 0.6, 0, 0, 0, 0, 0, 1),
+    (6, 1.0, 50, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1),
+    # Pages with an article element. What stands beside it.
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 9, 0.0, 0, 1, 1, 0, 0, 0),
+    (3, 0.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0, 1, 0),
+    (8, 0.0, 1, 1.0, 6, 0.0, 0, 1, 0, 1, 0, 0),
+    (30, 0.0, 0, 0.0, 9, 0.0, 0, 1, 0, 1, 0, 0),
+    (14, 0.0, 3, 1.0, 7, 0.0, 0, 1, 0, 0, 0, 0),
+    (45, 0.0, 80, 0.0, 5, 0.0, 0, 1, 0, 0, 0, 0),
+    (6, 0.0, 0, 0.0, 12, 0.0, 0, 1, 0, 0, 1, 0),
+    (4, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 0),
+    (80, 0.0, 2, 1.0, 3, 0.0, 0, 1, 0, 1, 0, 0),
+    (9, 0.2, 50, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 0),
+    # Furniture within it: asides, forms, adverts, notices and comments.
+    (20, 0.2, 70, 0.0, 30, 0.0, 1, 0, 1, 0, 0, 0),
+    (5, 0.0, 70, 0.0, 30, 0.0, 1, 0, 1, 0, 1, 0),
+    (1, 0.0, 12, 0.0, 1, 0.0, 1, 0, 1, 0, 0, 0),
+    (60, 0.0, 50, 0.0, 40, 0.0, 1, 0, 1, 0, 0, 0),
+    (25, 0.0, 60, 0.0, 50, 0.0, 1, 0, 0, 1, 0, 0),
+    (7, 0.0, 40, 0.0, 70, 0.0, 1, 0, 0, 1, 0, 0),
+    (22, 0.0, 3, 0.0, 3, 0.0, 1, 0, 0, 1, 0, 0),
+    (2, 0.0, 40, 0.0, 25, 0.0, 1, 0, 0, 1, 1, 0),
+    # Lists of links within it that nothing names: further reading, keywords.
+    (5, 1.0, 4, 1.0, 6, 1.0, 1, 0, 0, 0, 0, 0),
+    (2, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0, 0, 0),
+    (6, 0.9, 2, 0.0, 5, 1.0, 1, 0, 0, 0, 0, 0),
+    (9, 1.0, 8, 1.0, 0, 0.0, 1, 0, 0, 0, 0, 0),
+    (4, 1.0, 7, 0.8, 9, 0.1, 1, 0, 0, 0, 0, 0),
+    # Its text: titles, paragraphs of any length, lists and links within.
+    (8, 0.0, 6, 0.0, 60, 0.0, 1, 0, 0, 0, 1, 1),
+    (11, 0.0, 8, 0.0, 11, 0.0, 1, 0, 0, 0, 1, 1),
+    (3, 0.0, 70, 0.0, 80, 0.0, 1, 0, 0, 0, 1, 1),
+    (2, 0.0, 1, 1.0, 4, 0.0, 1, 0, 0, 0, 1, 1),
+    (60, 0.0, 11, 0.0, 45, 0.0, 1, 0, 0, 0, 0, 1),
+    (120, 0.02, 60, 0.0, 1, 0.0, 1, 0, 0, 0, 0, 1),
+    (1, 0.0, 90, 0.0, 1, 0.0, 1, 0, 0, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 9, 0.1, 1, 0, 0, 0, 0, 1),
+    (2, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 1),
+    (1, 0.0, 3, 1.0, 2, 1.0, 1, 0, 0, 0, 0, 1),
+    (15, 0.0, 8, 0.0, 7, 0.2, 1, 0, 0, 0, 0, 1),
+    (30, 0.3, 60, 0.0, 45, 0.1, 1, 0, 0, 0, 0, 1),
+    (12, 0.6, 30, 0.0, 25, 0.0, 1, 0, 0, 0, 0, 1),
+    (4, 1.0, 50, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 1),
+    (7, 1.0, 40, 0.1, 22, 0.0, 1, 0, 0, 0, 0, 1),
+    (3, 1.0, 9, 0.0, 35, 0.0, 1, 0, 0, 0, 1, 1),
+    (9, 0.0, 2, 1.0, 14, 0.0, 1, 0, 0, 0, 1, 1),
+    (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 0, 0, 1, 1),
+    (14, 0.0, 12, 0.0, 5, 1.0, 1, 0, 0, 0, 0, 1),
+    (22, 0.1, 6, 1.0, 30, 0.0, 1, 0, 0, 0, 0, 1),
+    (40, 0.0, 35, 0.0, 4, 0.8, 1, 0, 0, 0, 0, 1),
+    (8, 0.0, 90, 0.0, 90, 0.0, 1, 0, 0, 0, 0, 1),
+    (75, 0.0, 80, 0.0, 9, 0.0, 1, 0, 0, 0, 0, 1),
+    (5, 0.0, 4, 0.0, 3, 0.0, 1, 0, 0, 0, 0, 1),
+    (18, 0.2, 5, 0.6, 6, 1.0, 1, 0, 0, 0, 0, 1),
+    (2, 0.0, 2, 0.0, 2, 0.0, 1, 0, 0, 0, 0, 1),
+    (35, 0.0, 16, 0.0, 12, 0.4, 1, 0, 0, 0, 0, 1),
+    (4, 0.0, 100, 0.0, 10, 0.0, 1, 0, 0, 0, 0, 1),
 ]
 
 
 class Tree:
     """Decision tree by Gini impurity, grown until its leaves are pure or hold `least` rows."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 1):
         self.value = bool(y.mean() >= 0.5)
         self.split: tuple[int, float] | None = None
         if depth == 0 or len(y) <= least or y.min() == y.max():
