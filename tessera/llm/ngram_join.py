@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Workspace, connected_components, grouped
@@ -25,28 +25,30 @@ from tessera.llm.text import blob, shingle_sets
 BINS = 8
 #: Sets and shingles in a block, at most about.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
-#: Posting lists up to this long are joined pair by pair; longer ones by chains through shared centres.
+#: Posting lists up to this long are joined pair by pair; longer ones by runs of like length.
 PAIR_LIST = 64
+#: Postings held at a time by a task that joins them.
+HELD_POSTINGS = 1 << 18
 #: Sets that stand for a component when blocks of one cluster meet.
 DELEGATES = 16
-#: Clusters of up to so many sets in all are broadcast (24 bytes a set).
-BROADCAST_ROWS = 1_000_000
+#: Words of 64 bits, at most, of the table by which texts outside all clusters are mostly left where they are (16 bytes a word).
+FILTER_WORDS = 1 << 18
 
 
 def _sketch(n: int, num: int, den: int, cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sent, sums, bins, kept = [], [], [], [], []
-            for g in shingle_sets(*blob(batch.column("text")), n):
+            sizes, sent, bins, kept = [], [], [], []
+            sets = list(shingle_sets(*blob(batch.column("text")), n))
+            for g in sets:
                 m = len(g)
                 prefix = m - -(-num * m // den) + 1 if m else 0
                 e = max(int(np.searchsorted(g, cut)), prefix)
                 sizes.append(m)
                 sent.append(e)
-                sums.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
                 bins.append(np.bincount(g & (BINS - 1), minlength=BINS))
                 kept.append(g[:e])
-            s = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
+            s = _key(sets)
             off = np.concatenate([[0], np.cumsum(sent)]).astype(np.int32)
             grams = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(kept)))
             hist = pa.ListArray.from_arrays(pa.array(np.arange(0, BINS * len(sizes) + 1, BINS, dtype=np.int32)), pa.array(np.concatenate(bins).astype(np.int32)))
@@ -55,11 +57,16 @@ def _sketch(n: int, num: int, den: int, cut: int):
     return run
 
 
+def _key(sets: list[np.ndarray]) -> np.ndarray:
+    """(s1, s2) of each set: equal sets have equal keys."""
+    return np.frombuffer(b"".join(hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets), np.int64).reshape(-1, 2)
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [g.tobytes() for g in shingle_sets(*blob(batch.column("text")), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cluster"), batch.column("blocks"), pa.array(sets, pa.binary())], ["id", "cluster", "blocks", "grams"])
+            sets = list(shingle_sets(*blob(batch.column("text")), n))
+            yield pa.RecordBatch.from_arrays([pa.array(_key(sets)[:, 0].copy()), pa.array([g.tobytes() for g in sets], pa.binary())], ["id", "grams"])
 
     return run
 
@@ -146,45 +153,149 @@ def _verify_across(num: int, den: int, keys: list[str]):
     return run
 
 
-def _postings(ws: Workspace, sketch: DataFrame, num: int, den: int, cut: int) -> DataFrame:
+def _postings(ws: Workspace, texts: DataFrame, num: int, den: int, cut: int) -> DataFrame:
     """(id, n, hist, g, pos): the prefix shingles that two or more sets may share."""
-    known = sketch.where("n > 0 AND id IS NOT NULL")
-    one = known.groupBy("s1", "s2").agg(F.min_by(F.struct("id", "grams"), "id").alias("r")).select("r.id", F.explode("r.grams").alias("g"))
+    one = texts.select("id", F.explode("grams").alias("g"))
     often = one.groupBy("g").count().where("count > 1")
     first = F.col("g") < cut
     shared = one.join(often, "g").select("id", F.struct((~first).alias("late"), F.when(first, F.col("count")).otherwise(0).alias("df"), "g").alias("x"))
     lists = shared.groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    about = known.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "e", "hist")))
     prefix = F.expr(f"n - (({num}L * n + {den - 1}) div {den}) + 1")
     alone = F.col("e") - F.size("x")
-    rows = lists.join(about, "id").withColumn("alone", alone).withColumn("prefix", prefix).where("prefix > alone")
+    rows = lists.join(texts.select("id", "n", "e", "hist"), "id").withColumn("alone", alone).withColumn("prefix", prefix).where("prefix > alone")
     rows = rows.select("id", "n", "hist", (F.col("e") > F.col("prefix")).alias("exact"), "alone", F.posexplode(F.expr("slice(x, 1, CAST(prefix - alone AS INT))")).alias("k", "x"))
     # Where the prefix ends beyond the counted share, the place among the posted ones is a lower bound of the true one.
     return ws.stash(rows.select("id", "n", "hist", F.col("x.g").alias("g"), (F.col("k") + F.when(F.col("exact"), F.col("alone")).otherwise(0)).cast("int").alias("pos")), "postings")
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) as links of each end to the smallest of its component."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    least = np.arange(len(names))
+    while len(a):
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while (least[least] != least).any():
+            least = least[least]
+        on = least[a] != least[b]
+        a, b = a[on], b[on]
+    out = least != np.arange(len(names))
+    return names[out], names[least[out]]
+
+
+def _near(num: int, den: int):
+    """Joins postings that are sorted by shingle and set size.
+
+    A short list is joined pair by pair: length, positional and suffix filter. In a long one, sets that follow each other
+    within the length bound are linked, so that any two that pass the length filter hang together; a list that may go on
+    in another task is taken for a long one, and its ends are given out (kind 1: set of the first row, of the last
+    one, shingle, the sizes of both). Otherwise kind 0: links (u, v).
+    """
+
+    def block(rows: dict[str, np.ndarray], open_: bool, last: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        """Links of whole lists, and the long pieces at both ends if they may go on."""
+        g, n, left, ids = rows["g"], rows["n"], rows["n"] - rows["pos"], rows["id"]
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        size = np.diff(start, append=len(g))
+        long_ = size > PAIR_LIST
+        ends = sorted(({0} if open_ else set()) | ({len(start) - 1} if last else set()))
+        long_[ends] = True
+        many = np.repeat(long_, size)
+        us, vs = [], []
+        # Rows of one list stand side by side: all pairs at once, by how far they are apart.
+        i = np.flatnonzero(~many)
+        d = 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(g)]
+            i = i[g[i + d] == g[i]]
+            j = i + d
+            total = num * (n[i] + n[j])
+            good = (n[i] * den >= num * n[j]) & (np.minimum(left[i], left[j]) * (num + den) >= total) & (ids[i] != ids[j])
+            a, b = i[good], j[good]
+            both = np.minimum(rows["hist"][a], rows["hist"][b]).sum(1)
+            good = both * (num + den) >= total[good]
+            us.append(ids[a[good]])
+            vs.append(ids[b[good]])
+        i = np.flatnonzero(many[:-1] & (g[1:] == g[:-1]) & (n[:-1] * den >= num * n[1:]))
+        us.append(ids[i])
+        vs.append(ids[i + 1])
+        return np.concatenate(us), np.concatenate(vs), [(int(start[k]), int(start[k] + size[k] - 1)) for k in ends]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(kind: int, u, v, g=None, n1=None, n2=None) -> pa.RecordBatch:
+            blank = np.zeros(len(u), np.int64)
+            cols = [np.full(len(u), kind), u, v, *(blank if x is None else x for x in (g, n1, n2))]
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], ["kind", "u", "v", "g", "n1", "n2"])
+
+        held: list[pa.RecordBatch] = []
+        # The piece of the list that is still open: shingle, set and size of its first row, set and size of its last.
+        piece: tuple | None = None
+        first = True
+
+        def work(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal piece, first
+            rows = {c: table.column(c).to_numpy().astype(np.int64) for c in ("g", "n", "pos", "id")}
+            rows["hist"] = table.column("hist").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BINS)
+            g, n, ids = rows["g"], rows["n"], rows["id"]
+            goes_on = piece is not None and piece[0] == g[0]
+            u, v, ends = block(rows, first or goes_on, last)
+            if goes_on and piece[4] * den >= num * n[0]:
+                u, v = np.append(u, piece[3]), np.append(v, ids[0])
+            u, v = stars(u, v)
+            if len(u):
+                yield out(0, u, v)
+            for a, b in ends:
+                now = (int(g[a]), int(ids[a]), int(n[a]), int(ids[b]), int(n[b]))
+                if piece is not None and piece[0] == now[0]:
+                    now = (piece[0], piece[1], piece[2], now[3], now[4])
+                elif piece is not None:
+                    yield out(1, [piece[1]], [piece[3]], [piece[0]], [piece[2]], [piece[4]])
+                piece = now
+            first = False
+
+        count = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count += batch.num_rows
+            if count >= HELD_POSTINGS:
+                table = pa.Table.from_batches(held)
+                g = table.column("g").to_numpy()
+                cut = int(np.searchsorted(g, g[-1]))
+                if cut:
+                    yield from work(table.slice(0, cut), False)
+                    held = table.slice(cut).to_batches()
+                else:
+                    # One list fills all that is held.
+                    yield from work(table, True)
+                    held = []
+                count = sum(x.num_rows for x in held)
+        if held:
+            yield from work(pa.Table.from_batches(held), True)
+        if piece is not None:
+            yield out(1, [piece[1]], [piece[3]], [piece[0]], [piece[2]], [piece[4]])
+
+    return run
+
+
 def _candidates(ws: Workspace, postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (u, v) whose components hold every pair that may link."""
-    longer = postings.groupBy("g").agg(F.count("*").alias("length")).where("length > 1")
-    listed = postings.join(longer, "g")
-    hist = [F.col("hist")[i].alias(f"h{i}") for i in range(BINS)]
-    short = listed.where(F.col("length") <= PAIR_LIST).select("g", "id", "n", "pos", *hist)
-    x, y = (short.select("g", *(F.col(c).alias(f"{p}{c}") for c in short.columns if c != "g")) for p in "xy")
-    total = (F.col("xn") + F.col("yn")).cast("long") * num
-    length = (F.col("xn").cast("long") * den >= F.col("yn").cast("long") * num) & (F.col("yn").cast("long") * den >= F.col("xn").cast("long") * num)
-    place = F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")).cast("long") * (num + den) >= total
-    most: Column = F.lit(0).cast("long")
-    for i in range(BINS):
-        most = most + F.least(f"xh{i}", f"yh{i}")
-    pairs = x.join(y, "g").where((F.col("xid") < F.col("yid")) & length & place & (most * (num + den) >= total)).select(F.col("xid").alias("u"), F.col("yid").alias("v"))
-    # Long lists: sets of like length meet at a centre, and centres of neighbouring lengths meet each other.
-    step = F.floor(F.log("n") / float(np.log(den / num))).cast("long") if num < den else F.col("n").cast("long")
-    long_ = listed.where(F.col("length") > PAIR_LIST).select("g", "id", step.alias("step"))
-    centre = long_.groupBy("g", "step").agg(F.min("id").alias("centre"))
-    to_centre = long_.join(centre, ["g", "step"]).select(F.col("id").alias("u"), F.col("centre").alias("v"))
-    other = centre.select("g", (F.col("step") + 1).alias("step"), F.col("centre").alias("u"))
-    between = centre.join(other, ["g", "step"]).select("u", F.col("centre").alias("v"))
-    return pairs.union(to_centre).union(between)
+    """Links (u, v) whose components hold every pair that may link.
+
+    Postings are dealt by ranges of (shingle, set size, set), so the list of a common shingle goes to as many tasks as
+    it has rows for.
+    """
+    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["g", "n", "id"]
+    dealt = postings.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = ws.stash(dealt.select("id", "n", "hist", "g", "pos").mapInArrow(_near(num, den), "kind long, u long, v long, g long, n1 long, n2 long"), "near")
+    # At most two rows a task: where a list goes on in the next one.
+    turn = Window.partitionBy("g").orderBy("n1", "u", "n2")
+    ends = found.where("kind = 1").select("u", "g", "n1", F.lag("v").over(turn).alias("v"), F.lag("n2").over(turn).alias("before"))
+    return found.where("kind = 0").select("u", "v").union(ends.where(F.col("before") * den >= F.col("n1") * num).select("u", "v"))
 
 
 def _resolve(ws: Workspace, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -233,15 +344,38 @@ def _resolve(ws: Workspace, sets: DataFrame, num: int, den: int) -> DataFrame:
     return labels.join(now, "id", "left").select("id", F.coalesce("better", "label").alias("label"))
 
 
+def _members(ws: Workspace, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, cluster, blocks): the sets of every candidate cluster, and in how many blocks it is verified."""
+    clusters = connected_components(ws, links, "candidates").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    sized = clusters.join(texts.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
+    return ws.stash(clusters.join(sized.select("cluster", blocks.alias("blocks")), "cluster").select("id", "cluster", "blocks"), "member")
+
+
+def _member_sets(ws: Workspace, rows: DataFrame, texts: DataFrame, member: DataFrame, n: int) -> DataFrame:
+    """(id, cluster, blocks, grams). Texts are read again where they are, and only the sets of members are dealt.
+
+    A table of bits, FILTER_WORDS words at most whatever the corpus, tells by the document which texts to look at: no member is
+    left out, and what else it lets through goes in the join behind.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(F.lit(41), c), F.lit(FILTER_WORDS * 64))
+    chosen = member.join(texts.select("id", "stand"), "id").select(bit("stand").alias("bit"))
+    words = chosen.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
+    asked = rows.where("id IS NOT NULL").withColumn("bit", bit("id")).withColumn("word", F.shiftright("bit", 6))
+    some = asked.join(F.broadcast(words), "word").where(F.expr("(bits & shiftleft(1L, CAST(bit & 63 AS INT))) <> 0")).select("text")
+    sets = some.mapInArrow(_sets(n), "id long, grams binary")
+    return sets.join(member.hint("merge"), "id").groupBy("id", "cluster", "blocks").agg(F.first("grams").alias("grams"))
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, share: float | None = None) -> DataFrame:
     """(id, n_shingles, component_id), one row for each row of docs.
 
     A document's set: the distinct n-word shingles of the text with A-Z lower-cased, words being runs without ASCII
     white space; with fewer words, the whole sequence as one; without words, or null, empty. Documents link when
     den * intersection >= num * union, empty ones with nothing. component_id: the smallest id reachable by links.
-    Rows with a null id link with nothing and get a null component. Rows that repeat an id and text get the same result;
-    if an id has several texts, each row gets the component of its own text, or of several of them. Shingles are compared
-    by 64-bit hashes. Other columns are ignored.
+    Rows with a null id link with nothing and get a null component. Each row counts with its own text: rows that repeat an id
+    and text get the same result, and those of one id with different texts each the component of their text, which may
+    differ. Shingles are compared by 64-bit hashes, and sets told apart by them. Other columns are ignored.
     share: of the hash space, the part whose shingles are counted.
     """
     spark: SparkSession = docs.sparkSession
@@ -250,27 +384,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cut = min(-(2**63) + int(share * 2**64), 2**63 - 1)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     sketch = ws.stash(rows.mapInArrow(_sketch(n, num, den, cut), "id long, n int, e int, s1 long, s2 long, hist array<int>, grams array<long>"), "sketch")
-    postings = _postings(ws, sketch, num, den, cut)
-    ws.drop()
-    clusters = connected_components(ws, _candidates(ws, postings, num, den), "candidates")
-    sized = clusters.join(sketch.select(F.col("id").alias("node"), "n").dropDuplicates(["node"]), "node")
-    sized = sized.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
-    member = ws.stash(clusters.join(sized.select("component", blocks.alias("blocks")), "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "blocks"), "member")
-    ws.drop("postings")
-    chosen = F.broadcast(member) if member.count() <= BROADCAST_ROWS else member
-    sets = ws.stash(rows.join(chosen, "id").select("id", "cluster", "blocks", "text").mapInArrow(_sets(n), "id long, cluster long, blocks int, grams binary"), "sets")
-    labels = _resolve(ws, sets, num, den)
-    # Exact copies follow the document that stands for them.
+    # Equal sets are one, named by its key; the smallest id of its rows stands for it.
     known = sketch.where("n > 0 AND id IS NOT NULL")
-    stand = known.groupBy("s1", "s2").agg(F.min("id").alias("stand"))
-    own = F.col("n") > 0
-    full = sketch.select("id", "n", F.when(own, F.col("s1")).alias("s1"), F.when(own, F.col("s2")).alias("s2"))
-    full = full.join(stand, ["s1", "s2"], "left")
-    labels = labels.groupBy(F.col("id").alias("stand")).agg(F.min("label").alias("label"))
-    full = full.join(labels, "stand", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("label", "stand", "id"))
-    return full.select("id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    first = F.min_by(F.struct("id", "n", "e", "hist", "grams"), "id").alias("r")
+    texts = ws.stash(known.groupBy("s1", "s2").agg(first).select(F.col("s1").alias("id"), "s2", F.col("r.id").alias("stand"), "r.n", "r.e", "r.hist", "r.grams"), "texts")
+    links = _candidates(ws, _postings(ws, texts, num, den, cut), num, den)
+    member = _members(ws, texts, links)
+    ws.drop("postings", "near")
+    sets = ws.stash(_member_sets(ws, rows, texts, member, n), "sets")
+    labels = _resolve(ws, sets, num, den)
+    # Of each component the smallest id.
+    named = labels.join(texts.select("id", "stand"), "id")
+    least = named.groupBy("label").agg(F.min("stand").alias("least"))
+    moved = named.join(least, "label").select(F.col("id").alias("s1"), "least")
+    full = sketch.select("id", "n", *(F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col(c)).alias(c) for c in ("s1", "s2")))
+    full = full.join(texts.select(F.col("id").alias("s1"), "s2", "stand"), ["s1", "s2"], "left").join(moved, "s1", "left")
+    return full.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "stand", "id").alias("component_id"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
