@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network with calibrated probabilities.
 
 Every word has a sparse random index vector; its word vector sums the index vectors of its neighbours over all of the
-corpus. Words are hashed to a fixed number of slots, so the table has one size whatever the corpus. A document is
+corpus. All words are counted over the corpus; the OWN most frequent have vectors of their own, and the others, each too rare
+to say much alone, share SHARED vectors by hash, so the table has a bounded size and no word is left out. A document is
 pooled as the mean and the deviation of the word vectors of its words.
 """
 
@@ -19,10 +20,16 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import Workspace, free_name
 from tessera.llm.text import blob, splitmix, tokens
 
-#: Slots for words, dimensions of a word vector, non-zero places of an index vector, neighbours on each side.
-SLOTS, DIM, PLACES, REACH = 1 << 13, 64, 4, 2
+#: Words with a vector of their own, at most, and vectors that the others share.
+OWN, SHARED = 1 << 15, 1 << 13
+#: Dimensions of a word vector, non-zero places of an index vector, neighbours on each side.
+DIM, PLACES, REACH = 64, 4, 2
 #: The table is summed in so many ranges of slots.
 RANGES = 64
+#: Words whose counts a task holds.
+HELD_WORDS = 1 << 20
+#: Frequencies are told apart in steps of an eighth of their logarithm to base 2.
+_STEPS = 8
 #: Labelled documents that the network is fitted on, at most; the rest only gets scores.
 SAMPLE = 20_000
 HIDDEN = 32
@@ -39,12 +46,12 @@ _CAPITAL[65:91] = 1
 _NUMBER, _CAPITALS, _AGAIN, _AGAIN2, _SHAPES = 0, 1, 2, 3, 4
 
 
-def slots(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of each word, and the first word of each row (and of the end)."""
+def coded_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, its shape or -1, and the first word of each row (and of the end)."""
     h, start, first = tokens(buf, off, _KINDS)
+    shape = np.full(len(h), -1, np.int64)
     if not len(h):
-        return np.zeros(0, np.int64), first
-    slot = (h % np.uint64(SLOTS - _SHAPES)).astype(np.int64) + _SHAPES
+        return h, shape, first
     kind = _KINDS[buf[start]]
     size = np.diff(start, append=int(off[-1]))
     capitals = np.add.reduceat(_CAPITAL[buf[start[0] : int(off[-1])]], start - start[0])
@@ -53,79 +60,151 @@ def slots(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     long_ = size - blank
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     word = kind == 1
-    out = slot.copy()
     for back, name in ((2, _AGAIN2), (1, _AGAIN)):
         same = np.zeros(len(h), bool)
         same[back:] = (h[back:] == h[:-back]) & (row[back:] == row[:-back])
-        out[same & word] = name
-    out[word & (capitals == long_) & (long_ > 1)] = _CAPITALS
-    out[kind == 2] = _NUMBER
-    return out, first
+        shape[same & word] = name
+    shape[word & (capitals == long_) & (long_ > 1)] = _CAPITALS
+    shape[kind == 2] = _NUMBER
+    return h, shape, first
 
 
-def _index() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the index vectors, (SLOTS, PLACES) each."""
-    r = splitmix(SLOTS * PLACES, 11).reshape(SLOTS, PLACES)
-    return (r % np.uint64(DIM)).astype(np.int64), np.where((r >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+class Vocabulary:
+    """Slots of words: shapes first, then a slot for each frequent word, then those that all others share by hash."""
 
+    def __init__(self, words: np.ndarray):
+        self.words = np.sort(words.astype(np.uint64))
+        self.size = _SHAPES + len(self.words) + SHARED
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over a task's documents: for each range of slots the packed word vectors and word counts."""
-    place, sign = _index()
-    total = np.zeros(SLOTS * DIM)
-    count = np.zeros(SLOTS)
+    def slots(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot of each word, and the first word of each row (and of the end)."""
+        h, shape, first = coded_words(buf, off)
+        slot = (h % np.uint64(SHARED)).astype(np.int64) + _SHAPES + len(self.words)
+        if len(self.words) and len(h):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            slot = np.where(self.words[at] == h, at + _SHAPES, slot)
+        return np.where(shape >= 0, shape, slot), first
+
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and signs of the index vectors, (size, PLACES) each."""
+        r = splitmix(self.size * PLACES, 11).reshape(self.size, PLACES)
+        return (r % np.uint64(DIM)).astype(np.int64), np.where((r >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words of a task's documents, given out whenever HELD_WORDS of them are held."""
+    word, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
-        slot, first = slots(*blob(batch.column("text")))
-        if not len(slot):
-            continue
-        count += np.bincount(slot, minlength=SLOTS)
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        for d in range(1, REACH + 1):
-            near = row[d:] == row[:-d]
-            a, b = slot[:-d][near], slot[d:][near]
-            for x, y in ((a, b), (b, a)):
-                base = x * DIM
-                for k in range(PLACES):
-                    total += np.bincount(base + place[y, k], sign[y, k], minlength=SLOTS * DIM)
-    full = np.concatenate([total.reshape(SLOTS, DIM), count[:, None]], 1).astype(np.int64).reshape(RANGES, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in full], pa.binary())], ["range", "sums"])
+        h, shape, _ = coded_words(*blob(batch.column("text")))
+        some, times = np.unique(h[shape < 0], return_counts=True)
+        word, at = np.unique(np.concatenate([word, some]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, times]), len(word)).astype(np.int64)
+        if len(word) >= HELD_WORDS:
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+            word, n = word[:0], n[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+
+def frequent_words(ws: Workspace, texts: DataFrame, most: int = OWN) -> Vocabulary:
+    """The words of all of texts (text binary) that are at least as frequent as the rarest step of which `most` have room."""
+    counts = ws.stash(texts.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    step = F.floor(F.log2("n") * _STEPS).cast("int")
+    held = {r["step"]: r["words"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()}  # at most 63 * _STEPS rows
+    least, room = None, most
+    for k in sorted(held, reverse=True):
+        room -= held[k]
+        if room < 0:
+            break
+        least = k
+    own = [] if least is None else [r["word"] for r in counts.where(step >= least).select("word").collect()]  # at most `most` rows
+    ws.drop("words")
+    return Vocabulary(np.array(own, np.int64).view(np.uint64))
+
+
+def _pack(slot: np.ndarray, sums: np.ndarray) -> bytes:
+    return zlib.compress(slot.astype(np.int32).tobytes() + sums.astype(np.int64).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    m = len(raw) // (4 + 8 * (DIM + 1))
+    return np.frombuffer(raw, np.int32, m), np.frombuffer(raw, np.int64, offset=4 * m).reshape(m, DIM + 1)
+
+
+def _gather(shared):
+    """Sums over a task's documents: for each range of slots, those in use with their word vectors and word counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        place, sign = words.index()
+        total = np.zeros((words.size, DIM + 1))
+        for batch in batches:
+            slot, first = words.slots(*blob(batch.column("text")))
+            if not len(slot):
+                continue
+            # Sums of the batch's own slots, then added up: the table is large, and a batch uses little of it.
+            names, local = np.unique(slot, return_inverse=True)
+            sums = np.zeros(len(names) * DIM)
+            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            for d in range(1, REACH + 1):
+                near = row[d:] == row[:-d]
+                for x, y in ((local[:-d][near], slot[d:][near]), (local[d:][near], slot[:-d][near])):
+                    for k in range(PLACES):
+                        sums += np.bincount(x * DIM + place[y, k], sign[y, k], minlength=len(sums))
+            total[names, :DIM] += sums.reshape(-1, DIM)
+            total[names, DIM] += np.bincount(local)
+        used = np.flatnonzero(total[:, DIM])
+        range_ = used * RANGES // words.size
+        cuts = np.searchsorted(range_, np.arange(RANGES + 1))
+        some = [k for k in range(RANGES) if cuts[k] < cuts[k + 1]]
+        packed = [_pack(used[cuts[k] : cuts[k + 1]], total[used[cuts[k] : cuts[k + 1]]]) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["range", "sums"])
+
+    return run
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, total = None, None
+    """Adds up what stands side by side for one range."""
+    now, slot, total = None, np.zeros(0, np.int32), np.zeros((0, DIM + 1), np.int64)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_pack(slot, total)], pa.binary())], ["range", "sums"])
+
     for batch in batches:
         for key, data in zip(batch.column("range").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(data), np.int64)
             if key != now:
                 if now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["range", "sums"])
-                now, total = key, x.copy()
-            else:
-                total += x
+                    yield out()
+                now, slot, total = key, slot[:0], total[:0]
+            more, sums = _unpack(data)
+            both, at = np.unique(np.concatenate([slot, more]), return_inverse=True)
+            grown = np.zeros((len(both), DIM + 1), np.int64)
+            grown[at[: len(slot)]] = total
+            grown[at[len(slot) :]] += sums
+            slot, total = both, grown
     if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["range", "sums"])
+        yield out()
 
 
-def word_vectors(texts: DataFrame) -> np.ndarray:
-    """(SLOTS, DIM) standardised word vectors of all rows of texts (text binary). The table's size does not depend on texts."""
-    parts = texts.select("text").mapInArrow(_gather, "range int, sums binary")
-    # Two steps: a range of a large corpus has a part from every task.
+def word_vectors(texts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """(words.size, DIM) standardised word vectors over all rows of texts (text binary). The table's size is bounded."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    parts = texts.select("text").mapInArrow(_gather(shared), "range int, sums binary")
+    # Two steps: a range of a large corpus has a part from every task. Then a row for each range comes to the driver.
     parts = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("range", "salt").sortWithinPartitions("range", "salt")
-    some = parts.select("range", "sums").mapInArrow(_add, "range int, sums binary")
-    sums = {}
-    for row in some.collect():  # at most RANGES * 16 rows, SLOTS * (DIM + 1) * 16 values
-        x = np.frombuffer(bytes(row["sums"]), np.int64)
-        sums[row["range"]] = sums.get(row["range"], 0) + x
-    if not sums:
-        return np.zeros((SLOTS, DIM), np.float32)
-    full = np.concatenate([sums[k] for k in range(RANGES)]).reshape(SLOTS, DIM + 1).astype(np.float64)
-    count = full[:, -1:]
-    v = full[:, :DIM] / np.maximum(count, 1)
-    used = count[:, 0] > 0
-    weight = np.sqrt(count[used])
-    mean = (v[used] * weight).sum(0) / weight.sum()
-    dev = np.sqrt(((v[used] - mean) ** 2 * weight).sum(0) / weight.sum()) + 1e-9
-    return np.where(count > 0, (v - mean) / dev, 0).clip(-8, 8).astype(np.float32)
+    some = parts.select("range", "sums").mapInArrow(_add, "range int, sums binary").repartition("range").sortWithinPartitions("range")
+    v, count = np.zeros((words.size, DIM), np.float32), np.zeros(words.size)
+    for row in some.mapInArrow(_add, "range int, sums binary").toLocalIterator():
+        slot, sums = _unpack(bytes(row["sums"]))
+        v[slot], count[slot] = sums[:, :DIM] / sums[:, DIM:], sums[:, DIM]
+    shared.unpersist()
+    used = count > 0
+    if used.any():
+        weight = np.sqrt(count[used])[:, None]
+        mean = (v[used] * weight).sum(0) / weight.sum()
+        dev = np.sqrt(((v[used] - mean) ** 2 * weight).sum(0) / weight.sum()) + 1e-9
+        v[used] = ((v[used] - mean) / dev).clip(-8, 8)
+    return v
 
 
 def pool(vectors: np.ndarray, slot: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -135,23 +214,23 @@ def pool(vectors: np.ndarray, slot: np.ndarray, first: np.ndarray) -> np.ndarray
     for r in range(rows):
         s = slot[first[r] : first[r + 1]]
         if len(s):
-            n = np.bincount(s, minlength=SLOTS)
-            used = np.flatnonzero(n) if len(s) > SLOTS else np.unique(s)
-            w = n[used].astype(np.float32) / len(s)
+            used, n = np.unique(s, return_counts=True)
+            w = n.astype(np.float32) / len(s)
             v = vectors[used]
             mean = w @ v
             out[r, :DIM] = mean
             out[r, DIM : 2 * DIM] = np.sqrt(np.maximum(w @ (v * v) - mean * mean, 0))
-            out[r, 2 * DIM : 2 * DIM + _SHAPES] = n[:_SHAPES] / len(s)
+            shapes = used < _SHAPES
+            out[r, 2 * DIM + used[shapes]] = n[shapes] / len(s)
             out[r, -1] = np.log1p(len(s)) / 10
     return out
 
 
 def _pool(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = shared.value
+        words, vectors = shared.value
         for batch in batches:
-            x = pool(vectors, *slots(*blob(batch.column("text"))))
+            x = pool(vectors, *words.slots(*blob(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "pooled"])
 
     return run
@@ -221,22 +300,29 @@ def _score(shared):
     return run
 
 
+def _vectors(ws: Workspace, rows: DataFrame):
+    words = frequent_words(ws, rows)
+    return ws.spark.sparkContext.broadcast((words, word_vectors(rows, words)))
+
+
 def pooled_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pooled), written to the workspace; word vectors are of all rows of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    shared = ws.spark.sparkContext.broadcast(word_vectors(rows))
+    shared = _vectors(ws, rows)
     return ws.stash(rows.mapInArrow(_pool(shared), "id long, pooled binary"), "pooled")
 
 
 def _sampled(labels: DataFrame, sample: int) -> DataFrame:
+    """At most `sample` labelled ids, but for a chance of one in some ten thousand: those whose hash is below the share."""
     some = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
-    return some.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(sample)
+    share = (sample - 4 * sample**0.5) / max(1, some.count())
+    return some if share >= 1 else some.where(F.xxhash64(F.lit(5), "id") < int((2 * share - 1) * 2**63))
 
 
 def fit_quality(pooled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | float:
     """A network for labels (id, label 0 or 1), from at most `sample` labelled rows, chosen by hash. With one label alone, or none, a constant score."""
     some = _sampled(labels, sample)
-    got = pooled.where("id IS NOT NULL").join(F.broadcast(some), "id").groupBy("id").agg(F.first("pooled").alias("pooled"), F.first("label").alias("label")).orderBy("id").collect()
+    got = pooled.where("id IS NOT NULL").join(F.broadcast(some), "id").groupBy("id").agg(F.min("pooled").alias("pooled"), F.max("label").alias("label")).orderBy("id").collect()
     if not got:
         return 0.5
     y = np.array([float(r["label"]) for r in got])
@@ -262,9 +348,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def _keep(vectors, network, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, net = vectors.value, network.value
+        (words, table), net = vectors.value, network.value
         for batch in batches:
-            score = net.score(pool(table, *slots(*blob(batch.column(name))))) if batch.num_rows else np.zeros(0)
+            score = net.score(pool(table, *words.slots(*blob(batch.column(name))))) if batch.num_rows else np.zeros(0)
             yield batch.select([k for k in range(batch.num_columns) if batch.schema.names[k] != name]).filter(pa.array(score >= 0.5))
 
     return run
@@ -274,7 +360,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """docs, with all its columns, without the rows that score_quality() scores below 0.5. Each row is decided where it is read."""
     ws = Workspace(docs.sparkSession, "quality")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    shared = ws.spark.sparkContext.broadcast(word_vectors(rows))
+    shared = _vectors(ws, rows)
     some = _sampled(labels, sample)
     pooled = rows.join(F.broadcast(some), "id").select("id", "text").mapInArrow(_pool(shared), "id long, pooled binary")
     net = fit_quality(pooled, labels, sample)
