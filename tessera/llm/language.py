@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from tessera.llm.shared import Workspace
 PROFILE, LONGEST = 300, 3
 #: Characters read at a time.
 _CHUNK = 1 << 20
+#: Counts of n-grams that a task holds.
+HELD_NGRAMS = 1 << 20
 _letters: list[np.ndarray] = []
 
 
@@ -78,8 +80,14 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-gram counts of each language over a task's documents."""
-    held: dict[str, list] = {}
+    """n-gram counts of each language over a task's documents, given out whenever HELD_NGRAMS of them are held."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, (code, count) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(count)], ["lang", "code", "n"])
+        held.clear()
+
     for batch in batches:
         texts: dict[str, list] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -87,28 +95,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, some in texts.items():
             # Words do not run on from one text to the next, so texts are counted together. A space before a word is
             # the one behind the word before, so n-grams from word to word occur; they are part of a profile.
-            for lo in range(0, len(some), 64):
-                parts = [x for x in (letters(t) for t in some[lo : lo + 64]) if len(x)]
-                for x in _joined(parts):
-                    held.setdefault(lang, []).append(count_ngrams(x))
-            if lang in held and len(held[lang]) > 64:
-                held[lang] = [_merge(held[lang])]
-    for lang, some in held.items():
-        code, count = _merge(some)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(count)], ["lang", "code", "n"])
-
-
-def _joined(parts: list[np.ndarray]) -> list[np.ndarray]:
-    out, size, now = [], 0, []
+            for x in _joined(letters(t) for t in some):
+                more = count_ngrams(x)
+                held[lang] = _merge([held[lang], more]) if lang in held else more
+                if sum(len(code) for code, _ in held.values()) >= HELD_NGRAMS:
+                    yield from out()
+    yield from out()
+
+
+def _joined(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Texts behind each other, about _CHUNK characters at a time, one space between two."""
+    size, now = 0, []
     for x in parts:
-        now.append(x[:-1])
-        size += len(x)
-        if size > _CHUNK:
-            out.append(np.concatenate([*now, [32]]))
-            now, size = [], 0
+        if len(x):
+            now.append(x[:-1])
+            size += len(x)
+            if size > _CHUNK:
+                yield np.concatenate([*now, [32]])
+                now, size = [], 0
     if now:
-        out.append(np.concatenate([*now, [32]]))
-    return out
+        yield np.concatenate([*now, [32]])
 
 
 def learn_profiles(texts: DataFrame, length: int = PROFILE) -> dict[str, np.ndarray]:
