@@ -4,6 +4,10 @@ Unit vectors at cosine c lie sqrt(2 - 2c) apart, so the difference of their proj
 is normal with that deviation. On each projection, sorted, the window centred at a query holds the vectors within
 REACH deviations; a pair's collisions over all projections are then binomial, and the least count that a pair
 at the threshold reaches, but for MISS of them, follows. Pairs with that count are verified by their cosine.
+
+Vectors are dealt in blocks, and pairs of blocks are cells of bounded size. Each vector belongs to its nearest pivot; by the
+triangle inequality the balls round two pivots can hold a pair only if these are no farther apart than both radii and the
+distance at the threshold, and a vector goes only to the cells of blocks with such a ball.
 """
 
 from __future__ import annotations
@@ -14,10 +18,10 @@ from math import comb, erf, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.ngram_join import components
+from tessera.llm.ngram_join import stars
 from tessera.llm.shared import Workspace, connected_components, grouped
 
 PROJECTIONS = 24
@@ -25,8 +29,12 @@ PROJECTIONS = 24
 REACH = 1.6
 #: Expected share of pairs at the threshold that the count loses.
 MISS = 1e-6
-#: Vectors of a block.
+#: Vectors of a block, about.
 BLOCK = 2048
+#: Pivots, for vectors of one length.
+PIVOTS = 128
+#: Numbers held at a time when pairs are verified.
+HELD_NUMBERS = 1 << 22
 
 
 def needed(projections: int = PROJECTIONS, reach: float = REACH, miss: float = MISS) -> int:
@@ -50,7 +58,7 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with np.errstate(over="ignore"):
                     x = x if np.isfinite(x).all() and x.any() else None
             raw = x.tobytes() if x is not None else None
-            pair = np.frombuffer(hashlib.blake2b(raw or b"", digest_size=16).digest(), np.int64)
+            pair = np.frombuffer(hashlib.blake2b(raw or b"", digest_size=16, key=str(label).encode()).digest(), np.int64)
             sizes.append(len(x) if x is not None else 0)
             data.append(raw)
             k1.append(pair[0])
@@ -58,6 +66,63 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(sizes, pa.int32()), pa.array(data, pa.binary()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["id", "label", "dim", "vec", "k1", "k2"])
 
 
+def _unit(raw: list[bytes]) -> np.ndarray:
+    x = np.stack([np.frombuffer(v, np.float64) for v in raw])
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _assign(shared):
+    """Adds to each vector its nearest pivot and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, raw = batch.column("dim").to_numpy(), batch.column("vec").to_pylist()
+            pivot, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                p = shared.value[int(d)]
+                x = _unit([raw[k] for k in at])
+                pivot[at] = np.argmax(x @ p.T, 1)
+                far[at] = np.sqrt(((x - p[pivot[at]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(far)], [*batch.schema.names, "pivot", "far"])
+
+    return run
+
+
+def _chain(p: np.ndarray) -> np.ndarray:
+    """p in an order in which each is the nearest of those left to the one before."""
+    left, order = list(range(1, len(p))), [0]
+    while left:
+        order.append(left.pop(int(np.argmax(p[left] @ p[order[-1]]))))
+    return p[order]
+
+
+def _deal(ws: Workspace, distinct: DataFrame, cosine: float) -> DataFrame:
+    """(g1, g2, i, j, id, k2, many, vec, block): every vector in each cell (i, j) of its label and length that may hold a pair with it."""
+    spark = ws.spark
+    turn = Window.partitionBy("dim").orderBy("id", "k2")
+    some = distinct.select("dim", "vec", F.row_number().over(turn).alias("turn")).where(F.col("turn") <= PIVOTS).collect()  # PIVOTS rows of a length
+    pivots = {d: _chain(_unit([bytes(r["vec"]) for r in some if r["dim"] == d])) for d in {r["dim"] for r in some}}
+    apart = [(d, a, b, float(x)) for d, p in pivots.items() for a in range(len(p)) for b, x in enumerate(np.sqrt(((p - p[a]) ** 2).sum(1)))]
+    apart = spark.createDataFrame(apart, "dim int, pivot int, other int, apart double")
+    near = ws.stash(distinct.mapInArrow(_assign(spark.sparkContext.broadcast(pivots)), "label long, dim int, id long, k2 long, stand long, many long, vec binary, pivot int, far double"), "assigned")
+    group = ["label", "dim"]
+    balls = near.groupBy(*group, "pivot").agg(F.count("*").alias("m"), F.max("far").alias("radius"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(*group).orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    balls = ws.stash(balls.withColumn("start", before), "balls")
+    # Rows of balls, PIVOTS at most for a label and length.
+    other = balls.select(*group, F.col("pivot").alias("other"), F.col("radius").alias("other_radius"), F.expr(f"sequence(start div {BLOCK}, (start + m - 1) div {BLOCK})").alias("blocks"))
+    meet = balls.join(other, group).join(F.broadcast(apart), ["dim", "pivot", "other"])
+    meet = meet.where(F.col("apart") <= F.col("radius") + F.col("other_radius") + (2 - 2 * cosine) ** 0.5 + 1e-9)
+    meet = meet.groupBy(*group, "pivot", "start", "m").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("others"))
+    place = F.col("start") + F.floor(F.shiftrightunsigned(F.xxhash64("id", "k2"), 1) / F.lit(2.0**63) * F.col("m")).cast("long")
+    block = F.expr(f"place div {BLOCK}")
+    dealt = near.join(meet, [*group, "pivot"]).withColumn("place", F.least(place, F.col("start") + F.col("m") - 1)).withColumn("block", block)
+    dealt = dealt.select(F.col("label").alias("g1"), F.col("dim").cast("long").alias("g2"), "id", "k2", "many", "vec", "block", F.explode("others").alias("other"))
+    return dealt.select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "k2", "many", "vec", "block")
+
+
 def collisions(a: np.ndarray, b: np.ndarray | None, width: float) -> np.ndarray:
     """For every pair of rows, on how many columns they differ by at most width. Without b, pairs within a, each in one of its two places."""
     count = np.zeros((len(a), len(a) if b is None else len(b)), np.uint8)
@@ -83,9 +148,7 @@ def _match(cosine: float, projections: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, table in grouped(batches, ["g1", "g2", "i", "j"]):
             ids, many, block = (table.column(c).to_numpy() for c in ("id", "many", "block"))
-            x = np.stack([np.frombuffer(v, np.float64) for v in table.column("vec").to_pylist()])
-            x = x / np.abs(x).max(1, keepdims=True)
-            u = x / np.sqrt((x * x).sum(1, keepdims=True))
+            u = _unit(table.column("vec").to_pylist())
             line = u @ np.random.default_rng(seed).standard_normal((u.shape[1], projections))
             # The cell of a block with itself, or of two blocks.
             same = key[2] == key[3]
@@ -96,8 +159,9 @@ def _match(cosine: float, projections: int, seed: int):
             if same:
                 i, j = i[i < j], j[i < j]
             near = np.zeros(len(i), bool)
-            for lo in range(0, len(i), 1 << 16):
-                s = slice(lo, lo + (1 << 16))
+            step = max(1, HELD_NUMBERS // u.shape[1])
+            for lo in range(0, len(i), step):
+                s = slice(lo, lo + step)
                 near[s] = np.einsum("ij,ij->i", u[a[i[s]]], u[b[j[s]]]) >= cosine
             i, j = a[i[near]], b[j[near]]
             if not len(i):
@@ -105,13 +169,14 @@ def _match(cosine: float, projections: int, seed: int):
             links = np.zeros(len(ids), np.int64)
             np.add.at(links, i, many[j])
             np.add.at(links, j, many[i])
-            m = np.zeros((len(ids), len(ids)), bool)
-            m[i, j] = m[j, i] = True
-            of = components(m)
-            least_id = np.full(len(ids), np.iinfo(np.int64).max)
-            np.minimum.at(least_id, of, ids)
+            node, to = stars(ids[i], ids[j])
             keep = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(least_id[of][keep])], ["id", "links", "to"])
+            least_id = ids.copy()
+            order = np.argsort(node)
+            at = np.minimum(np.searchsorted(node[order], ids), len(node) - 1)
+            hit = node[order][at] == ids
+            least_id[hit] = to[order][at[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(least_id[keep])], ["id", "links", "to"])
 
     return run
 
@@ -122,28 +187,26 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors link when their labels are equal and not null and their cosine, in double precision, is at least `cosine`.
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do those of
     different length, nor rows with a null id (their component and kept are null). n_links counts the other rows that a
-    row links to; component_id is the smallest id reachable. Rows that repeat an id count as rows of their own.
-    Equal vectors of a label are one vector with a count, so copies are never paired. Other columns are ignored.
+    row links to; component_id is the smallest id reachable. Rows that repeat an id are vectors of their own: each gets
+    the links and the component of its own vector. Equal vectors of a label are one vector with a count, so copies are never paired. Other columns are ignored.
     """
     spark: SparkSession = vectors.sparkSession
     ws = Workspace(spark, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = ws.stash(rows.mapInArrow(_prepare, "id long, label long, dim int, vec binary, k1 long, k2 long"), "rows")
-    valid = rows.where("dim > 0")
-    same = ["label", "dim", "k1", "k2"]
-    distinct = valid.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("many"), F.first("vec").alias("vec"))
-    distinct = ws.stash(distinct, "distinct")
-    groups = distinct.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")
-    dealt = distinct.join(groups, ["label", "dim"]).select(F.col("label").alias("g1"), F.col("dim").cast("long").alias("g2"), "id", "many", "vec", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "many", "vec", "block")
-    cells = dealt.repartition("g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j")
+    # Equal vectors of a label are one, named by its key; the smallest id of its rows stands for it.
+    distinct = rows.where("dim > 0").groupBy("label", "dim", F.col("k1"), "k2").agg(F.min("id").alias("stand"), F.count("*").alias("many"), F.first("vec").alias("vec"))
+    distinct = ws.stash(distinct.select("label", "dim", F.col("k1").alias("id"), "k2", "stand", "many", "vec"), "distinct")
+    cells = _deal(ws, distinct, cosine).repartition("g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j")
     found = ws.stash(cells.mapInArrow(_match(cosine, projections, seed), "id long, links long, to long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = connected_components(ws, found.select(F.col("id").alias("u"), F.col("to").alias("v")), "links")
-    state = distinct.select(*same, "id", "many").join(links, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    state = state.select(*same, (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("id", F.when(F.col("dim") > 0, F.col("label")).alias("label"), "dim", "k1", "k2").join(state, same, "left")
+    named = distinct.select("id", "stand").join(joined.withColumnRenamed("node", "id"), "id")
+    least = named.groupBy("component").agg(F.min("stand").alias("least"))
+    moved = named.join(least, "component").select("id", "least")
+    state = distinct.select("id", "k2", "stand", "many").join(links, "id", "left").join(moved, "id", "left")
+    state = state.select(F.col("id").alias("k1"), "k2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("least", "stand").alias("component_id"))
+    out = rows.select("id", *(F.when(F.col("dim") > 0, F.col(c)).alias(c) for c in ("k1", "k2"))).join(state, ["k1", "k2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("id") == F.col("component_id"))
 

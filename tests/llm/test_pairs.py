@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import embedding_dedup, ngram_join
 from tessera.llm.embedding_dedup import near_duplicates
@@ -112,16 +113,49 @@ def vectors(seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_near_duplicates(spark, monkeypatch, block):
+def brute_vectors(rows):
+    """(id, links, component, kept) of each row, by comparing all rows; rows are nodes of their own."""
+    good = {k: (np.array(v, float), label) for k, (i, v, label) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all() and any(v) and label is not None}
+    links = [(a, b) for a in good for b in good if a < b and good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] / np.sqrt((good[a][0] @ good[a][0]) * (good[b][0] @ good[b][0])) >= 0.93]
+    comp = smallest(list(range(len(rows))), links)
+    least = {}
+    for k, c in comp.items():
+        if rows[k][0] is not None:
+            least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    return sorted(((i, sum(k in e for e in links), least[comp[k]], least[comp[k]] == i) for k, (i, _, _) in enumerate(rows) if i is not None))
+
+
+@pytest.mark.parametrize("block,pivots", [(2048, 128), (7, 5), (4, 40)])
+def test_near_duplicates(spark, monkeypatch, block, pivots):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(embedding_dedup, "HELD_NUMBERS", 100)
     rows = vectors(4)
-    good = {i: (np.array(v, float), label) for i, v, label in rows if v and None not in v and np.isfinite(v).all() and any(v) and label is not None}
-    links = [(a, b) for a in good for b in good if a < b and good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] / np.sqrt((good[a][0] @ good[a][0]) * (good[b][0] @ good[b][0])) >= 0.93]
-    comp = smallest([r[0] for r in rows], links)
-    want = sorted((i, sum(i in e for e in links), comp[i], comp[i] == i) for i, _, _ in rows)
+    # Ids that stand for several vectors.
+    rows += [(1, rows[40][1], rows[40][2]), (1, [-x for x in rows[3][1]], rows[3][2]), (2, rows[60][1], rows[60][2])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, id string, many int")
-    assert sorted(map(tuple, near_duplicates(df).collect())) == want
+    assert sorted(map(tuple, near_duplicates(df).collect())) == brute_vectors(rows)
+
+
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (None, [1.0, 0.0], 0)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_blocks_that_are_far_apart_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 10)
+    monkeypatch.setattr(embedding_dedup, "PIVOTS", 30)
+    rng = np.random.default_rng(2)
+    centres = np.eye(8)
+    rows = [(i, [float(x) for x in centres[i % 8] + rng.standard_normal(8) * 0.05], 1) for i in range(160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    ws = Workspace(spark, "test")
+    distinct = ws.stash(df.select(F.col("vec_id").alias("id"), F.col("label").cast("long"), F.col("embedding").alias("v")).mapInArrow(embedding_dedup._prepare, "id long, label long, dim int, vec binary, k1 long, k2 long"), "rows")
+    distinct = distinct.select("label", "dim", F.col("k1").alias("id"), "k2", F.col("id").alias("stand"), F.lit(1).cast("long").alias("many"), "vec")
+    dealt = embedding_dedup._deal(ws, distinct, 0.93)
+    assert dealt.count() < 160 * 16 / 2
+    assert sorted(map(tuple, near_duplicates(df).collect())) == brute_vectors(rows)
 
 
 def test_near_duplicates_empty(spark):
