@@ -8,7 +8,6 @@ at once, and of the others only passages between shared bigrams, of a length wit
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -101,19 +100,40 @@ def _within(part: np.ndarray, whole: np.ndarray) -> bool:
     return any(np.array_equal(whole[p : p + len(part)], part) for p in np.flatnonzero(whole == part[0]))
 
 
-def _apart(x: tuple[int, int, int, float], others: list[tuple[int, int, int, float]]) -> bool:
-    return all(x[1] + x[2] < y[1] or y[1] + y[2] < x[1] for y in others)
+class _Taken:
+    """Passages without overlaps."""
 
+    def __init__(self, n: int):
+        self.at = bytearray(n + 1)
 
-def _best(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
-    """The best first, without overlaps."""
-    kept: list[tuple[int, int, int, float]] = []
+    def apart(self, x: tuple[int, int, int, float]) -> bool:
+        return self.at.find(1, x[1], x[1] + x[2] + 1) < 0
+
+    def add(self, x: tuple[int, int, int, float]) -> None:
+        self.at[x[1] : x[1] + x[2] + 1] = b"\1" * (x[2] + 1)
+
+
+def _best(found: list[tuple[int, int, int, float]], n: int) -> list[tuple[int, int, int, float]]:
+    """The best first, without overlaps, of a text of n bigrams."""
+    kept, taken = [], _Taken(n)
     for x in sorted(found, key=lambda x: (-x[3], -x[2], x[1], x[0])):
-        if _apart(x, kept):
+        if taken.apart(x):
+            taken.add(x)
             kept.append(x)
     return kept
 
 
+def _nth_before(code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each place, that of the n-th value before it that equals it; -1 where there are fewer."""
+    order = np.argsort(code, kind="stable")
+    first = np.searchsorted(code[order], code[order])
+    rank = np.arange(len(code)) - n[order]
+    out = np.full(len(code), -1, np.int64)
+    has = rank >= first
+    out[order[has]] = order[rank[has]]
+    return out
+
+
 class Templates:
     """Bigrams of licence templates: how often each has each, and the bounds for passages."""
 
@@ -152,24 +172,29 @@ class Templates:
                 continue
             at = known[self.counts[k, code[known]] > 0]
             upto = np.searchsorted(at, at + high, "left")
-            for p in np.flatnonzero(upto - np.arange(len(at)) >= need - 1e-9):
-                ends = at[p : upto[p]]
-                left, both, best = Counter(), 0, None
-                for e in ends.tolist():
-                    c = int(code[e])
-                    left[c] += 1
-                    both += left[c] <= self.counts[k, c]
-                    m = e - int(at[p]) + 1
-                    dice = 2 * both / (m + self.sizes[k])
-                    if low - 1e-9 <= m and dice >= self.threshold - 1e-12 and (best is None or dice > best[0]):
-                        best = (dice, m)
-                if best:
-                    found.append((k, int(at[p]), best[1], best[0]))
+            p = np.flatnonzero(upto - np.arange(len(at)) >= need - 1e-9)
+            if not len(p):
+                continue
+            # A bigram counts in passages that begin behind the occurrence of it that has used up the template's count.
+            back = _nth_before(code[at], self.counts[k, code[at]])
+            both, best, length = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p), np.int64)
+            on = np.arange(len(p))
+            for step in range(int((upto[p] - p).max())):
+                on = on[p[on] + step < upto[p[on]]]
+                e = p[on] + step
+                both[on] += back[e] < p[on]
+                m = at[e] - at[p[on]] + 1
+                dice = 2 * both[on] / (m + self.sizes[k])
+                good = (low - 1e-9 <= m) & (dice >= self.threshold - 1e-12) & (dice > best[on])
+                best[on[good]], length[on[good]] = dice[good], m[good]
+            hit = length > 0
+            found += zip([k] * int(hit.sum()), at[p[hit]].tolist(), length[hit].tolist(), best[hit].tolist(), strict=True)
         # Where a passage holds what a template adds to another's text, it is no passage of that other.
-        whole = _best([x for x in found if self.continues[x[0]] and self._continued(code, x)])
-        for y in whole:
-            found = [x for x in found if x[0] not in self.continues[y[0]] or _apart(x, [y])]
-        return _best(found)
+        taken: dict[int, _Taken] = {}
+        for y in _best([x for x in found if self.continues[x[0]] and self._continued(code, x)], len(code)):
+            for j in self.continues[y[0]]:
+                taken.setdefault(j, _Taken(len(code))).add(y)
+        return _best([x for x in found if x[0] not in taken or taken[x[0]].apart(x)], len(code))
 
     def _continued(self, code: np.ndarray, x: tuple[int, int, int, float]) -> bool:
         """Whether a passage shares the threshold's part of what its template adds to each that it continues."""

@@ -1,8 +1,10 @@
 import random
+import time
 
 import numpy as np
 
-from tessera.llm.decontamination import contaminated, drop_contaminated, tile, word_hashes
+from tessera.llm import decontamination
+from tessera.llm.decontamination import Items, contaminated, drop_contaminated, tile, word_hashes
 
 
 def greedy(item, doc, least):
@@ -25,27 +27,59 @@ def greedy(item, doc, least):
         tiles.append((i, j, n))
 
 
-def test_tiles_cover_as_greedy_tiling_does():
+def test_tiles_are_those_of_greedy_tiling(monkeypatch):
     rng = random.Random(2)
-    for _ in range(150):
-        item = [rng.randrange(9) for _ in range(rng.randrange(1, 24))]
-        doc = [rng.randrange(9) for _ in range(rng.randrange(0, 30))]
+    for k in range(400):
+        monkeypatch.setattr(decontamination, "HELD_MATCHES", rng.choice([1, 7, 1 << 20]))
+        values = rng.choice([1, 2, 9, 9, 30])
+        item = [rng.randrange(values) for _ in range(rng.randrange(1, 24))]
+        doc = [rng.randrange(values) for _ in range(rng.randrange(0, 30))]
         for _ in range(rng.randrange(3)):
             a = rng.randrange(len(item))
             doc[rng.randrange(len(doc) + 1) :] = item[a : a + rng.randrange(1, 15)]
-        got = tile(np.array(item, np.uint64), np.array(doc, np.uint64), 3)
-        want = greedy(item, doc, 3)
-        assert sorted(n for *_, n in got)[-1:] == sorted(n for *_, n in want)[-1:]
-        used_i, used_j = [], []
-        for i, j, n in got:
-            assert item[i : i + n] == doc[j : j + n] and n >= 3
-            used_i += range(i, i + n)
-            used_j += range(j, j + n)
-        assert len(used_i) == len(set(used_i)) and len(used_j) == len(set(used_j))
-        # Which of equally long matches comes first may differ; nothing that could still be marked is left.
-        rest_i = [x if k not in used_i else -1 for k, x in enumerate(item)]
-        rest_j = [x if k not in used_j else -2 for k, x in enumerate(doc)]
-        assert not greedy(rest_i, rest_j, 3)
+        assert tile(np.array(item, np.uint64), np.array(doc, np.uint64), 3) == greedy(item, doc, 3)
+
+
+def test_decisions_against_brute_force(spark, monkeypatch):
+    """Items that share seeds, repetitive ones and such as hold ties; what is held, with its coverage, by the definition."""
+    monkeypatch.setattr(decontamination, "COMMON", 2)
+    rng = random.Random(6)
+    opening = "which of the following is true"
+    names = [f"n{i}" for i in range(40)]
+    items = [f"{opening} {' '.join(rng.choice(names) for _ in range(rng.randrange(0, 25)))}" for _ in range(12)]
+    items += ["a a a a a a a a a a a a", "a b a b a b a b a b a b a b", opening, "one two", "", None, items[0]]
+    docs = []
+    for k in range(50):
+        words = [rng.choice(names) for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(4)):
+            part = (rng.choice(items) or "x").split()
+            a = rng.randrange(max(1, len(part) // 2))
+            words[rng.randrange(len(words) + 1) : 0] = part[a : a + rng.randrange(1, 30)]
+        docs.append((k, " ".join(words)))
+    docs += [(90, "a " * 60), (91, "a b " * 40), (92, f"{opening} " * 5), (93, "one two"), (94, ""), (95, None), (96, items[3])]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    want = []
+    for i, text in docs:
+        for k, item in enumerate(items):
+            a, b = (item or "").split(), (text or "").split()
+            tiles = greedy(a, b, min(5, len(a))) if a and b else []
+            covered = sum(n for *_, n in tiles)
+            if tiles and covered >= 0.5 * len(a):
+                want.append((i, k, len(a), covered, len(tiles), max(n for *_, n in tiles)))
+    assert sorted((r.id, r.item_id, r.n_words, r.n_covered, r.n_tiles, r.longest) for r in got) == sorted(want) and len(want) > 30
+
+
+def test_shared_seeds_and_repetitive_texts_are_cheap():
+    began = time.time()
+    items = Items(list(range(20_000)), [f"which of the following is {' '.join(f'w{k}x{j}' for j in range(12))}" for k in range(20_000)])
+    built = time.time()
+    assert list(items.matches(["so which of the following is not here " * 20])) == []
+    assert [m[:2] for m in items.matches(["which of the following is " + " ".join(f"w7x{j}" for j in range(12))])] == [(0, 7)]
+    assert time.time() - built < 1 and built - began < 10
+    began = time.time()
+    assert len(tile(np.zeros(60, np.uint64), np.zeros(100_000, np.uint64))) == 1
+    assert sum(n for *_, n in tile(np.arange(60, dtype=np.uint64) % 2, np.arange(50_000, dtype=np.uint64) % 2)) == 60
+    assert time.time() - began < 3
 
 
 def test_word_hashes():

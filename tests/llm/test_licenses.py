@@ -1,8 +1,13 @@
 import random
 import re
+import time
 from collections import Counter
 
-from tessera.llm.licenses import TEMPLATES, THRESHOLD, normalised, scan_licenses
+import numpy as np
+
+from tessera.llm.decontamination import word_hashes
+from tessera.llm.licenses import TEMPLATES, THRESHOLD, Templates, normalised, scan_licenses
+from tessera.llm.text import windows
 
 
 def grams(text):
@@ -101,3 +106,16 @@ def test_near_licences_have_their_own_names(spark):
     for r in scan_licenses(df).orderBy("id", "first_word").collect():
         got.setdefault(r.id, []).append(r.license)
     assert [got.get(k) for k in range(len(cases))] == [want for want, _ in cases]
+
+
+def test_many_notices_in_one_text_are_cheap():
+    templates = Templates(TEMPLATES, THRESHOLD)
+    for name, times in (("mit-line", 20_000), ("apache-notice", 2_000), ("bsd", 500)):
+        words, _ = word_hashes([normalised(TEMPLATES[name][1] + " and then something else ") * times])
+        grams = windows(words, 2)
+        code = np.minimum(np.searchsorted(templates.codes, grams), len(templates.codes) - 1)
+        code = np.where(templates.codes[code] == grams, code, len(templates.codes))
+        began = time.time()
+        found = templates.passages(code)
+        took = time.time() - began
+        assert len([x for x in found if templates.names[x[0]] == name]) == times and took < 4, (name, took)
