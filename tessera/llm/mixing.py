@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from itertools import groupby
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import Workspace, free_name
 
 LEVELS = ("domain", "lang", "source")
+#: Rows of a range of a leaf's order, about.
+RANGE_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -30,41 +33,52 @@ class Mix:
     weights: Mapping[str, Mapping[str | None, float]] = field(default_factory=dict)
     default: Mapping[str, float] = field(default_factory=dict)
 
-    def weight(self, level: str, name: str | None) -> float:
-        return float(self.weights.get(level, {}).get(name, self.default.get(level, 1.0)))
 
+def share_out(nodes: DataFrame, family: list[str], weight: str, capacity: str, amount: str, got: str) -> DataFrame:
+    """Adds `got`: each family's amount by weight, where what a node cannot take goes to the others by weight.
 
-def share_out(amount: float, wants: list[tuple[float, float]]) -> list[float]:
-    """Splits amount over (weight, capacity) by weight; what one cannot take goes to the others by weight."""
-    got = [0.0] * len(wants)
-    open_ = [k for k, (w, c) in enumerate(wants) if w > 0 and c > 0]
-    left = amount
-    while open_ and left > 1e-9:
-        total = sum(wants[k][0] for k in open_)
-        full = [k for k in open_ if left * wants[k][0] / total >= wants[k][1] - got[k]]
-        if not full:
-            for k in open_:
-                got[k] += left * wants[k][0] / total
-            return got
-        for k in full:
-            left -= wants[k][1] - got[k]
-            got[k] = wants[k][1]
-        open_ = [k for k in open_ if k not in full]
-    return got
-
-
-def leaf_budgets(leaves: list[tuple[tuple, float]], budget: float, mix: Mix, depth: int = 0) -> dict[tuple, float]:
-    """Budget of each leaf (path, capacity). A branch's capacity is that of its leaves with a positive weight all the way down."""
-
-    def reach(some: list[tuple[tuple, float]]) -> float:
-        return sum(c for path, c in some if all(mix.weight(LEVELS[d], path[d]) > 0 for d in range(depth + 1, len(LEVELS))))
-
-    key = lambda x: (x[0][depth] is not None, x[0][depth] or "")
-    families = [list(g) for _, g in groupby(sorted(leaves, key=key), key=key)]
-    got = share_out(budget, [(mix.weight(LEVELS[depth], f[0][0][depth]), reach(f)) for f in families])
-    if depth == len(LEVELS) - 1:
-        return {f[0][0]: x for f, x in zip(families, got, strict=True)}
-    return {path: x for f, amount in zip(families, got, strict=True) for path, x in leaf_budgets(f, amount, mix, depth + 1).items()}
+    The nodes of a family fill up in the order of capacity by weight; one is full if at its turn its part of what is left, among those
+    not yet full, is no less than its capacity. Nodes without weight or capacity get nothing.
+    """
+    usable = (F.col(weight) > 0) & (F.col(capacity) > 0)
+    c, w = F.when(usable, F.col(capacity)).otherwise(0.0), F.when(usable, F.col(weight)).otherwise(0.0)
+    all_ = Window.partitionBy(*family)
+    order = all_.orderBy(usable.desc(), (c / F.when(usable, w)).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    before_c, before_w = (F.coalesce(F.sum(x).over(order), F.lit(0.0)) for x in (c, w))
+    full = usable & (c * (F.sum(w).over(all_) - before_w) <= (F.col(amount) - before_c) * w)
+    named = nodes.withColumn("is_full", full)
+    full = F.col("is_full")
+    held = F.sum(F.when(full, c).otherwise(0.0)).over(all_)
+    open_ = F.sum(F.when(full, 0.0).otherwise(w)).over(all_)
+    part = F.when(full, c).when(usable, F.greatest(F.lit(0.0), w * (F.col(amount) - held) / open_)).otherwise(0.0)
+    return named.withColumn(got, part).drop("is_full")
+
+
+def leaf_budgets(ws: Workspace, totals: DataFrame, mix: Mix) -> DataFrame:
+    """totals (domain, lang, source, tokens, m) with `got`: the budget of each leaf.
+
+    The budget is shared out level by level, each family by itself, in tables of one row for a node; only the sum of all tokens comes
+    to the driver. A branch's capacity is that of its leaves with a positive weight all the way down.
+    """
+    spark = ws.spark
+    leaves = totals
+    for level in LEVELS:
+        kind = dict(totals.dtypes)[level]
+        given = spark.createDataFrame([(None if k is None else k, float(w)) for k, w in mix.weights.get(level, {}).items()], f"given {kind}, w double")
+        # A row for each weight that the caller gave.
+        leaves = leaves.join(F.broadcast(given), F.col(level).eqNullSafe(F.col("given")), "left").withColumn(f"w_{level}", F.coalesce("w", F.lit(float(mix.default.get(level, 1.0))))).drop("given", "w")
+    leaves = ws.stash(leaves.withColumn("cap", F.col("tokens").cast("double") * mix.max_epochs), "leaves")
+    budget = mix.budget_share * (leaves.agg(F.sum("tokens")).first()[0] or 0)
+    reach = lambda level: F.sum(F.when(F.col(f"w_{level}") > 0, F.col("cap")).otherwise(0.0)).alias("cap")
+    langs = leaves.groupBy("domain", "lang", "w_domain", "w_lang").agg(reach("source"))
+    domains = langs.groupBy("domain", "w_domain").agg(reach("lang")).withColumn("amount", F.lit(budget))
+    domains = share_out(domains.withColumn("root", F.lit(0)), ["root"], "w_domain", "cap", "amount", "got")
+    for level, nodes, above in (("lang", langs, ("domain",)), ("source", leaves, ("domain", "lang"))):
+        parents = domains if level == "lang" else shared
+        parents = parents.select(*(F.col(k).alias(f"up_{k}") for k in above), F.col("got").alias("amount"))
+        on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"up_{k}")) for k in above))
+        shared = share_out(nodes.join(parents, on).drop(*(f"up_{k}" for k in above)), list(above), f"w_{level}", "cap", "amount", "got")
+    return shared.select(*LEVELS, "tokens", "m", "got")
 
 
 def word_count(text: Column) -> Column:
@@ -91,31 +105,24 @@ def mixture_plan(ws: Workspace, rows: DataFrame, mix: Mix) -> DataFrame:
 
     A leaf takes `whole` epochs, and of the next one the rows whose turn is at most cut (null: none); that at the cut
     gives cut_tokens only. Nothing of a leaf is brought to one task: tokens are summed by ranges of the turn, each of about
-    4096 rows, and only the range in which a budget ends is ordered row by row.
+    4096 rows, and only the range in which a budget ends is ordered row by row. Tables of a row for each leaf are joined as their
+    size allows.
     """
-    spark = ws.spark
     totals = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("m"))
-    leaves = [(tuple(r[k] for k in LEVELS), r["tokens"], r["m"]) for r in totals.collect()]  # a row for each leaf of the tree
-    budget = mix.budget_share * sum(t for _, t, _ in leaves)
-    got = leaf_budgets([(p, float(t * mix.max_epochs)) for p, t, _ in leaves], budget, mix)
-    plan = []
-    for path, tokens, m in leaves:
-        take = int(got[path] + 0.5)
-        whole = take // tokens if tokens else 0
-        plan.append((*path, whole, take - whole * tokens, max(1, m // 4096)))
-    names = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in LEVELS)
-    # As many rows as leaves, which the driver has held: small enough to broadcast.
-    plan = spark.createDataFrame(plan, f"{names}, whole long, rest long, ranges long")
-    turned = rows.alias("r").join(F.broadcast(plan).alias("p"), _same("r", "p")).where("rest > 0").select("r.*", "rest", _turn(mix, F.col("whole"), F.col("id")).alias("turn"), "ranges")
+    got = leaf_budgets(ws, totals, mix).withColumn("take", F.floor(F.col("got") + 0.5).cast("long"))
+    whole = F.when(F.col("tokens") > 0, F.expr("take div tokens")).otherwise(0).cast("long")
+    plan = got.withColumn("whole", whole).withColumn("rest", F.col("take") - F.col("whole") * F.col("tokens")).withColumn("ranges", F.greatest(F.lit(1), F.expr(f"m div {RANGE_ROWS}")).cast("long"))
+    plan = ws.stash(plan.select(*LEVELS, "whole", "rest", "ranges"), "budgets")
+    turned = rows.alias("r").join(plan.where("rest > 0").alias("p"), _same("r", "p")).select("r.*", "rest", _turn(mix, F.col("whole"), F.col("id")).alias("turn"), "ranges")
     turned = turned.withColumn("range", _range(F.col("turn"), F.col("ranges")))
     sums = turned.groupBy(*LEVELS, "range", "rest").agg(F.sum("n_tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = sums.withColumn("before", before).where("before < rest AND before + t >= rest").select(*LEVELS, F.col("range").alias("last"), "before")
-    edge = turned.alias("r").join(F.broadcast(ends).alias("e"), _same("r", "e")).where("range = last").select("r.*", "before")
+    ends = ws.stash(sums.withColumn("before", before).where("before < rest AND before + t >= rest").select(*LEVELS, F.col("range").alias("last"), "before"), "ends")
+    edge = turned.alias("r").join(ends.alias("e"), _same("r", "e")).where("range = last").select("r.*", "before")
     upto = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("turn")) - F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "turn"))
     edge = edge.withColumn("upto", upto).where("upto < rest")
     cuts = edge.groupBy(*LEVELS).agg(F.max("turn").alias("cut"), F.max_by(F.least("n_tokens", F.col("rest") - F.col("upto")), F.struct("turn", "n_tokens")).alias("cut_tokens"))
-    out = plan.alias("r").join(F.broadcast(cuts).alias("e"), _same("r", "e"), "left").select("r.*", "cut", "cut_tokens")
+    out = plan.alias("r").join(cuts.alias("e"), _same("r", "e"), "left").select("r.*", "cut", "cut_tokens")
     return ws.stash(out.drop("rest", "ranges"), "plan")
 
 
@@ -133,7 +140,7 @@ def select_mixture(docs: DataFrame, mix: Mix, domain: Column, lang: str = "lang"
     """
     ws = Workspace(docs.sparkSession, "mixing")
     rows = ws.stash(_rows(docs, domain, lang, source, id_col, text_col), "rows")
-    taken = rows.alias("r").join(F.broadcast(mixture_plan(ws, rows, mix)).alias("p"), _same("r", "p")).select("r.*", "whole", "cut", "cut_tokens", _turn(mix, F.col("whole"), F.col("id")).alias("turn"))
+    taken = rows.alias("r").join(mixture_plan(ws, rows, mix).alias("p"), _same("r", "p")).select("r.*", "whole", "cut", "cut_tokens", _turn(mix, F.col("whole"), F.col("id")).alias("turn"))
     more = F.coalesce(F.col("turn") <= F.col("cut"), F.lit(False))
     last = F.when(F.col("turn") == F.col("cut"), F.least("cut_tokens", "n_tokens")).otherwise(F.col("n_tokens"))
     taken = taken.withColumn("copies", F.col("whole") + more.cast("long")).withColumn("tokens_taken", F.col("whole") * F.col("n_tokens") + F.when(more, last).otherwise(0))
@@ -141,14 +148,15 @@ def select_mixture(docs: DataFrame, mix: Mix, domain: Column, lang: str = "lang"
 
 
 def keep_mixture(docs: DataFrame, mix: Mix, domain: Column, lang: str = "lang", source: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, once each and with all columns, that select_mixture() takes. Texts are not shuffled."""
+    """The rows of docs, once each and with all columns, that select_mixture() takes. Texts are shuffled only if the plan, a row for
+    each leaf, is beyond what Spark broadcasts."""
     ws = Workspace(docs.sparkSession, "mixing")
     rows = ws.stash(_rows(docs, domain, lang, source, id_col, text_col), "rows")
     names = {k: free_name(docs, f"mix_{k}") for k in (*LEVELS, "whole", "cut")}
     plan = mixture_plan(ws, rows, mix).select(*(F.col(k).alias(x) for k, x in names.items()))
     on = domain.eqNullSafe(F.col(names["domain"])) & F.col(lang).eqNullSafe(F.col(names["lang"])) & F.col(source).eqNullSafe(F.col(names["source"]))
     taken = (F.col(names["whole"]) > 0) | (_turn(mix, F.col(names["whole"]), F.col(id_col)) <= F.col(names["cut"]))
-    return docs.join(F.broadcast(plan), on).where(taken).drop(*names.values())
+    return docs.join(plan, on).where(taken).drop(*names.values())
 
 
 def source_domain(source: str = "source") -> Column:

@@ -8,26 +8,63 @@ from pyspark.sql import functions as F
 
 from tessera.llm import language, quality
 from tessera.llm.language import Ranks, count_ngrams, identify_languages, learn_profiles, letters, op8_language_id
-from tessera.llm.mixing import Mix, keep_mixture, leaf_budgets, select_mixture, share_out, word_count
+from tessera.llm.mixing import LEVELS, Mix, keep_mixture, leaf_budgets, select_mixture, share_out, word_count
 from tessera.llm.quality import Network, Vocabulary, coded_words, frequent_words, op2_quality_classifier, pool, score_quality, word_vectors
 from tessera.llm.shared import Workspace
 
 
-def test_share_out():
-    assert share_out(10, [(1, 100), (1, 100)]) == [5, 5]
-    assert share_out(10, [(1, 2), (1, 100)]) == [2, 8]
-    assert share_out(10, [(1, 2), (3, 4), (0, 50)]) == [2, 4, 0]
-    assert share_out(12, [(2, 3), (1, 100), (1, 4)]) == pytest.approx([3, 5, 4])
-    assert share_out(5, []) == []
-
-
-def test_shortage_goes_to_siblings_before_ancestors():
-    leaves = [(("a", "en", "s1"), 1.0), (("a", "en", "s2"), 50.0), (("a", "fr", "s1"), 50.0), (("b", "en", "s1"), 50.0)]
-    got = leaf_budgets(leaves, 40, Mix())
-    assert got == {("a", "en", "s1"): 1.0, ("a", "en", "s2"): 9.0, ("a", "fr", "s1"): 10.0, ("b", "en", "s1"): 20.0}
-    leaves[1] = (("a", "en", "s2"), 2.0)
-    got = leaf_budgets(leaves, 40, Mix())
-    assert got == {("a", "en", "s1"): 1.0, ("a", "en", "s2"): 2.0, ("a", "fr", "s1"): 17.0, ("b", "en", "s1"): 20.0}
+def plain_share(amount, wants):
+    """Splits amount over (weight, capacity) by weight; what one cannot take goes to the others by weight."""
+    got, left = [0.0] * len(wants), amount
+    open_ = [k for k, (w, c) in enumerate(wants) if w > 0 and c > 0]
+    while open_ and left > 1e-9:
+        total = sum(wants[k][0] for k in open_)
+        full = [k for k in open_ if left * wants[k][0] / total >= wants[k][1] - got[k]]
+        if not full:
+            for k in open_:
+                got[k] += left * wants[k][0] / total
+            return got
+        for k in full:
+            left -= wants[k][1] - got[k]
+            got[k] = wants[k][1]
+        open_ = [k for k in open_ if k not in full]
+    return got
+
+
+def plain_budgets(leaves, budget, mix, depth=0):
+    """Budget of each leaf (path, capacity), down the tree."""
+    weight = lambda d, name: float(mix.weights.get(LEVELS[d], {}).get(name, mix.default.get(LEVELS[d], 1.0)))
+    families = defaultdict(list)
+    for path, c in leaves:
+        families[path[depth]].append((path, c))
+    wants = [(weight(depth, name), sum(c for p, c in f if all(weight(d, p[d]) > 0 for d in range(depth + 1, 3)))) for name, f in families.items()]
+    got = plain_share(budget, wants)
+    if depth == 2:
+        return {f[0][0]: x for f, x in zip(families.values(), got, strict=True)}
+    return {p: x for f, amount in zip(families.values(), got, strict=True) for p, x in plain_budgets(f, amount, mix, depth + 1).items()}
+
+
+def test_share_out(spark):
+    cases = [(10, [(1, 100), (1, 100)], [5, 5]), (10, [(1, 2), (1, 100)], [2, 8]), (10, [(1, 2), (3, 4), (0, 50)], [2, 4, 0]), (12, [(2, 3), (1, 100), (1, 4)], [3, 5, 4]), (0, [(1, 5)], [0])]
+    rng = random.Random(5)
+    for _ in range(40):
+        wants = [(rng.choice([0, 1, 1, 2, 0.5]), rng.choice([0, 1, 5, 20, 20])) for _ in range(rng.randrange(1, 7))]
+        amount = rng.choice([1, 7, 30, 1000])
+        cases.append((amount, wants, plain_share(amount, wants)))
+    rows = [(k, i, float(w), float(c), float(a)) for k, (a, wants, _) in enumerate(cases) for i, (w, c) in enumerate(wants)]
+    got = share_out(spark.createDataFrame(rows, "family int, i int, w double, c double, a double"), ["family"], "w", "c", "a", "got").collect()
+    for k, (_, _, want) in enumerate(cases):
+        assert [r.got for r in sorted(got, key=lambda r: r.i) if r.family == k] == pytest.approx(want)
+
+
+def test_shortage_goes_to_siblings_before_ancestors(spark):
+    leaves = [("a", "en", "s1", 1, 1), ("a", "en", "s2", 50, 1), ("a", "fr", "s1", 50, 1), ("b", "en", "s1", 50, 1)]
+    for second, want in ((50, [1, 9, 10, 20]), (2, [1, 2, 17, 20])):
+        leaves[1] = ("a", "en", "s2", second, 1)
+        total = sum(x[3] for x in leaves)
+        df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long, m long")
+        got = leaf_budgets(Workspace(spark, "test"), df, Mix(budget_share=40 / total, max_epochs=1)).orderBy("domain", "lang", "source").collect()
+        assert [r.got for r in got] == pytest.approx(want)
 
 
 def mixture(rows, mix, hashes):
@@ -36,7 +73,7 @@ def mixture(rows, mix, hashes):
     for i, d, lang, s, t in rows:
         groups[d, lang, s].append((i, len((t or "").split())))
     sizes = {k: sum(n for _, n in v) for k, v in groups.items()}
-    budgets = leaf_budgets([(k, float(v * mix.max_epochs)) for k, v in sizes.items()], mix.budget_share * sum(sizes.values()), mix)
+    budgets = plain_budgets([(k, float(v * mix.max_epochs)) for k, v in sizes.items()], mix.budget_share * sum(sizes.values()), mix)
     out = []
     for k, v in groups.items():
         take = int(budgets[k] + 0.5)
