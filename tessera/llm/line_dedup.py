@@ -52,8 +52,8 @@ class LineRuns:
     """Runs of line hashes, each with the document that keeps the line, in levels of at most fanout - 1 runs.
 
     A run is a table bucketed and sorted by hash, one file a bucket, so that a batch that is dealt by hash meets
-    it in a merge join without dealing or sorting the run again. No hash is in two runs. When a level has fanout runs,
-    they are merged into one of the next level.
+    it in a merge join without dealing or sorting the run again. A run holds the lines that were new with its batch, so no
+    hash is in two runs. When a level has fanout runs, they are merged into one of the next level.
     """
 
     def __init__(self, ws: Workspace, fanout: int = 3):
@@ -79,15 +79,15 @@ class LineRuns:
         for level in self.levels:
             for run in level:
                 seen.append(f"k{len(seen)}")
-                state = state.join(spark.table(run).where("fresh").select("h1", "h2", F.col("keep").alias(seen[-1])), ["h1", "h2"], "left")
+                state = state.join(spark.table(run).select("h1", "h2", F.col("keep").alias(seen[-1])), ["h1", "h2"], "left")
         old = F.coalesce(*(F.col(x) for x in seen)) if seen else F.lit(None).cast("long")
-        state = state.select("h1", "h2", F.coalesce(old, "own").alias("keep"), old.isNull().alias("fresh"), (old.isNotNull() | (F.col("own") < F.col("last"))).alias("repeated"))
-        run = self._write(state)
-        # The plain files, not the bucketed table: both sides are dealt anew, so that a line that a third of the documents hold can be split.
-        repeated = spark.read.schema("h1 long, h2 long, keep long, repeated boolean").parquet(self.ws.path(run)).where("repeated").select("h1", "h2", "keep")
+        # One pass over the runs tells both: lines without a match are new and become the run, lines that another document holds repeat.
+        state = self.ws.stash(state.select("h1", "h2", F.coalesce(old, "own").alias("keep"), old.isNull().alias("fresh"), (old.isNotNull() | (F.col("own") < F.col("last"))).alias("repeated")), f"state-{uuid.uuid4().hex}")
+        # Dealt anew on both sides, so that a line that a third of the documents hold can be split.
+        repeated = state.where("repeated").select("h1", "h2", "keep")
         drops = lines.join(repeated.hint("merge"), ["h1", "h2"]).where("id <> keep").groupBy("id").agg(F.collect_list("pos").alias("drops"))
-        drops = self.ws.stash(drops, f"drops-{run}")
-        self._push(run, 0)
+        drops = self.ws.stash(drops, f"drops-{uuid.uuid4().hex}")
+        self._push(self._write(state.where("fresh").select("h1", "h2", "keep").repartition(self.buckets, "h1", "h2")), 0)
         return drops
 
     def _push(self, run: str, level: int) -> None:
@@ -99,7 +99,7 @@ class LineRuns:
             self.levels[level] = []
             union = None
             for name in old:
-                part = self.ws.spark.table(name).where("fresh")
+                part = self.ws.spark.table(name)
                 union = part if union is None else union.union(part)
             merged = self._write(union.repartition(self.buckets, "h1", "h2"))
             self._drop(*old)
@@ -130,11 +130,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sorted_scan = "spark.sql.legacy.bucketedTableScan.outputOrdering"
     before = spark.conf.get(sorted_scan)
     spark.conf.set(sorted_scan, "true")
+    runs = LineRuns(ws, fanout)
     try:
-        runs = LineRuns(ws, fanout)
         drops = [runs.add(lines.where(x)) for x in ranges]
-        runs.close()
     finally:
+        runs.close()
         spark.conf.set(sorted_scan, before)
     ws.drop("lines")
     every = drops[0]
