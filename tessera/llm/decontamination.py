@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace, free_name
+from tessera.llm.shared import free_name, slices, small_batches
 from tessera.llm.text import tokens, windows
 
 #: Words of a seed, and of the shortest tile.
@@ -258,7 +258,7 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, least:
 def _find(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("id").to_pylist()
             got = list(items.matches(batch.column("text").to_pylist()))
             cols = [[ids[g[0]] for g in got], [items.ids[g[1]] for g in got], *([g[k] for g in got] for k in range(2, 6))]
@@ -270,7 +270,7 @@ def _find(shared):
 def _keep(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             bad = {g[0] for g in items.matches(batch.column(name).to_pylist())}
             keep = pa.array([k not in bad for k in range(batch.num_rows)])
             yield batch.select([k for k in range(batch.num_columns) if batch.schema.names[k] != name]).filter(keep)
@@ -278,6 +278,7 @@ def _keep(shared, name: str):
     return run
 
 
+@small_batches
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, item_id, n_words, n_covered, n_tiles, longest, coverage): the documents that hold a benchmark item, and which.
 
@@ -288,26 +289,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     then in the document becomes a tile. Repeated documents or items give a row each; ids
     may be null; other columns are ignored.
     """
-    ws = Workspace(docs.sparkSession, "decontamination")
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     schema = "id long, item_id long, n_words long, n_covered long, n_tiles long, longest long"
     out = None
     for items in benchmark_blocks(benchmark, item_col, item_text_col, least, coverage, block_words):
-        part = rows.mapInArrow(_find(ws.spark.sparkContext.broadcast(items)), schema)
+        part = rows.mapInArrow(_find(spark.sparkContext.broadcast(items)), schema)
         out = part if out is None else out.union(part)
     if out is None:
-        out = ws.spark.createDataFrame([], schema)
+        out = spark.createDataFrame([], schema)
     return out.withColumn("coverage", F.col("n_covered") / F.col("n_words"))
 
 
+@small_batches
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, with all its columns, without the rows that contaminated() finds. Needs no shuffle: each row is decided where it is read."""
-    ws = Workspace(docs.sparkSession, "decontamination")
+    spark = docs.sparkSession
     out = docs
     for items in benchmark_blocks(benchmark, item_col, item_text_col, least, coverage, block_words):
         name = free_name(docs, "text_copy")
         named = out.withColumn(name, F.col(text_col).cast("string"))
-        out = named.mapInArrow(_keep(ws.spark.sparkContext.broadcast(items), name), out.schema)
+        out = named.mapInArrow(_keep(spark.sparkContext.broadcast(items), name), out.schema)
     return out
 
 

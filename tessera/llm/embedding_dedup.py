@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.ngram_join import stars
-from tessera.llm.shared import Workspace, connected_components, grouped
+from tessera.llm.shared import Workspace, connected_components, grouped, slices, small_batches
 
 PROJECTIONS = 24
 #: Half a window, in deviations of a pair at the threshold.
@@ -49,7 +49,7 @@ def needed(projections: int = PROJECTIONS, reach: float = REACH, miss: float = M
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sizes, data, k1, k2 = [], [], [], []
         for v, label, vec_id in zip(batch.column("v").to_pylist(), batch.column("label").to_pylist(), batch.column("id").to_pylist(), strict=True):
             x = None
@@ -181,6 +181,7 @@ def _match(cosine: float, projections: int, seed: int):
     return run
 
 
+@small_batches
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, projections: int = PROJECTIONS, seed: int = 7) -> DataFrame:
     """(id, n_links, component_id, kept), one row for each row of vectors.
 

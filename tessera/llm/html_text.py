@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace
+from tessera.llm.shared import slices, small_batches
 
 #: Elements that run within a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -362,7 +362,7 @@ def main_text(page: str | None, tree: Tree) -> str:
 
 def _extract(tree: Tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(x, tree) for x in batch.column("html").to_pylist()]
             texts = [t.encode("utf-8", "replace").decode() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
@@ -370,13 +370,13 @@ def _extract(tree: Tree):
     return run
 
 
+@small_batches
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars: code points of the text), one row for each row of pages.
 
     Null or empty html, and pages without main text, give an empty text. Nulls in the other columns, repeated rows
     and further columns do not matter. Each page is done by itself, where it is read.
     """
-    Workspace(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(_extract(trained()), f"id {kinds['id']}, url {kinds['url']}, text string, n_chars long")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace
+from tessera.llm.shared import slices, small_batches
 
 #: Length of a profile, and the longest n-gram (at most 3: an n-gram is packed in 63 bits).
 PROFILE, LONGEST = 300, 3
@@ -88,7 +88,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(count)], ["lang", "code", "n"])
         held.clear()
 
-    for batch in batches:
+    for batch in slices(batches):
         texts: dict[str, list] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             texts.setdefault(lang, []).append(text)
@@ -159,13 +159,14 @@ class Ranks:
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [ranks.predict(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["id", "lang_pred", "score"])
 
     return run
 
 
+@small_batches
 def identify_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", length: int = PROFILE) -> DataFrame:
     """(id, lang_pred, score), one row for each row of docs.
 
@@ -174,7 +175,6 @@ def identify_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", t
     no letter, or nothing was learned. score: the share by which the next language is farther. Rows may repeat; other columns are ignored.
     """
     spark = docs.sparkSession
-    Workspace(spark, "language")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
     profiles = learn_profiles(rows.where("learn AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text"), length)
     shared = spark.sparkContext.broadcast(Ranks(profiles, length))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontamination import word_hashes
-from tessera.llm.shared import Workspace
+from tessera.llm.shared import slices, small_batches
 from tessera.llm.text import windows
 
 THRESHOLD = 0.8
@@ -207,7 +207,7 @@ class Templates:
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             words, first = word_hashes([normalised(x) for x in batch.column("text").to_pylist()])
             grams = windows(words, 2)
             row = np.repeat(np.arange(batch.num_rows), np.diff(first))
@@ -225,6 +225,7 @@ def _scan(shared):
     return run
 
 
+@small_batches
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(id, license, template, dice, first_word, n_words): every passage of docs that a template matches, the best of those that overlap.
 
@@ -235,9 +236,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier template wins. A template whose text another's continues (BSD-2-Clause in BSD-3-Clause) gives way to it where
     the passage holds the threshold's part of what the other adds.
     """
-    ws = Workspace(docs.sparkSession, "licenses")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    shared = ws.spark.sparkContext.broadcast(Templates(templates, threshold))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates, threshold))
     return rows.mapInArrow(_scan(shared), "id long, license string, template string, dice double, first_word long, n_words long")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace, cut_points
+from tessera.llm.shared import Workspace, cut_points, slices, small_batches
 from tessera.llm.text import BLANK
 
 _STRIP = BLANK.encode()
@@ -19,7 +19,7 @@ _STRIP = BLANK.encode()
 
 def _lines(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, places, keys = [], [], []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for k, line in enumerate((text or b"").lower().split(b"\n")):
@@ -35,7 +35,7 @@ def _lines(least: int):
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n_lines, n_dropped, kept = [], [], []
         for text, drops in zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist(), strict=True):
             text = text or b""
@@ -110,6 +110,7 @@ class LineRuns:
         self.levels = []
 
 
+@small_batches
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
     """Drops lines whose key another document of smaller id holds.
 

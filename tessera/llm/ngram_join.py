@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace, connected_components, grouped
+from tessera.llm.shared import Workspace, connected_components, grouped, slices, small_batches
 from tessera.llm.text import blob, shingle_sets
 
 #: Hash ranges of the suffix filter.
@@ -37,7 +37,7 @@ FILTER_WORDS = 1 << 18
 
 def _sketch(n: int, num: int, den: int, cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, sent, bins, kept = [], [], [], []
             sets = list(shingle_sets(*blob(batch.column("text")), n))
             for g in sets:
@@ -64,7 +64,7 @@ def _key(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(*blob(batch.column("text")), n))
             yield pa.RecordBatch.from_arrays([pa.array(_key(sets)[:, 0].copy()), pa.array([g.tobytes() for g in sets], pa.binary())], ["id", "grams"])
 
@@ -367,6 +367,7 @@ def _member_sets(ws: Workspace, rows: DataFrame, texts: DataFrame, member: DataF
     return sets.join(member.hint("merge"), "id").groupBy("id", "cluster", "blocks").agg(F.first("grams").alias("grams"))
 
 
+@small_batches
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, share: float | None = None) -> DataFrame:
     """(id, n_shingles, component_id), one row for each row of docs.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace, free_name
+from tessera.llm.shared import Workspace, free_name, slices, small_batches
 from tessera.llm.text import blob, splitmix, tokens
 
 #: Words with a vector of their own, at most, and vectors that the others share.
@@ -93,16 +93,24 @@ class Vocabulary:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the words of a task's documents, given out whenever HELD_WORDS of them are held."""
-    word, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        word, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in held)]), return_inverse=True)
+        return word, np.bincount(at, np.concatenate([np.zeros(0), *(n for _, n in held)]), len(word)).astype(np.int64)
+
+    def out(word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    for batch in slices(batches):
         h, shape, _ = coded_words(*blob(batch.column("text")))
-        some, times = np.unique(h[shape < 0], return_counts=True)
-        word, at = np.unique(np.concatenate([word, some]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n, times]), len(word)).astype(np.int64)
-        if len(word) >= HELD_WORDS:
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
-            word, n = word[:0], n[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+        held.append(np.unique(h[shape < 0], return_counts=True))
+        if sum(len(w) for w, _ in held) >= HELD_WORDS:
+            held = [merge()]
+            # Halfway to the bound it pays no more to merge.
+            if 2 * len(held[0][0]) >= HELD_WORDS:
+                yield out(*held.pop())
+    yield out(*merge())
 
 
 def frequent_words(ws: Workspace, texts: DataFrame, most: int = OWN) -> Vocabulary:
@@ -137,22 +145,29 @@ def _gather(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         place, sign = words.index()
-        total = np.zeros((words.size, DIM + 1))
-        for batch in batches:
+        # Places with a negative sign come behind the others, so that plain counts tell both.
+        code = place + DIM * (sign < 0)
+        total = np.zeros((words.size, DIM + 1), np.int64)
+        name_of = np.zeros(words.size, np.int64)
+        for batch in slices(batches):
             slot, first = words.slots(*blob(batch.column("text")))
             if not len(slot):
                 continue
-            # Sums of the batch's own slots, then added up: the table is large, and a batch uses little of it.
-            names, local = np.unique(slot, return_inverse=True)
-            sums = np.zeros(len(names) * DIM)
+            # Counts of the batch's own slots, then added up: the table is large, and a batch uses little of it.
+            count = np.bincount(slot, minlength=words.size)
+            names = np.flatnonzero(count)
+            name_of[names] = np.arange(len(names))
+            base = (name_of[slot] * (2 * DIM))[:, None]
+            codes = code[slot]
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            hits = []
             for d in range(1, REACH + 1):
                 near = row[d:] == row[:-d]
-                for x, y in ((local[:-d][near], slot[d:][near]), (local[d:][near], slot[:-d][near])):
-                    for k in range(PLACES):
-                        sums += np.bincount(x * DIM + place[y, k], sign[y, k], minlength=len(sums))
-            total[names, :DIM] += sums.reshape(-1, DIM)
-            total[names, DIM] += np.bincount(local)
+                hits += [(base[:-d][near] + codes[d:][near]).ravel(), (base[d:][near] + codes[:-d][near]).ravel()]
+            sums = np.bincount(np.concatenate(hits), minlength=len(names) * 2 * DIM)
+            sums = sums.reshape(-1, 2, DIM)
+            total[names, :DIM] += sums[:, 0] - sums[:, 1]
+            total[:, DIM] += count
         used = np.flatnonzero(total[:, DIM])
         range_ = used * RANGES // words.size
         cuts = np.searchsorted(range_, np.arange(RANGES + 1))
@@ -229,7 +244,7 @@ def pool(vectors: np.ndarray, slot: np.ndarray, first: np.ndarray) -> np.ndarray
 def _pool(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, vectors = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             x = pool(vectors, *words.slots(*blob(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "pooled"])
 
@@ -293,7 +308,7 @@ class Network:
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             x = np.frombuffer(b"".join(batch.column("pooled").to_pylist()), np.float32).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(net.score(x) if len(x) else np.zeros(0), pa.float64())], ["id", "score"])
 
@@ -331,6 +346,7 @@ def fit_quality(pooled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> N
     return Network.fit(np.stack([np.frombuffer(bytes(r["pooled"]), np.float32) for r in got]).astype(np.float64), y)
 
 
+@small_batches
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(id, score), one row for each row of docs: how likely label 1 is, 0 to 1.
 
@@ -349,13 +365,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def _keep(vectors, network, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (words, table), net = vectors.value, network.value
-        for batch in batches:
+        for batch in slices(batches):
             score = net.score(pool(table, *words.slots(*blob(batch.column(name))))) if batch.num_rows else np.zeros(0)
             yield batch.select([k for k in range(batch.num_columns) if batch.schema.names[k] != name]).filter(pa.array(score >= 0.5))
 
     return run
 
 
+@small_batches
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """docs, with all its columns, without the rows that score_quality() scores below 0.5. Each row is decided where it is read."""
     ws = Workspace(docs.sparkSession, "quality")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +15,45 @@ from pyspark.sql import functions as F
 from tessera import storage
 
 
+#: Rows that a function looks at together. Texts are long, so this keeps the Python workers small.
+ROWS = 256
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+_watching: list[list[Workspace]] = []
+
+
+def small_batches(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stages that an operator (of a DataFrame and more) runs by itself send batches of ROWS rows; then the session is as before."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = df.sparkSession.conf
+        before = conf.get(_BATCH_ROWS)
+        conf.set(_BATCH_ROWS, str(ROWS))
+        try:
+            return operator(df, *args, **kwargs)
+        finally:
+            conf.set(_BATCH_ROWS, before)
+
+    return run
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ROWS rows, whatever the session sends."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 class Workspace:
     """A folder of written tables in the shared root. Tables survive lost executors and cut the lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = storage.scratch(spark, name)
-        # Texts are long: small Arrow batches keep the Python workers small.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        for found in _watching:
+            found.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -30,6 +63,10 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def remove(self) -> None:
+        """Deletes all tables, when nothing reads them any more."""
+        storage.delete(self.spark, self.root)
+
     def drop(self, *names: str) -> None:
         """Deletes written tables, and shuffle files of plans that nothing refers to any more."""
         for name in names:
@@ -38,6 +75,19 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+@contextmanager
+def removed_at_end() -> Iterator[None]:
+    """Removes the workspaces that operators make within: for callers who have then written or used the results."""
+    found: list[Workspace] = []
+    _watching.append(found)
+    try:
+        yield
+    finally:
+        _watching.remove(found)
+        for ws in found:
+            ws.remove()
+
+
 def connected_components(ws: Workspace, edges: DataFrame, tag: str) -> DataFrame:
     """(node, component) for the end points of edges (u, v); component is the smallest node reachable.
 

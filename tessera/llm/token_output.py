@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace, cut_points
+from tessera.llm.shared import Workspace, cut_points, slices, small_batches
 from tessera.llm.text import WORDS, blob, splitmix, tokens
 
 #: Words a worker remembers the ids of.
@@ -219,7 +219,7 @@ def _encode(path: str, end: int):
             _known.clear()
             _known[path] = _Encoder(path)
         at, part = 0, None
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             flat, sizes = _known[path].encode(*blob(batch.column("text")), [end])
@@ -238,6 +238,7 @@ def _encode(path: str, end: int):
     return run
 
 
+@small_batches
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0, parts: int | None = None, row_group_mb: int = 16, page_kb: int = 64, encoding: str = "dictionary") -> DataFrame:
     """Writes (part, doc_id, start_in_part, n_tokens, ids) under path, in ascending doc_id, and returns the table as read back.
 
@@ -283,7 +284,7 @@ def part_starts(table: DataFrame) -> DataFrame:
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         ids = batch.column("ids")
         off, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).view("<u4")
         sums = [zlib.crc32(flat[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
@@ -296,12 +297,14 @@ def token_digest(table: DataFrame) -> DataFrame:
     return read.join(F.broadcast(part_starts(table)), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_documents(docs: DataFrame) -> DataFrame:
-    """token_digest of docs, encoded with the public 50k byte-level BPE and end id 0."""
+@small_batches
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """token_digest of docs, encoded with the public 50k byte-level BPE and end id 0. The files are written to path, or else to
+    the shared scratch folder."""
     import public_tokenizers
 
-    ws = Workspace(docs.sparkSession, "tokens")
-    return token_digest(write_tokens(docs, ws.path("ids"), public_tokenizers.path("byte_bpe_50k.json")))
+    path = path or Workspace(docs.sparkSession, "tokens").path("ids")
+    return token_digest(write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -6,11 +7,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tessera import storage
 from tessera.llm import mixing, ngram_join
 from tessera.llm.decontamination import contaminated
 from tessera.llm.mixing import select_mixture
 from tessera.llm.queries import ORACLE_SQL, QUERIES
 from tessera.llm.quality import learning_labels, score_quality
+from tessera.llm.token_output import read_tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +57,13 @@ def test_stages_take_odd_rows(spark):
             docs = stage(spark, docs, SF)
             assert docs.columns == odd.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_sessions_stay_as_they_were_and_scratch_goes(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    root = Path(storage.shared_root(spark))
+    there = set(root.iterdir())
+    got = corpus_pipeline.run(spark, SF, str(tmp_path / "ids"))
+    assert set(root.iterdir()) == there and spark.conf.get(key) == before
+    assert sum(len(r.ids) for r in read_tokens(spark, str(tmp_path / "ids")).collect()) == sum(r.n_tokens for r in got.collect())
