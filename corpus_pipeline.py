@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, mixing, ngram_join, quality, token_output
+from tessera.llm.shared import Workspace, removed_at_end
 
 #: Every leaf at most once, and most of the tokens.
 MIX = replace(mixing.PRODUCTION, budget_share=0.9, max_epochs=1)
@@ -35,9 +36,9 @@ def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixing.keep_mixture(docs, MIX, mixing.source_domain())
 
 
-def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns their digest."""
-    return token_output.encode_documents(docs)
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Writes the token files, to path or else to the shared scratch folder, and returns their digest."""
+    return token_output.encode_documents(docs, path)
 
 
 STAGES = [
@@ -52,14 +53,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each to what the one before has kept and written."""
-    from tessera.llm.shared import Workspace
+def run(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Applies the stages to documents, each to what the one before has kept and written, and removes what is no longer read.
 
+    The token files, which the digest is read from, stay: at path, or else in the shared scratch folder.
+    """
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = ws.stash(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with removed_at_end():
+            docs = ws.stash(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            ws.drop(f"stage{k - 1}")
+    out = token_files(spark, docs, sf_dir, path)
+    ws.remove()
+    return out
