@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera import storage
+
+if TYPE_CHECKING:
+    from tessera.operators.ingest import Store
+
 #: Implicit first column of an ingested table: the batch it came with.
 EPOCH = "__epoch"
 
@@ -84,28 +90,52 @@ class Table:
 
 
 class Catalog:
-    """Databases of tables, with their layouts and batches."""
+    """Databases of tables, with their layouts and batches.
 
-    def __init__(self) -> None:
+    With a root folder, each change is written there before it counts (see storage.Journal), a new session opens what is there, and
+    tables are kept and read under the root. Without one the catalog lives in memory.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, root: str | None = None) -> None:
         self.databases: dict[str, dict[str, Table]] = {}
+        self.spark, self.root, self.version = spark, root, 0
+        self.journal = storage.Journal(spark, f"{root}/_catalog") if root else None
+        if self.journal:
+            self.version, state = self.journal.latest()
+            for database, tables in (state or {}).items():
+                self.databases[database] = {t["name"]: Table(t["name"], T.StructType.fromJson(t["schema"]), t["key"], t["pervasive"], {x["name"]: Layout(**x) for x in t["layouts"]}, dropped=t["dropped"]) for t in tables}
+
+    def _commit(self) -> None:
+        if self.journal:
+            tables = {d: [{"name": t.name, "schema": t.schema.jsonValue(), "key": t.key, "pervasive": t.pervasive, "layouts": [asdict(x) for x in t.layouts.values()], "dropped": t.dropped} for t in held.values()] for d, held in self.databases.items()}
+            self.version = self.journal.commit(self.version, tables)
 
     def create_database(self, name: str) -> None:
         if not name or name in self.databases:
             raise ValueError(f"bad or taken database name: {name!r}")
         self.databases[name] = {}
+        self._commit()
 
     def drop_database(self, name: str) -> None:
         del self.databases[name]
+        if self.root:
+            storage.delete(self.spark, f"{self.root}/{name}")
+        self._commit()
 
     def create_table(self, database: str, name: str, columns: Sequence[str], types: Sequence[str], key_index: int = -1, pervasive: bool = False) -> Table:
         """key_index: column by whose ranges batches are told apart; -1 for the implicit epoch."""
         tables = self.databases[database]
         if not name or name in tables:
             raise ValueError(f"bad or taken table name: {name!r}")
-        schema = schema_of(columns, types)
+        return self.define_table(database, name, schema_of(columns, types), key_index, pervasive)
+
+    def define_table(self, database: str, name: str, schema: T.StructType, key_index: int = -1, pervasive: bool = False) -> Table:
+        """create_table() of a schema that is known."""
+        tables, columns = self.databases[database], schema.names
         if not -1 <= key_index < len(columns):
             raise ValueError(f"no column {key_index}")
         tables[name] = Table(name, schema, EPOCH if key_index < 0 else columns[key_index], pervasive)
+        self._commit()
         return tables[name]
 
     def table(self, database: str, name: str) -> Table:
@@ -118,14 +148,18 @@ class Catalog:
     def drop_table(self, database: str, name: str, hard: bool = False) -> None:
         if hard:
             del self.databases[database][name]
+            if self.root:
+                storage.delete(self.spark, f"{self.root}/{database}/{name}")
         else:
             self.table(database, name).dropped = True
+        self._commit()
 
     def add_column(self, database: str, table: str, name: str, kind: str) -> None:
         t = self.table(database, table)
         names = [f.name for f in t.schema]
         inverse = {str(v): k for k, v in TYPES.items()}
         t.schema = schema_of([*names, name], [*(inverse[str(f.dataType)] for f in t.schema), kind])
+        self._commit()
 
     def drop_column(self, database: str, table: str, name: str) -> None:
         t = self.table(database, table)
@@ -134,6 +168,7 @@ class Catalog:
         if name not in t.schema.names:
             raise KeyError(name)
         t.schema = T.StructType([f for f in t.schema if f.name != name])
+        self._commit()
 
     def add_layout(self, database: str, table: str, layout: Layout) -> Layout:
         """A linked layout takes key kind and number of partitions from what it is linked to, so the two join without a shuffle."""
@@ -147,6 +182,7 @@ class Catalog:
             if column is not None and column not in t.schema.names:
                 raise KeyError(column)
         t.layouts[layout.name] = layout
+        self._commit()
         return layout
 
     def choose_layout(self, database: str, table: str, join_keys: Sequence[str] = (), filter_keys: Sequence[str] = ()) -> Layout:
@@ -159,3 +195,26 @@ class Catalog:
             return (not (x.bucketed and x.partition_key in join_keys), not (x.sort_key in filter_keys), not (x.partition_key in (*join_keys, *filter_keys)))
 
         return min(layouts, key=cost)
+
+    def store(self, database: str, table: str) -> Store:
+        """The batches of a table: those that the root holds, or none yet."""
+        from tessera.operators.ingest import Store
+
+        t = self.table(database, table)
+        path = f"{self.root}/{database}/{table}"
+        try:
+            held = Store.open(self.spark, path)
+        except KeyError:
+            return Store(self.spark, path, list(t.layouts.values()), t.key)
+        for layout in t.layouts.values():
+            if layout.name not in {x.name for x in held.layouts}:
+                held.rewrite(held.layouts[0], layout)
+        return held
+
+    def read(self, database: str, table: str, join_keys: Sequence[str] = (), filter_keys: Sequence[str] = ()) -> DataFrame:
+        """The rows of a table, from the layout that serves a query best. A pervasive table is broadcast, if its rows are few."""
+        from tessera.operators.relational import small
+
+        t, held = self.table(database, table), self.store(database, table)
+        rows = held.read(self.choose_layout(database, table, join_keys, filter_keys))
+        return small(rows, sum(held.batches.values())) if t.pervasive else rows

@@ -1,33 +1,80 @@
 """Batches of a table in several layouts: import, merge, rewrite, deal anew and rebuild after losses.
 
-A table lies under one folder: <root>/<layout>/batch=<n>/range_id=<k>/*.parquet. Reading all batches is the union of their
-rows; a batch is the unit that is imported, merged or rebuilt.
+A table lies under one folder: <root>/<layout>/batch=<n>/range_id=<k>/*.parquet, or <root>/<layout>/batch=<n>/*.parquet for a
+bucketed layout. Reading all batches is the union of their rows; a batch is the unit that is imported, merged or rebuilt. What
+batches, layouts and ranges there are is in <root>/_state, one file for each change: data are written first and count once the
+state that names them is, so a job that was cut off leaves nothing behind but files that no state names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import storage
-from tessera.catalog import Layout
-from tessera.operators.ranges import Range, design, range_id
+from tessera.catalog import EPOCH, Layout
+from tessera.operators.ranges import Range, design, from_json, overlap, range_id, to_json
+from tessera.sources.columnar import write_bucketed
 
 
 @dataclass
 class Store:
-    """The batches of one table."""
+    """The batches of one table. key: a column by whose values batches are told apart: no two may share a value's range."""
 
     spark: SparkSession
     root: str
     layouts: list[Layout]
+    key: str | None = None
     ranges: dict[str, list[Range]] = field(default_factory=dict)
     batches: dict[int, int] = field(default_factory=dict)
+    spans: dict[int, tuple[Any, Any]] = field(default_factory=dict)
+    streams: dict[str, int] = field(default_factory=dict)
     log: list[tuple[str, int, str]] = field(default_factory=list)
+    schema: T.StructType | None = None
+    version: int = 0
+
+    def __post_init__(self) -> None:
+        self.key = None if self.key == EPOCH else self.key
+        self.journal = storage.Journal(self.spark, f"{self.root}/_state")
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> Store:
+        """A store as its last state says; KeyError if there is none."""
+        version, state = storage.Journal(spark, f"{root}/_state").latest()
+        if state is None:
+            raise KeyError(root)
+        return cls(
+            spark,
+            root,
+            [Layout(**x) for x in state["layouts"]],
+            state["key"],
+            {k: [Range(from_json(a), from_json(b)) for a, b in v] for k, v in state["ranges"].items()},
+            {int(k): n for k, n in state["batches"].items()},
+            {int(k): (from_json(a), from_json(b)) for k, (a, b) in state["spans"].items()},
+            state["streams"],
+            [tuple(x) for x in state["log"]],
+            T.StructType.fromJson(state["schema"]) if state["schema"] else None,
+            version,
+        )
+
+    def _commit(self) -> None:
+        state = {
+            "layouts": [asdict(x) for x in self.layouts],
+            "key": self.key,
+            "ranges": {k: [(to_json(r.start), to_json(r.end)) for r in v] for k, v in self.ranges.items()},
+            "batches": self.batches,
+            "spans": {k: (to_json(a), to_json(b)) for k, (a, b) in self.spans.items()},
+            "streams": self.streams,
+            "log": self.log,
+            "schema": self.schema.jsonValue() if self.schema else None,
+        }
+        self.version = self.journal.commit(self.version, state)
 
     def path(self, layout: Layout, batch: int | None = None, part: int | None = None) -> str:
         out = f"{self.root}/{layout.name}"
@@ -42,6 +89,11 @@ class Store:
 
     def _write(self, df: DataFrame, layout: Layout, batch: int) -> None:
         dealt = df
+        if layout.bucketed:
+            name = f"tessera_{hashlib.sha1(self.path(layout, batch).encode()).hexdigest()}"
+            write_bucketed(df, name, self.path(layout, batch), layout)
+            self.spark.sql(f"DROP TABLE {name}")  # the files stay
+            return
         if layout.partition_key:
             ranges = self.ranges[layout.name]
             dealt = df.withColumn("range_id", range_id(F.col(layout.partition_key), ranges)).repartitionById(len(ranges), F.col("range_id"))
@@ -50,25 +102,54 @@ class Store:
         dealt = dealt.sortWithinPartitions("range_id", *([layout.sort_key] if layout.sort_key else []))
         dealt.write.mode("overwrite").option("compression", layout.codec).partitionBy("range_id").parquet(self.path(layout, batch))
 
-    def add(self, df: DataFrame) -> int:
-        """Imports a batch into every layout: the first by dealing the rows, the others from it. Returns the batch's number."""
+    def add(self, df: DataFrame, stream: tuple[str, int] | None = None) -> int:
+        """Imports a batch into every layout: the first by dealing the rows, the others from it. Returns the batch's number.
+
+        stream: the name of a stream and the number of its batch, recorded together with the batch. A batch whose keys overlap with
+        those of another is refused with ValueError.
+        """
         batch = max(self.batches, default=-1) + 1
+        span = tuple(df.agg(F.min(self.key), F.max(self.key)).first()) if self.key else (None, None)
+        for other, held in self.spans.items():
+            if overlap(span, held):
+                raise ValueError(f"keys from {span[0]} to {span[1]} overlap with batch {other}, {held[0]} to {held[1]}")
         self._note("import", batch, "running")
         for layout in self.layouts:
-            if layout.partition_key and layout.name not in self.ranges:
+            if layout.partition_key and not layout.bucketed and layout.name not in self.ranges:
                 self.ranges[layout.name] = design(df, layout.partition_key, layout.partitions)
         self.schema = df.schema
         first = self.layouts[0]
         self._write(df, first, batch)
         for layout in self.layouts[1:]:
             self._write(self.read(first, [batch]), layout, batch)
-        self.batches[batch] = self.spark.read.parquet(self.path(first, batch)).count()
+        self.batches[batch], self.spans[batch] = self.read(first, [batch]).count(), span
+        if stream:
+            self.streams[stream[0]] = stream[1]
         self._note("import", batch, "done")
+        self._commit()
         return batch
 
+    def skip_stream(self, stream: tuple[str, int]) -> None:
+        """Records a batch of a stream that holds no rows."""
+        self.streams[stream[0]] = stream[1]
+        self._commit()
+
+    def table(self, layout: Layout) -> DataFrame:
+        """All batches of a bucketed layout as one bucketed table, registered with this session: joins and groups by its key need no exchange."""
+        name = f"tessera_{hashlib.sha1(f'{self.path(layout)} {self.version}'.encode()).hexdigest()}"
+        if not self.spark.catalog.tableExists(name):
+            sort = layout.sort_key or layout.partition_key
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
+            self.spark.sql(f"CREATE TABLE {name} ({columns}, __batch INT) USING parquet PARTITIONED BY (__batch) CLUSTERED BY (`{layout.partition_key}`) SORTED BY (`{sort}`) INTO {layout.partitions} BUCKETS LOCATION '{self.path(layout)}'")
+            for batch in sorted(self.batches):
+                self.spark.sql(f"ALTER TABLE {name} ADD PARTITION (__batch = {batch}) LOCATION '{self.path(layout, batch)}'")
+        return self.spark.table(name).drop("__batch")
+
     def read(self, layout: Layout | None = None, batches: Sequence[int] | None = None) -> DataFrame:
         """The rows of some batches, or of all; filters on range_id, or on the sort key, skip files or row groups."""
         layout = layout or self.layouts[0]
+        if layout.bucketed and batches is None and self.batches:
+            return self.table(layout)
         paths = [self.path(layout, b) for b in (batches if batches is not None else sorted(self.batches))]
         return self.read_parts(layout, paths).drop("range_id")
 
@@ -77,6 +158,8 @@ class Store:
         schema = T.StructType([*self.schema.fields, T.StructField("range_id", T.IntegerType())])
         if not paths:
             return self.spark.createDataFrame([], schema)
+        if layout.bucketed:
+            return self.spark.read.schema(self.schema).parquet(*paths).withColumn("range_id", F.lit(0))
         out = None
         for p in paths:
             part = self.spark.read.schema(schema).option("basePath", p).parquet(p)
@@ -94,28 +177,48 @@ class Store:
         rows = self.read(self.layouts[0], [new]).count()
         if rows != sum(self.batches[b] for b in batches):
             raise RuntimeError("the merged batch has other rows than its sources")
+        ends = [x for b in batches for x in self.spans[b] if x is not None]
+        self.spans[new] = (min(ends), max(ends)) if ends else (None, None)
         for b in batches:
-            for layout in self.layouts:
-                storage.delete(self.spark, self.path(layout, b))
-            del self.batches[b]
+            del self.batches[b], self.spans[b]
         self.batches[new] = rows
         self._note("merge", new, "done")
+        self._commit()
+        # Only when the new batch counts do the old ones go.
+        for b in batches:
+            for layout in self.layouts:
+                storage.delete(self.spark, self.path(layout, b))
         return new
 
+    def vacuum(self) -> list[str]:
+        """Deletes the folders of batches that the state does not name, left by jobs that were cut off."""
+        gone = []
+        for layout in self.layouts:
+            for name in storage.names(self.spark, self.path(layout)):
+                if name.startswith("batch=") and int(name[6:]) not in self.batches:
+                    storage.delete(self.spark, f"{self.path(layout)}/{name}")
+                    gone.append(f"{layout.name}/{name}")
+        return gone
+
     def rewrite(self, source: Layout, target: Layout) -> None:
         """Adds a layout, made from another one: other sort key, codec, partition key or ranges."""
-        if target.partition_key and target.name not in self.ranges:
-            same = target.partition_key == source.partition_key and target.partitions == source.partitions
+        if target.partition_key and not target.bucketed and target.name not in self.ranges:
+            same = not source.bucketed and target.partition_key == source.partition_key and target.partitions == source.partitions
             self.ranges[target.name] = self.ranges[source.name] if same else design(self.read(source), target.partition_key, target.partitions)
         for b in self.batches:
             self._write(self.read(source, [b]), target, b)
         self.layouts.append(target)
+        self._commit()
 
     def lost(self, layout: Layout, batch: int) -> list[int]:
-        """Ranges of a batch that have rows in another layout, but no files in this one."""
+        """Ranges, or buckets, of a batch that have rows in another layout, but no files in this one."""
         have = {k for k in range(len(self.ranges.get(layout.name, [None]))) if storage.exists(self.spark, self.path(layout, batch, k))}
         other = next(x for x in self.layouts if x.name != layout.name and storage.exists(self.spark, self.path(x, batch)))
         rows = self.read(other, [batch])
+        if layout.bucketed:
+            have = {int(n.split("_")[-1].split(".")[0]) for n in storage.names(self.spark, self.path(layout, batch)) if n.startswith("part-")}
+            want = {r[0] for r in rows.select(F.pmod(F.hash(layout.partition_key), F.lit(layout.partitions)).alias("k")).distinct().collect()}
+            return sorted(want - have)
         ids = range_id(F.col(layout.partition_key), self.ranges[layout.name]) if layout.partition_key else F.lit(0)
         want = {r[0] for r in rows.select(ids.alias("k")).distinct().collect()}
         return sorted(want - have)
@@ -131,7 +234,13 @@ class Store:
         if source is None:
             source = min((x for x in self.layouts if x.name != layout.name), key=lambda x: self.ranges.get(x.name) != self.ranges.get(layout.name))
         self._note("rebuild", batch, "running")
-        if layout.partition_key and self.ranges.get(source.name) == self.ranges[layout.name] and source.partition_key == layout.partition_key:
+        if layout.bucketed:
+            # The files of a batch are written together.
+            self._write(self.read(source, [batch]), layout, batch)
+            self._note("rebuild", batch, "done")
+            self._commit()
+            return parts
+        if layout.partition_key and source.name in self.ranges and self.ranges.get(source.name) == self.ranges[layout.name] and source.partition_key == layout.partition_key:
             rows = self.read_parts(source, [self.path(source, batch)]).where(F.col("range_id").isin(parts)).drop("range_id")
         else:
             rows = self.read(source, [batch])
@@ -147,6 +256,7 @@ class Store:
         finally:
             self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
         self._note("rebuild", batch, "done")
+        self._commit()
         return parts
 
     def compact_log(self) -> int:
@@ -154,4 +264,5 @@ class Store:
         last = {(what, batch): status for what, batch, status in self.log}
         gone = len(self.log) - len(last)
         self.log = [(what, batch, status) for (what, batch), status in last.items()]
+        self._commit()
         return gone

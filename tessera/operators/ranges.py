@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date, datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -82,3 +83,22 @@ def disjoint(ranges: Sequence[Range]) -> bool:
 
     ordered = sorted(ranges, key=lambda r: (r.start is not None, r.start if r.start is not None else 0))
     return all(a.end is not None and b.start is not None and a.end <= b.start for a, b in zip(ordered[:-1], ordered[1:], strict=True))
+
+
+def to_json(value: Any) -> list | None:
+    """A key as JSON with its type."""
+    if value is None:
+        return None
+    return [type(value).__name__, value.isoformat() if isinstance(value, date) else value]
+
+
+def from_json(value: list | None) -> Any:
+    if value is None:
+        return None
+    kind, x = value
+    return {"date": date.fromisoformat, "datetime": datetime.fromisoformat}[kind](x) if kind in ("date", "datetime") else x
+
+
+def overlap(a: tuple[Any, Any], b: tuple[Any, Any]) -> bool:
+    """Whether two (least, greatest) have a key in common; one of no keys has none."""
+    return a[0] is not None and b[0] is not None and a[0] <= b[1] and b[0] <= a[1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import load
 from tessera.functions.scalars import discounted
 from tessera.operators.relational import arg_max, late_lookup, top
-from tessera.plans import tpch
+from tessera.plans import layouts, tpch
 from tessera.plans.shared import Query
 
 LIMIT = 100
@@ -57,7 +57,8 @@ def q01_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.lit("1996-01-01").cast("date")
-    lines = load(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < F.add_months(start, 3)))
+    # The condition on the key is what a join adds: with it, every use of the sums has the same plan, and they are made once.
+    lines = load(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < F.add_months(start, 3)) & F.col("l_suppkey").isNotNull())
     return lines.groupBy("l_suppkey").agg(F.round(F.sum(_volume()), 2).alias("total_revenue"))
 
 
@@ -86,12 +87,12 @@ def q15_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_supplier(spark, sf_dir, most.select("l_suppkey", "total_revenue"))
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").where((F.col("p_brand") == "Brand#3") & (F.col("p_type") == "MEDIUM")).select(F.col("p_partkey").alias("l_partkey"))
+def _chosen(parts: DataFrame) -> DataFrame:
+    return parts.where((F.col("p_brand") == "Brand#3") & (F.col("p_type") == "MEDIUM")).select(F.col("p_partkey").alias("l_partkey"))
 
 
-def _lines17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice")
+def _lines17(lines: DataFrame) -> DataFrame:
+    return lines.select("l_partkey", "l_quantity", "l_extendedprice")
 
 
 def _yearly(df: DataFrame) -> DataFrame:
@@ -99,16 +100,17 @@ def _yearly(df: DataFrame) -> DataFrame:
 
 
 def q17_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merge join on the part key, the sides dealt and sorted alike, then the average of each key in the same task."""
-    joined = _lines17(spark, sf_dir).join(_parts(spark, sf_dir).hint("merge"), "l_partkey")
+    """Merge join of layouts that are dealt and sorted by the part key, then the average of each key in the same task: no exchange but for the sum."""
+    lines, parts = layouts.read(spark, sf_dir, "lineitem", join_keys=("l_partkey",)), layouts.read(spark, sf_dir, "part", join_keys=("p_partkey",))
+    joined = _lines17(lines).join(_chosen(parts).hint("merge"), "l_partkey")
     mean = F.avg("l_quantity").over(Window.partitionBy("l_partkey"))
     return _yearly(joined.withColumn("mean", mean).where(F.col("l_quantity") < 0.2 * F.col("mean")))
 
 
 def q17_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averages of the chosen parts first, then the lines again against them: two scans, and no window over lines."""
-    parts = _parts(spark, sf_dir)
-    lines = _lines17(spark, sf_dir)
+    parts = _chosen(load(spark, sf_dir, "part"))
+    lines = _lines17(load(spark, sf_dir, "lineitem"))
     mean = lines.join(parts, "l_partkey", "left_semi").groupBy("l_partkey").agg((0.2 * F.avg("l_quantity")).alias("least"))
     return _yearly(lines.join(mean, "l_partkey").where(F.col("l_quantity") < F.col("least")))
 
@@ -128,9 +130,9 @@ def q18_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q18_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and lines joined by order key, grouped on the key they are dealt by."""
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    """Layouts by order key joined and grouped where they lie: no exchange before the first 100 are taken."""
+    orders = layouts.read(spark, sf_dir, "orders", join_keys=("o_orderkey",)).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    lines = layouts.read(spark, sf_dir, "lineitem", join_keys=("l_orderkey",)).select("l_orderkey", "l_quantity")
     joined = orders.join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
     sums = joined.groupBy("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty")).where("sum_qty > 300")
     return _q18(spark, sf_dir, sums)

@@ -12,6 +12,7 @@ from tessera.models import recovery
 from tessera.operators import ranges as R
 from tessera.operators import relational
 from tessera.operators.ingest import Store
+from tessera.plans import layouts
 from tessera.plans.shared import Query, plain, query
 from tessera.sources import columnar, text
 
@@ -155,13 +156,8 @@ _both("p16_single_table", "SELECT s_name, s_acctbal FROM {supplier} WHERE s_acct
 
 
 def _bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two bucketed tables on the key: a merge join without an exchange."""
-    names = []
-    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
-        path = storage.scratch(spark, name)
-        names.append("tessera_" + path.rsplit("-", 1)[1])
-        columnar.write_bucketed(load(spark, sf_dir, name), names[-1], path, Layout(name, key, 8, bucketed=True, sort_key=key))
-    orders, lines = (spark.table(n) for n in names)
+    """Two bucketed layouts, written once and chosen by the catalog: a merge join without an exchange."""
+    orders, lines = layouts.read(spark, sf_dir, "orders", join_keys=("o_orderkey",)), layouts.read(spark, sf_dir, "lineitem", join_keys=("l_orderkey",))
     return orders.join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
 
 
@@ -209,6 +205,15 @@ _both("j14_outer_join", "SELECT c_custkey, count(o_orderkey) AS n FROM {customer
 _both("j15_exists", "SELECT o_orderkey FROM {orders} WHERE EXISTS (SELECT * FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL '90' DAY)")
 _both("j15_not_exists", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT * FROM {orders} WHERE o_custkey = c_custkey AND o_orderdate >= DATE '2001-01-01')")
 
+
+
+@_spark("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def j11_pervasive_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that every node has: it goes to the tasks that read the other side."""
+    nations = layouts.read(spark, sf_dir, "nation", join_keys=("n_nationkey",))
+    return load(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+
+
 # Aggregations.
 
 _both("a03_hash_aggregate", "SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {lineitem} GROUP BY l_suppkey")

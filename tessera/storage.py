@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
+import zlib
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 _own: list[str] = []
@@ -55,3 +58,55 @@ def length(spark: SparkSession, path: str) -> int:
 def delete(spark: SparkSession, path: str, recursive: bool = True) -> bool:
     fs, p = filesystem(spark, path)
     return fs.delete(p, recursive)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is missing."""
+    fs, p = filesystem(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+class Journal:
+    """States of something, as numbered files in a folder: each is written whole, by whoever comes first with its number.
+
+    A file that was cut off is known by its checksum and does not count, so a state is there or is not.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 10):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n.split(".")[0]) for n in names(self.spark, self.path) if n.endswith(".json") and n.split(".")[0].isdigit())
+
+    def _read(self, version: int) -> dict | None:
+        fs, p = filesystem(self.spark, f"{self.path}/{version:012d}.json")
+        stream = fs.open(p)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        body, _, code = text.rpartition("\n")
+        return json.loads(body) if code == str(zlib.crc32(body.encode())) else None
+
+    def latest(self) -> tuple[int, dict | None]:
+        """Number and contents of the last whole state; (number, None) if there is none."""
+        found = self._versions()
+        for version in reversed(found):
+            state = self._read(version)
+            if state is not None:
+                return found[-1], state
+        return (found[-1] if found else 0), None
+
+    def commit(self, version: int, state: dict) -> int:
+        """Writes the state that follows `version`; raises if another writer has done so."""
+        body = json.dumps(state)
+        fs, p = filesystem(self.spark, f"{self.path}/{version + 1:012d}.json")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as error:
+            raise RuntimeError(f"{p} is there already: another writer has changed it") from error
+        out.write(bytearray(f"{body}\n{zlib.crc32(body.encode())}".encode()))
+        out.close()
+        for old in self._versions()[: -self.keep]:
+            delete(self.spark, f"{self.path}/{old:012d}.json")
+        return version + 1

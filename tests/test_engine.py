@@ -1,17 +1,20 @@
 import math
 import random
 from datetime import date, datetime
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import storage
+from tessera import jobs, storage
 from tessera.catalog import Catalog, Layout, schema_of
 from tessera.functions import scalars
 from tessera.models import recovery as rec
 from tessera.operators import placement, ranges, relational
 from tessera.operators.ingest import Store
+from tessera.plans import registry
 from tessera.sources import columnar, text
 from tessera.streaming.batches import ingest_arrivals
 
@@ -207,3 +210,122 @@ def test_schedule_and_simulations(spark):
     assert rec.summary(out).where("runs = 4 AND losses = 4 AND deviation > 0").count() == 2
     none = rec.run_simulations(spark, rec.simulate_blocks, range(2), {"x": {"per_node": 5}}, rec.Cluster(racks=2, nodes_per_rack=2, mttf_node=1e12, mttf_rack=1e12), 10.0)
     assert rec.summary(none).first().losses == 0
+
+
+def test_a_new_session_opens_the_catalog_and_its_stores(spark, tmp_path):
+    root = str(tmp_path / "root")
+    df = spark.createDataFrame([(i, i % 7, date(2001, 1, 1 + i % 28), f"s{i}") for i in range(90)], "k long, p int, d date, s string")
+    c = Catalog(spark, root)
+    c.create_database("db")
+    c.create_table("db", "t", ["k", "p", "d", "s"], ["BIGINT", "INTEGER", "DATE", "VARCHAR"], key_index=0)
+    for layout in (Layout("a", "d", 3, sort_key="k"), Layout("b", "p", 4, bucketed=True), Layout("c", "s", 2)):
+        c.add_layout("db", "t", layout)
+    assert [c.store("db", "t").add(df.where(x)) for x in ("k < 30", "k >= 30 AND k < 60", "k >= 60")] == [0, 1, 2]
+    # Another session on the same folder knows all of it.
+    other = spark.newSession()
+    again = Catalog(other, root)
+    assert again.table("db", "t") == c.table("db", "t") and again.choose_layout("db", "t", join_keys=["p"]).name == "b"
+    store = again.store("db", "t")
+    assert store.batches == {0: 30, 1: 30, 2: 30} and store.spans[1] == (30, 59) and store.ranges == c.store("db", "t").ranges
+    for keys in ({"join_keys": ["p"]}, {"filter_keys": ["k"]}, {"filter_keys": ["s"]}):
+        assert rows_of(again.read("db", "t", **keys)) == rows_of(df)
+    assert store.merge([0, 2]) == 3 and store.spans[3] == (0, 89)
+    layout = store.layouts[0]
+    storage.delete(other, store.path(layout, 3, 1))
+    assert Store.open(other, store.root).rebuild(layout, 3) == [1]
+    bucketed = store.layouts[1]
+    for name in storage.names(other, store.path(bucketed, 3)):
+        if "_00002.c000" in name:
+            storage.delete(other, f"{store.path(bucketed, 3)}/{name}")
+    store = Store.open(other, store.root)
+    assert store.lost(bucketed, 3) == [2] and store.rebuild(bucketed, 3) == [2] and store.lost(bucketed, 3) == []
+    assert rows_of(Catalog(spark, root).read("db", "t", join_keys=["p"])) == rows_of(df)
+    again.drop_table("db", "t")
+    with pytest.raises(KeyError):
+        Catalog(spark, root).table("db", "t")
+
+
+def test_batches_whose_keys_overlap_are_refused(spark, tmp_path):
+    df = spark.range(100).selectExpr("id AS k", "CAST(id % 3 AS INT) AS p")
+    store = Store(spark, str(tmp_path / "t"), [Layout("a", "p", 2)], key="k")
+    store.add(df.where("k < 50"))
+    for bad in ("k >= 49", "k > 10 AND k < 20", "k IN (0, 99)"):
+        with pytest.raises(ValueError, match="overlap"):
+            store.add(df.where(bad))
+    assert store.add(df.where("k < 0")) == 1 and store.add(df.where("k >= 50")) == 2
+    assert rows_of(Store.open(spark, store.root).read()) == rows_of(df)
+
+
+def test_what_was_cut_off_does_not_count(spark, tmp_path, monkeypatch):
+    df = spark.range(40).selectExpr("id AS k", "CAST(id % 3 AS INT) AS p")
+    store = Store(spark, str(tmp_path / "t"), [Layout("a", "p", 2)])
+    store.add(df.where("k < 10"))
+    store.add(df.where("k >= 10 AND k < 20"))
+
+    def stop(*_):
+        raise OSError("cut off")
+
+    for job in (lambda s: s.add(df.where("k >= 20")), lambda s: s.merge([0, 1])):
+        broken = Store.open(spark, store.root)
+        monkeypatch.setattr(broken, "_commit", stop)
+        with pytest.raises(OSError):
+            job(broken)
+        after = Store.open(spark, store.root)
+        assert after.batches == {0: 10, 1: 10} and rows_of(after.read()) == rows_of(df.where("k < 20"))
+    after = Store.open(spark, store.root)
+    assert after.vacuum() == ["a/batch=2"] and after.add(df.where("k >= 20")) == 2 and rows_of(after.read()) == rows_of(df)
+    # A state that was cut off while it was written does not count either, and two writers cannot both go on.
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.add(df)
+    journal = storage.Journal(spark, str(tmp_path / "j"))
+    assert journal.latest() == (0, None) and journal.commit(0, {"a": 1}) == 1
+    (tmp_path / "j" / "000000000002.json").write_text('{"a": 2')
+    assert journal.latest() == (2, {"a": 1}) and journal.commit(2, {"a": 3}) == 3 and journal.latest() == (3, {"a": 3})
+
+
+def test_a_stream_batch_that_comes_again_is_not_taken(spark, tmp_path):
+    df = spark.range(20).selectExpr("id AS k", "CAST(id % 3 AS INT) AS p")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    root, checkpoint = str(tmp_path / "t"), str(tmp_path / "c")
+    assert ingest_arrivals(Store(spark, root, [Layout("a", "p", 2)]), str(tmp_path / "in"), df.schema, checkpoint) == [0]
+    # The stream forgets that it is done with its batch, as if Spark had stopped before it could note that.
+    for name in (tmp_path / "c" / "commits").iterdir():
+        name.unlink()
+    store = Store.open(spark.newSession(), root)
+    assert ingest_arrivals(store, str(tmp_path / "in"), df.schema, checkpoint) == [] and rows_of(store.read()) == rows_of(df)
+
+
+@pytest.mark.parametrize("name", ["q17_a", "q18_b", "j01_copartitioned_join"])
+def test_queries_read_layouts_without_an_exchange(spark, name):
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("SelectedBucketsCount") + plan.count("Bucketed: true") >= 2
+
+
+def test_pushdown_of_more_queries(spark):
+    plans = {k: jobs.plan(registry.QUERIES[k](spark, "/root/testdata/sf0.001")) for k in ("q01", "q03", "q14", "s07_key_lookup")}
+    assert "LessThanOrEqual(l_shipdate" in plans["q01"] and "l_orderkey" not in plans["q01"]
+    assert "GreaterThan(l_shipdate" in plans["q03"] and "LessThan(o_orderdate" in plans["q03"]
+    assert "GreaterThanOrEqual(l_shipdate" in plans["q14"] and "In(l_orderkey, " in plans["s07_key_lookup"]
+    # The aggregate that stands in the plan twice runs once.
+    twice = registry.QUERIES["q15_a"](spark, "/root/testdata/sf0.001")
+    twice.collect()
+    assert "ReusedExchange" in twice._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_layouts_skip_row_groups(spark, tmp_path):
+    path = str(tmp_path / "sorted")
+    df = spark.range(200_000).selectExpr("id AS k", "repeat(cast(hash(id) as string), 8) AS s")
+    spark.conf.set("parquet.block.size", 1 << 20)
+    try:
+        columnar.write(df, path, Layout("x", "k", 1, sort_key="k"))
+    finally:
+        spark.conf.unset("parquet.block.size")
+    groups = [f.metadata.row_group(i).num_rows for f in [pq.ParquetFile(str(next(Path(path).glob("*.parquet"))))] for i in range(f.num_row_groups)]
+    assert len(groups) > 3
+    found = columnar.lookup(spark, path, "k", [5])
+    found.collect()
+    metrics = found._jdf.queryExecution().executedPlan()
+    leaf = metrics.collectLeaves().head()
+    rows = leaf.metrics().apply("numOutputRows").value()
+    assert rows < 200_000 / 3
