@@ -10,7 +10,7 @@ from tessera.catalog import Layout, load
 from tessera.functions import scalars
 from tessera.models import recovery
 from tessera.operators import ranges as R
-from tessera.operators import relational
+from tessera.operators import placement, relational
 from tessera.operators.ingest import Store
 from tessera.plans import layouts
 from tessera.plans.shared import Query, plain, query
@@ -32,6 +32,12 @@ def _spark(sql: str):
     return add
 
 
+def _crc32(text: str) -> str:
+    """CRC32 of an ASCII text in DuckDB, bit by bit."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: list_concat([CAST(ascii(substring({text}, i, 1)) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce(list_concat([4294967295], {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+
 # Scans and sinks.
 
 
@@ -232,16 +238,19 @@ _both("a15_min_max", "SELECT min(o_totalprice) AS least, max(o_totalprice) AS gr
 
 
 @_spark(
-    """
-SELECT count(*) AS tuples, count(DISTINCT c_mktsegment) AS n_distinct, CAST(sum(new) AS BIGINT) AS runs, min(c_mktsegment) AS least, max(c_mktsegment) AS greatest FROM (
-  SELECT c_mktsegment, CASE WHEN c_mktsegment = lag(c_mktsegment) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) THEN 0 ELSE 1 END AS new FROM customer)"""
+    f"""
+SELECT count(*) AS tuples, CAST(sum(length(c_mktsegment)) AS BIGINT) AS bytes, count(DISTINCT c_mktsegment) AS n_distinct, CAST(sum(new) AS BIGINT) AS runs, min(c_mktsegment) AS least, max(c_mktsegment) AS greatest, CAST(sum(crc) AS BIGINT) AS checksum FROM (
+  SELECT c_mktsegment, {_crc32("c_mktsegment")} AS crc, CASE WHEN c_mktsegment = lag(c_mktsegment) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) THEN 0 ELSE 1 END AS new FROM customer)"""
 )
 def a16_column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = columnar.column_statistics(load(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", within=("c_nationkey",))
-    return out.select("tuples", F.col("distinct").alias("n_distinct"), "runs", "least", "greatest")
+    return out.select("tuples", "bytes", F.col("distinct").alias("n_distinct"), "runs", "least", "greatest", "checksum")
 
 
-_both("a17_statistics", "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS deviation, round(avg(log10(c_acctbal + 2000)), 6) AS log_mean FROM {customer} GROUP BY c_mktsegment")
+_both(
+    "a17_statistics",
+    "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS deviation, min(c_acctbal) AS least, max(c_acctbal) AS greatest, round(avg(log10(c_acctbal + 2000)), 6) AS log_mean, round(stddev_samp(log10(c_acctbal + 2000)), 6) AS log_deviation FROM {customer} GROUP BY c_mktsegment",
+)
 _both("a19_conditional_sums", "SELECT l_linestatus, CAST(sum(CASE WHEN l_quantity < 10 THEN 1 ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN l_quantity >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS high FROM {lineitem} GROUP BY l_linestatus")
 _both("a20_two_levels", "SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) c GROUP BY n")
 _both("a21_having_scalar", "SELECT l_suppkey, round(sum(l_quantity), 2) AS q FROM {lineitem} GROUP BY l_suppkey HAVING sum(l_quantity) > (SELECT 1.02 * sum(l_quantity) / count(DISTINCT l_suppkey) FROM {lineitem})")
@@ -255,10 +264,11 @@ _both("o06_top_k", "SELECT o_orderkey, o_totalprice, CAST(CAST(o_orderdate AS DA
 _both("o09_limit", "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
 
 
-@_spark("SELECT s_nationkey, count(*) AS uses FROM supplier GROUP BY s_nationkey ORDER BY uses, s_nationkey LIMIT 3")
+@_spark("SELECT n_nationkey AS s_nationkey, count(s_suppkey) AS uses FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal < 2000 GROUP BY n_nationkey ORDER BY uses, n_nationkey LIMIT 12")
 def o10_least_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers = load(spark, sf_dir, "supplier")
-    return relational.least_used(suppliers.select("s_nationkey").distinct(), suppliers, "s_nationkey", 3)
+    """The nations with the fewest poor suppliers, those without one first."""
+    nations = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"))
+    return relational.least_used(nations, load(spark, sf_dir, "supplier").where("s_acctbal < 2000"), "s_nationkey", 12)
 
 
 @_spark("SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT p_brand AS v FROM part UNION SELECT p_type FROM part)")
@@ -283,6 +293,11 @@ def f05_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", F.unbase64(F.base64(F.col("p_name").cast("binary"))).cast("string").alias("back"))
 
 
+@_spark(f"SELECT n_nationkey, {_crc32('n_name')} AS crc FROM nation")
+def f06_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").select("n_nationkey", F.crc32(F.col("n_name").cast("binary")).alias("crc"))
+
+
 @_spark("SELECT a.n_nationkey AS x, b.n_nationkey AS y, CASE WHEN left(a.n_name, 8) = left(b.n_name, 8) THEN CASE WHEN a.n_name = left(b.n_name, length(a.n_name)) THEN a.n_name WHEN b.n_name = left(a.n_name, length(b.n_name)) THEN b.n_name ELSE left(a.n_name, 8) END ELSE left(a.n_name, 7) END AS prefix FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_nationkey <= 12")
 def f07_common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = load(spark, sf_dir, "nation").alias("a"), load(spark, sf_dir, "nation").alias("b")
@@ -340,6 +355,20 @@ def m01_equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.groupBy(F.col("range_id").cast("long").alias("range_id")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("greatest"))
 
 
+@_spark(
+    """
+WITH b AS (SELECT min(p_name) AS lo, max(p_name) AS hi FROM part),
+p AS (SELECT *, (SELECT max(i) FROM range(0, 50) t(i) WHERE left(lo, i) = left(hi, i)) AS k FROM b),
+c AS (SELECT DISTINCT left(hi, CAST(k AS INTEGER)) || chr(CAST(unicode(substring(lo, CAST(k + 1 AS INTEGER), 1)) + (unicode(substring(hi, CAST(k + 1 AS INTEGER), 1)) - unicode(substring(lo, CAST(k + 1 AS INTEGER), 1))) * j // 7 AS INTEGER)) AS cut FROM p, range(7) t(j))
+SELECT range_id, count(*) AS n, min(p_name) AS least, max(p_name) AS greatest FROM (SELECT p_name, CAST((SELECT count(*) FROM c WHERE cut <= p_name) AS INTEGER) AS range_id FROM part) GROUP BY range_id"""
+)
+def m02_string_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of a string key, cut by the first character in which its extremes differ."""
+    part = load(spark, sf_dir, "part").select("p_name")
+    ids = R.range_id(F.col("p_name"), R.design(part, "p_name", 7)).alias("range_id")
+    return part.groupBy(ids).agg(F.count("*").alias("n"), F.min("p_name").alias("least"), F.max("p_name").alias("greatest"))
+
+
 @_spark("SELECT CASE WHEN p_name < 'g' THEN 0 WHEN p_name < 'p' THEN 1 ELSE 2 END AS range_id, count(*) AS n FROM part GROUP BY 1")
 def m03_assign_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range numbers of string keys."""
@@ -418,6 +447,26 @@ def m13_rebuild_other_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rebuilt(spark, sf_dir, BY_SUPPLIER)
 
 
+@_spark(
+    """
+WITH racks AS (SELECT n_name AS rack, row_number() OVER (ORDER BY n_name) - 1 AS k FROM nation),
+groups AS (SELECT r_name AS grp, row_number() OVER (ORDER BY r_name) - 1 AS k, count(*) OVER () AS n FROM region)
+SELECT rack, grp FROM racks JOIN groups ON racks.k % groups.n = groups.k"""
+)
+def m16_place_racks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as racks and regions as groups: each rack goes to the group that has the fewest."""
+    racks = [r[0] for r in load(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]
+    groups = [r[0] for r in load(spark, sf_dir, "region").select("r_name").orderBy("r_name").collect()]
+    return spark.createDataFrame(list(placement.assign_racks(racks, groups).items()), "rack string, grp string")
+
+
+@_spark("SELECT CAST(s AS STRING) AS scheme, CAST(r AS BIGINT) AS range_id, 'node' || CAST((s * 12 + r) % 5 AS STRING) AS node FROM range(2) a(s), range(12) b(r)")
+def m16_place_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """12 ranges in two layouts on five nodes: the load is even, and no node holds a range twice."""
+    placed = placement.place(12, ["0", "1"], [f"node{k}" for k in range(5)])
+    return spark.createDataFrame([(s, r, n) for (s, r), n in placed.items()], "scheme string, range_id long, node string")
+
+
 # Models.
 
 
@@ -428,15 +477,40 @@ def r05_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(200).select(F.col("id").alias("copies"), F.round(network, 6).alias("network"), F.round(scalars.harmonic(network, F.lit(12.0)), 6).alias("rate"))
 
 
-def r01_recoverability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected losses over a year, for some policies and cluster sizes."""
-    G = recovery.Group
-    policies = [[G(3, 60)], [G(2, 30), G(1, 30)], [G(1, 20), G(1, 20), G(1, 20)]]
-    clusters = [recovery.Cluster(racks=r, nodes_per_rack=n) for r, n in ((60, 40), (30, 40), (60, 20))]
-    return recovery.sweep(spark, clusters, policies, horizon=60.0 * 24 * 365, tables=4, fractures=10)
+_POLICIES = [[(3, 60)], [(2, 30), (1, 30)], [(1, 20), (1, 20), (1, 20)]]
+_CLUSTERS = [(60, 40), (30, 40), (60, 20)]
+_R01 = f"""
+WITH RECURSIVE plan(racks, per_rack, policy, member, schemes, held) AS (
+  VALUES {", ".join(f"({r}, {n}, {p}, {k}, {s}, {h})" for r, n in _CLUSTERS for p, groups in enumerate(_POLICIES) for k, (s, h) in enumerate(groups))}
+), fixed AS (
+  SELECT *, sum(schemes) OVER (PARTITION BY racks, per_rack, policy) * 420.0 AS gb, 4.3 * 30 * 24 * 60 AS mn, 10.2 * 365 * 24 * 60 AS mr, 60.0 * 24 * 365 AS horizon FROM plan
+), cases AS (
+  SELECT DISTINCT racks, per_rack, policy, gb, mn, mr FROM fixed
+), rounds(racks, per_rack, policy, gb, mn, mr, k, node, rack) AS (
+  SELECT racks, per_rack, policy, gb, mn, mr, 0, gb * (1 / least(180.0 / 1, 6.0) + 1 / 12.0), gb * (1 / least(180.0 / per_rack, 6.0) + 1 / 12.0) FROM cases
+  UNION ALL
+  SELECT racks, per_rack, policy, gb, mn, mr, k + 1, gb * (1 / least(180.0 / floor(1 + f + 0.5), 6.0) + 1 / 12.0), gb * (1 / least(180.0 / floor(per_rack + f + 0.5), 6.0) + 1 / 12.0)
+  FROM (SELECT *, racks * per_rack * (node / (mn + node) + rack / (mr + rack)) AS f FROM rounds) WHERE k < 19
+), rates AS (
+  SELECT f.*, node, rack, held / schemes * (per_rack / f.mn * pow(1 - exp(-node * (1 / f.mn + 1 / f.mr)), schemes - 1) + 1 / f.mr * pow(1 - exp(-rack / f.mr), schemes - 1)) AS rate,
+    420.0 * racks * per_rack / 40 / (0.6 * held * per_rack) AS deal
+  FROM fixed f JOIN (SELECT * FROM rounds WHERE k = 19) USING (racks, per_rack, policy)
+), lost AS (
+  SELECT racks, per_rack, policy, node, rack, rate * horizon * coalesce((SELECT product(1 - exp(-o.deal * o.rate)) FROM rates o
+    WHERE o.racks = r.racks AND o.per_rack = r.per_rack AND o.policy = r.policy AND o.member <> r.member), 1) AS n FROM rates r
+)
+SELECT CAST(racks AS BIGINT) AS racks, CAST(per_rack AS BIGINT) AS nodes_per_rack, CAST(policy AS BIGINT) AS policy, round(node, 6) AS node_minutes, round(rack, 6) AS rack_minutes, round(log10(sum(n) * 40), 6) AS log10_losses
+FROM lost GROUP BY racks, per_rack, policy, node, rack"""
 
 
-QUERIES["r01_recoverability"] = r01_recoverability
+@_spark(_R01)
+def r01_recoverability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected losses within a year, for some policies and cluster sizes; 4 tables of 10 fractures."""
+    policies = [[recovery.Group(*g) for g in groups] for groups in _POLICIES]
+    clusters = [recovery.Cluster(racks=r, nodes_per_rack=n) for r, n in _CLUSTERS]
+    out = recovery.expected_losses(recovery.plans(spark, clusters, policies), 60.0 * 24 * 365, tables=4, fractures=10)
+    return out.select("racks", "nodes_per_rack", "policy", F.round("node_minutes", 6).alias("node_minutes"), F.round("rack_minutes", 6).alias("rack_minutes"), F.round(F.log10("losses"), 6).alias("log10_losses"))
+
 
 _TINY = recovery.Cluster(racks=6, nodes_per_rack=4, gb_per_node=20.0, mttf_node=3_000.0, mttf_rack=20_000.0)
 

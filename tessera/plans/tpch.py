@@ -116,8 +116,9 @@ WHERE (p_partkey = l_partkey AND p_brand = 'Brand#1' AND l_quantity >= 1 AND l_q
    OR (p_partkey = l_partkey AND p_brand = 'Brand#3' AND l_quantity >= 20 AND l_quantity <= 30 AND p_size BETWEEN 1 AND 15)""",
     "q20": """
 SELECT s_suppkey, s_name FROM {supplier}, {nation}
-WHERE s_suppkey IN (SELECT l_suppkey FROM (SELECT l_partkey, l_suppkey, max(l_quantity) AS most, 0.5 * avg(l_quantity) AS half FROM {lineitem} GROUP BY l_partkey, l_suppkey) ps
-    WHERE l_partkey IN (SELECT p_partkey FROM {part} WHERE p_name LIKE 'small%') AND most > half)
+WHERE s_suppkey IN (SELECT l_suppkey FROM (SELECT l_partkey, l_suppkey, sum(l_quantity) AS available FROM {lineitem} WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1999-01-01' GROUP BY l_partkey, l_suppkey) ps
+    WHERE l_partkey IN (SELECT p_partkey FROM {part} WHERE p_name LIKE 'small%')
+      AND available > (SELECT 0.5 * sum(l.l_quantity) FROM {lineitem} l WHERE l.l_partkey = ps.l_partkey AND l.l_suppkey = ps.l_suppkey AND l.l_shipdate >= DATE '1995-01-01' AND l.l_shipdate < DATE '1997-01-01'))
   AND s_nationkey = n_nationkey AND n_regionkey = 1 ORDER BY s_suppkey""",
     "q21": """
 SELECT s_name, count(*) AS numwait FROM {supplier}, {lineitem} l1, {orders}, {nation}

@@ -52,8 +52,11 @@ def runs(df: DataFrame, value: str, *order: str, within: tuple[str, ...] = ()) -
 
 
 def column_statistics(df: DataFrame, column: str, *order: str, within: tuple[str, ...] = ()) -> DataFrame:
-    """One row: tuples, distinct values, runs in an order, least and greatest value, and a checksum of the values that does not depend on their order."""
+    """One row: tuples, bytes of the values as text, distinct values, runs in an order, least and greatest value, and the sum of the values' CRC32, which does not
+    depend on their order."""
     line = Window.partitionBy(*within).orderBy(*order)
     new = (~F.col(column).eqNullSafe(F.lag(column).over(line)) | (F.row_number().over(line) == 1)).cast("long")
-    code: Column = F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
-    return df.select(F.col(column).alias("v"), new.alias("n"), code.alias("c")).agg(F.count("*").alias("tuples"), F.count_distinct("v").alias("distinct"), F.sum("n").alias("runs"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.sum("c").alias("checksum"))
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    code: Column = F.crc32(text.cast("binary"))
+    rows = df.select(F.col(column).alias("v"), new.alias("n"), code.alias("c"), F.octet_length(text).cast("long").alias("b"))
+    return rows.agg(F.count("*").alias("tuples"), F.sum("b").alias("bytes"), F.count_distinct("v").alias("distinct"), F.sum("n").alias("runs"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.sum("c").alias("checksum"))

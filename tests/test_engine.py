@@ -178,15 +178,27 @@ def test_placement():
     assert all(placement.place(4, ["a"], ["n1"], beside=beside)["a", r] == f"m{r}" for r in range(4))
 
 
-def test_expected_losses():
+def test_expected_losses(spark):
     c = rec.Cluster()
-    one = rec.expected_losses(c, [rec.Group(1, 60)], 1000.0)
-    assert one == pytest.approx(1000 / c.mttf_node * 2400 + 1000 / c.mttf_rack * 60)
-    losses = [rec.expected_losses(c, [rec.Group(k, 60)], 1000.0) for k in (1, 2, 3)]
-    assert losses == sorted(losses, reverse=True) and losses[2] > 0
-    node, rack = rec.recovery_times(c, 3)
-    assert node >= 420 * 3 / c.copy(1) and rack > node
-    assert rec.expected_losses(c, [rec.Group(1, 30), rec.Group(1, 30)], 1000.0, fracture_gb=1e9) == pytest.approx(1000 / c.mttf_node * 2400 + 1000 / c.mttf_rack * 60)
+    year = 60.0 * 24 * 365
+
+    def losses(policies, **kwargs):
+        rows = rec.expected_losses(rec.plans(spark, [c], policies), year, **kwargs).collect()
+        return [r.losses for r in sorted(rows, key=lambda r: r.policy)], sorted(rows, key=lambda r: r.policy)
+
+    # One layout: any failure of its nodes or racks, for every table.
+    (one, two, three), rows = losses([[rec.Group(k, 60)] for k in (1, 2, 3)], tables=4)
+    assert one == pytest.approx(4 * (year / c.mttf_node * 2400 + year / c.mttf_rack * 60))
+    assert one > two > three > 0
+    for k, r in enumerate(rows, 1):
+        assert r.node_minutes >= 420 * k / c.copy(1) and r.rack_minutes >= r.node_minutes
+        # The times are a fixed point.
+        failing = c.nodes * (r.node_minutes / (c.mttf_node + r.node_minutes) + r.rack_minutes / (c.mttf_rack + r.rack_minutes))
+        assert r.node_minutes == pytest.approx(420 * k / c.copy(math.floor(1 + failing + 0.5)))
+    # Smaller fractures are dealt sooner, so fewer are lost meanwhile.
+    (few,), _ = losses([[rec.Group(2, 30), rec.Group(1, 30)]], tables=4, fractures=1)
+    (many,), _ = losses([[rec.Group(2, 30), rec.Group(1, 30)]], tables=4, fractures=1000)
+    assert 0 < many < few * 1000
 
 
 def test_schedule_and_simulations(spark):
