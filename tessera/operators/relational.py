@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import storage
+
 #: Rows up to which a side counts as small.
 SMALL = 100_000
 
@@ -42,9 +44,15 @@ def dictionary(df: DataFrame, column: str) -> DataFrame:
 
     Only distinct values are numbered, in partitions by range: a count of each partition gives the first code of the next.
     """
+    spark = df.sparkSession
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ordered = values.repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id())
+    # Written once, with the partition that each value is in: counts and numbers are of the same partitions, however they are read.
+    path = storage.scratch(spark, "dictionary")
+    ranged = values.repartitionByRange(F.col(column)).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ordered = spark.read.schema(ranged.schema).parquet(path)
     parts = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min(column).alias("_low"))
+    # A row for each partition.
     first = parts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_first")
     line = Window.partitionBy("_part").orderBy(column)
     return ordered.join(F.broadcast(first), "_part").select(column, (F.col("_first") + F.row_number().over(line) - 1).cast("long").alias("code"))

@@ -300,6 +300,7 @@ def f06_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_spark("SELECT a.n_nationkey AS x, b.n_nationkey AS y, CASE WHEN left(a.n_name, 8) = left(b.n_name, 8) THEN CASE WHEN a.n_name = left(b.n_name, length(a.n_name)) THEN a.n_name WHEN b.n_name = left(a.n_name, length(b.n_name)) THEN b.n_name ELSE left(a.n_name, 8) END ELSE left(a.n_name, 7) END AS prefix FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_nationkey <= 12")
 def f07_common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of nations, of which there are 25 at every scale: a nested loop is fine."""
     a, b = load(spark, sf_dir, "nation").alias("a"), load(spark, sf_dir, "nation").alias("b")
     pairs = a.join(b, (F.col("a.n_nationkey") < F.col("b.n_nationkey")) & (F.col("a.n_nationkey") <= 12))
     return pairs.select(F.col("a.n_nationkey").alias("x"), F.col("b.n_nationkey").alias("y"), scalars.common_prefix(F.col("a.n_name"), F.col("b.n_name")).alias("prefix"))

@@ -341,3 +341,73 @@ def test_sorted_layouts_skip_row_groups(spark, tmp_path):
     leaf = metrics.collectLeaves().head()
     rows = leaf.metrics().apply("numOutputRows").value()
     assert rows < 200_000 / 3
+
+
+def test_schedule_against_the_definition():
+    """Each node and rack fails after exponential times, again and again; all failures of all of them, in order."""
+    c = rec.Cluster(racks=3, nodes_per_rack=2, mttf_node=300.0, mttf_rack=900.0)
+    rng = np.random.default_rng(9)
+    want = []
+    for kind, units, mean in (("node", 6, 300.0), ("rack", 3, 900.0)):
+        for k in range(units):
+            t = 0.0
+            while True:
+                t += -mean * math.log(1 - rng.random())
+                if t >= 5000:
+                    break
+                want.append((t, kind, k))
+    got = rec.schedule(c, 5000, 9)
+    assert [(k, n) for _, k, n in got] == [(k, n) for _, k, n in sorted(want)] and np.allclose([t for t, *_ in got], sorted(t for t, *_ in want))
+
+
+def plain_blocks(c, horizon, seed, replication, per_node):
+    """simulate_blocks() with a set of nodes for each block, and nothing kept from event to event but what is left to copy."""
+    blocks = [set(map(int, b)) for b in rec.place_blocks(c, replication, 1 / 16, True, per_node=per_node)]
+    left, now = {}, 0.0
+    for t, kind, which in rec.schedule(c, horizon, seed):
+        while left:
+            rate = c.network(len(left))
+            step = max(0.0, (min(left.values()) - 0.5) / rate)
+            part = min(step, t - now)
+            left = {n: x - rate * part for n, x in left.items()}
+            now += part
+            if part < step:
+                break
+            left = {n: x for n, x in left.items() if x > 0.5 + 1e-9}
+        now = t
+        for n in [which] if kind == "node" else range(which * c.nodes_per_rack, (which + 1) * c.nodes_per_rack):
+            left[n] = c.gb_per_node
+            if any(b <= set(left) for b in blocks):
+                return t
+    return math.inf
+
+
+@pytest.mark.parametrize("replication", [1, 2, 3])
+def test_block_store_against_brute_force(replication):
+    c = rec.Cluster(racks=4, nodes_per_rack=3, gb_per_node=30, mttf_node=900.0, mttf_rack=6000.0)
+    got = [rec.simulate_blocks(c, 6_000, s, replication=replication, per_node=6) for s in range(25)]
+    assert got == pytest.approx([plain_blocks(c, 6_000, s, replication, 6) for s in range(25)]) and len(set(got)) > 5
+
+
+def test_fractured_store_in_the_limits():
+    """Without recovery data are lost when every copy's node has failed; with instant recovery, when one event takes all copies of all groups."""
+    slow = dict(disk=1e-9, backbone=1e-9, local_network=1e-9, local_repartition=1e-9)
+    fast = dict(disk=1e12, backbone=1e12, local_network=1e12, local_repartition=1e12)
+    one = rec.Policy((rec.Group(2, 2),), fractures=1, fracture_gb=8)
+    for seed in range(12):
+        c = rec.Cluster(racks=2, nodes_per_rack=3, mttf_node=700.0, mttf_rack=4000.0, **slow)
+        # Where the parts lie: drawn as the simulation draws them.
+        rng = np.random.default_rng(123456)
+        nodes = (rng.permutation(2)[:, None] * 3 + np.arange(3)).ravel()
+        first = nodes[rng.integers(0, 6, 8)]
+        second = np.sort(nodes)[(np.searchsorted(np.sort(nodes), first) + rng.integers(1, 6, 8)) % 6]
+        down, lost, at_once = set(), math.inf, math.inf
+        for t, kind, which in rec.schedule(c, 5_000, seed):
+            now = {which} if kind == "node" else {which * 3, which * 3 + 1, which * 3 + 2}
+            down |= now
+            if lost == math.inf and any({a, b} <= down for a, b in zip(first.tolist(), second.tolist(), strict=True)):
+                lost = t
+            if at_once == math.inf and any({a, b} <= now for a, b in zip(first.tolist(), second.tolist(), strict=True)):
+                at_once = t
+        assert rec.simulate_fractures(c, 5_000, seed, one) == lost
+        assert rec.simulate_fractures(rec.Cluster(racks=2, nodes_per_rack=3, mttf_node=700.0, mttf_rack=4000.0, **fast), 5_000, seed, one) == at_once
