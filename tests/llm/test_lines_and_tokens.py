@@ -1,7 +1,10 @@
+import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,3 +127,32 @@ def test_word_hashes_do_not_depend_on_the_batch():
         for k, w in enumerate(x.lower() for t in texts for x in t.split()):
             assert seen.setdefault(w, h[k]) == h[k]
         assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("encoding,used", [("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")])
+def test_files_have_small_groups_page_indexes_and_the_encoding(spark, tmp_path, encoding, used):
+    rng = random.Random(3)
+    rows = [(k % 400, " ".join(f"w{rng.randrange(9000)}" for _ in range(2500))) for k in range(440)]
+    df = spark.createDataFrame([*rows, (None, "no id"), (5, None)], "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    table = write_tokens(df, path, public_tokenizers.path("byte_bpe_50k.json"), parts=2, row_group_mb=1, page_kb=8, encoding=encoding)
+    files = sorted(Path(path).glob("*.parquet"))
+    assert len(files) == 2
+    groups = 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert columns["doc_id"].has_column_index and columns["doc_id"].has_offset_index and columns["doc_id"].statistics.has_min_max
+            ids = columns[next(k for k in columns if k.startswith("ids"))]
+            assert ids.has_offset_index and (used in ids.encodings or used == "RLE_DICTIONARY" and "PLAIN_DICTIONARY" in ids.encodings)
+            assert ids.total_uncompressed_size < 2 << 20
+    assert groups > 2
+    # Metadata alone, and some documents alone, are read by pruned scans.
+    plan = table.select("doc_id", "n_tokens").where("doc_id = 7")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,7)" in plan and "ids" not in plan.split("ReadSchema")[1]
+    # Rows that repeat an id are rows of their own, in whatever order; each starts where the one before ends.
+    got = table.orderBy("part", "start_in_part").collect()
+    assert len(got) == 442 and [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda x: (x is not None, x))
+    assert sum(r.doc_id == 5 for r in got) == 3 and all(b.part != a.part or b.start_in_part == a.start_in_part + a.n_tokens for a, b in zip(got[:-1], got[1:], strict=True))
