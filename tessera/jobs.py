@@ -71,6 +71,19 @@ def compile_sql(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame
     return spark.sql(sql, **tables)
 
 
+#: Hints of a query: how its rows are joined with others, or dealt.
+HINTS = ("broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl", "coalesce", "repartition", "repartition_by_range", "rebalance")
+
+
+def optimise(df: DataFrame, hints: dict[str, list] | None = None) -> DataFrame:
+    """The query with hints, by name and with their parameters; the optimizer follows those that it can."""
+    for name, parameters in (hints or {}).items():
+        if name not in HINTS:
+            raise ValueError(f"one of {HINTS} is needed")
+        df = df.hint(name, *parameters)
+    return df
+
+
 def plan(df: DataFrame, mode: str = "formatted") -> str:
     """The text of a query's plan."""
     if mode not in PLAN_MODES:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import physical, single, starschema, tpch
+from tessera.plans import physical, single, starschema, substitution, tpch
 
-QUERIES = tpch.QUERIES | physical.QUERIES | starschema.QUERIES | single.QUERIES
-ORACLE_SQL = tpch.ORACLE_SQL | physical.ORACLE_SQL | starschema.ORACLE_SQL | single.ORACLE_SQL
+QUERIES = tpch.QUERIES | substitution.QUERIES | physical.QUERIES | starschema.QUERIES | single.QUERIES
+ORACLE_SQL = tpch.ORACLE_SQL | substitution.ORACLE_SQL | physical.ORACLE_SQL | starschema.ORACLE_SQL | single.ORACLE_SQL

@@ -32,3 +32,12 @@ def test_failure_and_cancellation(spark):
             break
         time.sleep(0.1)
     assert slow.done and slow.cancelled and slow.failed
+
+
+def test_hints(spark):
+    a, b = spark.range(10), spark.range(10)
+    for name, node in (("merge", "SortMergeJoin"), ("broadcast", "BroadcastHashJoin"), ("shuffle_hash", "ShuffledHashJoin")):
+        assert node in jobs.plan(a.join(jobs.optimise(b, {name: []}), "id"))
+    assert jobs.optimise(a, {"repartition": [3]}).rdd.getNumPartitions() == 3
+    with pytest.raises(ValueError):
+        jobs.optimise(a, {"nonsense": []})

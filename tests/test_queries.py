@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tessera import jobs
-from tessera.plans import registry
+from tessera.plans import registry, substitution, tpch
 from tessera.plans.shared import names_in, plain
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,12 @@ def test_one_text_for_both_engines():
 def test_filters_and_columns_reach_the_scan(spark):
     plan = jobs.plan(registry.QUERIES["q06"](spark, SF))
     assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(l_shipdate", plan) and "l_returnflag" not in plan and "l_orderkey" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(tpch.SQL))
+def test_substitution_is_seeded(db, name):
+    texts = [substitution.text(name, seed) for seed in range(30)]
+    assert texts == [substitution.text(name, seed) for seed in range(30)] and len(set(texts)) > 1
+    for sql in set(texts):
+        db.execute(f"EXPLAIN {plain(sql)}")
+        assert "\0" not in sql and names_in(sql) == names_in(tpch.SQL[name])
