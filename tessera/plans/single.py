@@ -114,6 +114,25 @@ for _codec in ("none", "snappy", "gzip", "zstd"):
     QUERIES[f"s11_sink_{_codec}"], ORACLE_SQL[f"s11_sink_{_codec}"] = _sink(_codec), "SELECT * FROM part"
 
 
+@_spark("SELECT * FROM (VALUES (1, 'one', '2001-02-03', CAST(1.5 AS DOUBLE)), (2, NULL, NULL, NULL), (2, NULL, NULL, NULL)) t(k, s, d, x)")
+def s15_row_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows held in memory, with nulls and a repeated one."""
+    from datetime import date
+
+    held = text.rows(spark, [(1, "one", date(2001, 2, 3), 1.5), (2, None, None, None), (2, None, None, None)], "k int, s string, d date, x double")
+    return held.withColumn("d", F.col("d").cast("string"))
+
+
+@_spark("SELECT c_custkey, c_name FROM customer")
+def s16_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files, plain and compressed, read as one."""
+    paths = [storage.scratch(spark, "text") for _ in range(3)]
+    rows = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    for k, (path, codec) in enumerate(zip(paths, ("none", "gzip", "bzip2"), strict=True)):
+        text.write_delimited(rows.where(F.col("c_custkey") % 3 == k), path, compression=codec, files=2)
+    return text.scan(spark, paths, ["c_custkey", "c_name"], ["BIGINT", "VARCHAR"])
+
+
 @_spark("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS overlaps, CAST(max(o_orderkey) AS BIGINT) AS greatest FROM orders")
 def s18_zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a ranged layout: they hold all rows, and no two overlap."""

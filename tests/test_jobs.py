@@ -41,3 +41,11 @@ def test_hints(spark):
     assert jobs.optimise(a, {"repartition": [3]}).rdd.getNumPartitions() == 3
     with pytest.raises(ValueError):
         jobs.optimise(a, {"nonsense": []})
+
+
+def test_caches_are_dropped(spark):
+    df = spark.range(10).selectExpr("id AS cached_id").cache()
+    df.count()
+    assert "InMemoryTableScan" in jobs.plan(spark.range(10).selectExpr("id AS cached_id"))
+    jobs.clear_caches(spark)
+    assert "InMemoryTableScan" not in jobs.plan(spark.range(10).selectExpr("id AS cached_id"))
