@@ -77,8 +77,9 @@ def test_ngram_join(spark, seed, n, num, den):
     assert got == brute(rows, n, num, den)
 
 
-def test_ngram_join_large_clusters(spark, monkeypatch):
-    for name, value in (("BLOCK_SETS", 4), ("PAIR_LIST", 3), ("DELEGATES", 2)):
+@pytest.mark.parametrize("held,filter_words", [(1 << 18, 1 << 18), (7, 1)])
+def test_ngram_join_large_clusters(spark, monkeypatch, held, filter_words):
+    for name, value in (("BLOCK_SETS", 4), ("PAIR_LIST", 3), ("DELEGATES", 2), ("HELD_POSTINGS", held), ("FILTER_WORDS", filter_words)):
         monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
@@ -170,3 +171,29 @@ def test_ngram_join_long_texts(spark):
     rows = [(1, " ".join(near)), (2, " ".join(long_)), (3, "y" * 300_000), (4, "y" * 300_000), (5, "y" * 299_999 + "z"), (6, " ".join(long_[:60_000]))]
     got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
+def test_texts_of_one_id_have_components_of_their_own(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, a), (5, b), (2, b), (9, a), (5, a), (None, b)]
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id or 0, r.component_id or 0) for r in got) == [(0, 0), (2, 2), (5, 2), (5, 5), (5, 5), (9, 5)]
+
+
+def test_candidates_hold_all_links_however_lists_are_cut(spark, monkeypatch):
+    """Postings of a few shingles, in lists that go from batch to batch and from task to task: sets that share one and are alike hang together."""
+    monkeypatch.setattr(ngram_join, "PAIR_LIST", 3)
+    monkeypatch.setattr(ngram_join, "HELD_POSTINGS", 6)
+    rng = random.Random(8)
+    sizes = {i: rng.choice([10, 11, 12, 20, 21, 40]) for i in range(80)}
+    lists = {(g, i) for g, most in ((1, 60), (2, 3), (3, 2), (4, 25), (5, 2)) for i in rng.sample(range(80), most)}
+    rows = [(i, sizes[i], [sizes[i] // 8 + (k < sizes[i] % 8) for k in range(8)], g, 0) for g, i in lists]
+    postings = spark.createDataFrame(rows, "id long, n int, hist array<int>, g long, pos int").repartition(5)
+    found = ngram_join._candidates(Workspace(spark, "test"), postings, 85, 100).collect()
+    got = smallest(range(80), [(r.u, r.v) for r in found])
+    alike = lambda i, j: min(sizes[i], sizes[j]) * 100 >= 85 * max(sizes[i], sizes[j])
+    for g, i in lists:
+        for h, j in lists:
+            if g == h and i < j and alike(i, j):
+                assert got[i] == got[j]
+    assert len(set(got.values())) > 3
