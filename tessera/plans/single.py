@@ -76,6 +76,14 @@ def s05_whole_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select("l_quantity")
 
 
+@_spark("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 50 OFFSET 100")
+def s06_seek_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 rows from the hundredth on of a sorted column file."""
+    path = storage.scratch(spark, "sorted")
+    columnar.write(load(spark, sf_dir, "part"), path, Layout("by_part", "p_partkey", 1, sort_key="p_partkey"))
+    return columnar.at_rows(spark, path, 100, 50).select("p_partkey", "p_name")
+
+
 @_spark("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (1, 77, 500)")
 def s07_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyed read of a sorted layout."""

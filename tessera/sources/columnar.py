@@ -33,6 +33,13 @@ def lookup(spark: SparkSession, path: str, key: str, values: list) -> DataFrame:
     return spark.read.parquet(path).where(F.col(key).isin(values))
 
 
+def at_rows(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
+    """n rows of each file under path from its row `start` on, by position; columns are read as far as they are selected."""
+    row = F.col("_metadata.row_index")
+    rows = spark.read.parquet(path)
+    return rows.where((row >= start) & (row < start + n)).select(*rows.columns)
+
+
 def zone_map(df: DataFrame, key: str) -> DataFrame:
     """(block, least, greatest, rows) of each partition, as a reader of sorted blocks would skip by."""
     return df.select(F.spark_partition_id().alias("block"), F.col(key).alias("k")).groupBy("block").agg(F.min("k").alias("least"), F.max("k").alias("greatest"), F.count("*").alias("rows"))

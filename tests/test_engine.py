@@ -325,22 +325,41 @@ def test_pushdown_of_more_queries(spark):
     assert "ReusedExchange" in twice._jdf.queryExecution().executedPlan().toString()
 
 
-def test_sorted_layouts_skip_row_groups(spark, tmp_path):
+@pytest.mark.parametrize("group,page", [(1 << 20, 1 << 20), (1 << 28, 1 << 13)])
+def test_sorted_layouts_skip_row_groups_and_pages(spark, tmp_path, group, page):
     path = str(tmp_path / "sorted")
     df = spark.range(200_000).selectExpr("id AS k", "repeat(cast(hash(id) as string), 8) AS s")
-    spark.conf.set("parquet.block.size", 1 << 20)
+    sizes = {"parquet.block.size": group, "parquet.page.size": page, "parquet.enable.dictionary": "false"}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
     try:
         columnar.write(df, path, Layout("x", "k", 1, sort_key="k"))
     finally:
-        spark.conf.unset("parquet.block.size")
-    groups = [f.metadata.row_group(i).num_rows for f in [pq.ParquetFile(str(next(Path(path).glob("*.parquet"))))] for i in range(f.num_row_groups)]
-    assert len(groups) > 3
+        for key in sizes:
+            spark.conf.unset(key)
+    meta = pq.ParquetFile(str(next(Path(path).glob("*.parquet")))).metadata
+    assert (meta.num_row_groups > 3) == (group < 1 << 28) and meta.row_group(0).column(0).has_column_index
     found = columnar.lookup(spark, path, "k", [5])
+    assert found.count() == 1
     found.collect()
-    metrics = found._jdf.queryExecution().executedPlan()
-    leaf = metrics.collectLeaves().head()
-    rows = leaf.metrics().apply("numOutputRows").value()
-    assert rows < 200_000 / 3
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    # The scan gives out the rows of one row group, or of some pages, and no others.
+    assert leaf.metrics().apply("numOutputRows").value() < 200_000 / 3
+
+
+def test_other_file_systems(spark, tmp_path):
+    """Everything goes through Hadoop's file systems: here by a mount table, under which local paths mean nothing."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tests.link./t", f"file://{tmp_path}")
+    df = spark.range(30).selectExpr("id AS k", "CAST(id % 3 AS INT) AS p")
+    root = "viewfs://tests/t/store"
+    store = Store(spark, root, [Layout("a", "p", 2), Layout("b", "p", 2, bucketed=True)])
+    store.add(df.where("k < 10"))
+    store.add(df.where("k >= 10"))
+    assert rows_of(Store.open(spark, root).read()) == rows_of(df) == rows_of(Store.open(spark, root).read(store.layouts[1]))
+    assert store.merge([0, 1]) == 2 and storage.exists(spark, f"{root}/a/batch=2") and not storage.exists(spark, f"{root}/a/batch=0")
+    text.write_delimited(df, "viewfs://tests/t/text")
+    assert rows_of(text.scan(spark, "viewfs://tests/t/text", ["k", "p"], ["BIGINT", "INTEGER"])) == rows_of(df)
+    assert storage.length(spark, "viewfs://tests/t/text") > 0 and storage.names(spark, "viewfs://tests/t/none") == []
 
 
 def test_schedule_against_the_definition():
