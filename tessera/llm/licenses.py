@@ -87,6 +87,16 @@ for _version, _port, _nd in (("4.0", "International", "NoDerivatives"), ("3.0",
         _key = f"cc-{_short.lower()}" + ("" if _version == "4.0" else f"-{_version}")
         TEMPLATES.setdefault(_key, (f"CC-{_short}-{_version}", f"This work is licensed under a Creative Commons {_name} {_version} {_port} License."))
         TEMPLATES.setdefault(f"{_key}-line", (f"CC-{_short}-{_version}", f"Licensed under CC {_short} {_version}."))
+#: Further notices, a short text, and the identifiers that files name their licence by; those of one word are too short to tell apart.
+TEMPLATES["epl2-notice"] = ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/")
+TEMPLATES["epl1-notice"] = ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html")
+TEMPLATES["boost-line"] = ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)")
+TEMPLATES["zlib"] = (
+    "Zlib",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+)
+for _id in "Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-1.0 EPL-2.0 BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0".split():
+    TEMPLATES[f"spdx-{_id.lower()}"] = (_id.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {_id}")
 #: Years and the copyright sign differ from one use of a licence to the next.
 _VARIES = re.compile(r"\(c\)|©|\b(?:19|20)\d\d(?:\s*[-–,]\s*(?:19|20)\d\d)*\b", re.I)
 

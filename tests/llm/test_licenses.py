@@ -45,7 +45,7 @@ def test_against_brute_force(spark):
     short = {n: t for n, t in TEMPLATES.items() if len(t[1]) < 200}
     filler = [f"zz{i}" for i in range(30)] + ["licensed", "under", "the", "license", "version"]
     docs = []
-    for i in range(60):
+    for i in range(95):
         words = [rng.choice(filler) for _ in range(rng.randrange(0, 40))]
         for _ in range(rng.randrange(3)):
             body = rng.choice(list(short.values()))[1].split()
