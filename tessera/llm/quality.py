@@ -53,18 +53,19 @@ def coded_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(h):
         return h, shape, first
     kind = _KINDS[buf[start]]
-    size = np.diff(start, append=int(off[-1]))
-    capitals = np.add.reduceat(_CAPITAL[buf[start[0] : int(off[-1])]], start - start[0])
-    # size also holds the white space behind a word, so it is an upper bound: take what ends at the next blank.
-    blank = np.add.reduceat((_KINDS[buf[start[0] : int(off[-1])]] == 0).astype(np.int32), start - start[0])
-    long_ = size - blank
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     word = kind == 1
     for back, name in ((2, _AGAIN2), (1, _AGAIN)):
         same = np.zeros(len(h), bool)
         same[back:] = (h[back:] == h[:-back]) & (row[back:] == row[:-back])
         shape[same & word] = name
-    shape[word & (capitals == long_) & (long_ > 1)] = _CAPITALS
+    # Words of two capitals or more: of those that begin with two, all bytes up to the white space behind.
+    some = np.flatnonzero(_CAPITAL[buf[start]] & _CAPITAL[buf[np.minimum(start + 1, int(off[-1]) - 1)]] & (np.diff(start, append=int(off[-1])) > 1))
+    if len(some):
+        size = np.append(start, off[-1])[some + 1] - start[some]
+        lead = np.cumsum(size) - size
+        held = buf[np.repeat(start[some] - lead, size) + np.arange(int(size.sum()))]
+        shape[some[np.add.reduceat(_CAPITAL[held] | (_KINDS[held] == 0), lead) == size]] = _CAPITALS
     shape[kind == 2] = _NUMBER
     return h, shape, first
 
@@ -75,14 +76,24 @@ class Vocabulary:
     def __init__(self, words: np.ndarray):
         self.words = np.sort(words.astype(np.uint64))
         self.size = _SHAPES + len(self.words) + SHARED
+        # Hashes are even, so few words have the same first 16 bits: where those with each begin, and how many there are at most.
+        self.first = np.searchsorted(self.words, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+        self.first = np.append(self.first, len(self.words))
+        self.most = int(np.diff(self.first).max())
 
     def slots(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slot of each word, and the first word of each row (and of the end)."""
         h, shape, first = coded_words(buf, off)
         slot = (h % np.uint64(SHARED)).astype(np.int64) + _SHAPES + len(self.words)
-        if len(self.words) and len(h):
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            slot = np.where(self.words[at] == h, at + _SHAPES, slot)
+        bucket = (h >> np.uint64(48)).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        left = np.flatnonzero(at < end)
+        for _ in range(self.most):
+            hit = self.words[at[left]] == h[left]
+            slot[left[hit]] = at[left[hit]] + _SHAPES
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
         return np.where(shape >= 0, shape, slot), first
 
     def index(self) -> tuple[np.ndarray, np.ndarray]:
