@@ -211,10 +211,12 @@ class Catalog:
                 held.rewrite(held.layouts[0], layout)
         return held
 
-    def read(self, database: str, table: str, join_keys: Sequence[str] = (), filter_keys: Sequence[str] = ()) -> DataFrame:
-        """The rows of a table, from the layout that serves a query best. A pervasive table is broadcast, if its rows are few."""
+    def read(self, database: str, table: str, join_keys: Sequence[str] = (), filter_keys: Sequence[str] = (), store: Store | None = None) -> DataFrame:
+        """The rows of a table, from the layout that serves a query best. A pervasive table is broadcast, if its rows are few.
+
+        store: the table's, if the caller has opened it."""
         from tessera.operators.relational import small
 
-        t, held = self.table(database, table), self.store(database, table)
+        t, held = self.table(database, table), store or self.store(database, table)
         rows = held.read(self.choose_layout(database, table, join_keys, filter_keys))
         return small(rows, sum(held.batches.values())) if t.pervasive else rows

@@ -15,29 +15,30 @@ KEYS = {"lineitem": ("l_orderkey", "l_partkey"), "orders": ("o_orderkey",), "par
 PERVASIVE = ("nation",)
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The catalog of a data folder, by the lengths and times of its files, in the shared root."""
-    about = [sf_dir, spark.conf.get("spark.sql.shuffle.partitions")]
-    for name in KEYS:
-        fs, p = storage.filesystem(spark, f"{sf_dir}/{name}.parquet")
-        about += [name, str(storage.length(spark, f"{sf_dir}/{name}.parquet")), str(fs.getFileStatus(p).getModificationTime())]
-    root = f"{storage.shared_root(spark)}/layouts-{hashlib.sha1(' '.join(about).encode()).hexdigest()}"
-    found = Catalog(spark, root)
-    if DATABASE not in found.databases:
-        found.create_database(DATABASE)
-    return found
+def _short(*about: object) -> str:
+    return hashlib.sha1(" ".join(map(str, about)).encode()).hexdigest()[:16]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, join_keys: tuple[str, ...] = (), filter_keys: tuple[str, ...] = ()) -> DataFrame:
-    """A table through the layout that the catalog chooses. Buckets are as many as shuffle partitions, so all layouts join without an exchange."""
-    held = catalog(spark, sf_dir)
-    if table not in held.databases[DATABASE]:
-        held.define_table(DATABASE, table, load(spark, sf_dir, table).schema, pervasive=table in PERVASIVE)
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """A table through the layout that the catalog chooses. Buckets are as many as shuffle partitions, so all layouts join without an exchange.
+
+    The catalog is that of the data folder, in the shared root; a table whose file is another than before is a table of its own.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = Catalog(spark, f"{storage.shared_root(spark)}/layouts-{_short(sf_dir, n)}")
+    fs, p = storage.filesystem(spark, f"{sf_dir}/{table}.parquet")
+    status = fs.getFileStatus(p)
+    size = storage.length(spark, f"{sf_dir}/{table}.parquet") if status.isDirectory() else status.getLen()
+    name = f"{table}_{_short(size, status.getModificationTime())}"
+    if DATABASE not in held.databases:
+        held.create_database(DATABASE)
+    if name not in held.databases[DATABASE]:
+        held.define_table(DATABASE, name, load(spark, sf_dir, table).schema, pervasive=table in PERVASIVE)
         for key in KEYS[table]:
-            held.add_layout(DATABASE, table, Layout(key, key, n, bucketed=True, sort_key=key))
+            held.add_layout(DATABASE, name, Layout(key, key, n, bucketed=True, sort_key=key))
         if not KEYS[table]:
-            held.add_layout(DATABASE, table, Layout("plain"))
-    if not held.store(DATABASE, table).batches:
-        held.store(DATABASE, table).add(load(spark, sf_dir, table))
-    return held.read(DATABASE, table, join_keys, filter_keys)
+            held.add_layout(DATABASE, name, Layout("plain"))
+    store = held.store(DATABASE, name)
+    if not store.batches:
+        store.add(load(spark, sf_dir, table))
+    return held.read(DATABASE, name, join_keys, filter_keys, store)

@@ -17,7 +17,7 @@ _own: list[str] = []
 
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, and only in local mode, one of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
