@@ -6,8 +6,8 @@ REACH deviations; a pair's collisions over all projections are then binomial, an
 at the threshold reaches, but for MISS of them, follows. Pairs with that count are verified by their cosine.
 
 Vectors are dealt in blocks, and pairs of blocks are cells of bounded size. Each vector belongs to its nearest pivot; by the
-triangle inequality the balls round two pivots can hold a pair only if these are no farther apart than both radii and the
-distance at the threshold, and a vector goes only to the cells of blocks with such a ball.
+triangle inequality a vector can be near one of another pivot's only if the two pivots are no farther apart than its own distance, that
+ball's radius and the distance at the threshold together, and it goes only to the cells of blocks with such a ball.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ REACH = 1.6
 MISS = 1e-6
 #: Vectors of a block, about.
 BLOCK = 2048
-#: Pivots, for vectors of one length.
-PIVOTS = 128
+#: Pivots, for vectors of one length, and vectors that they are chosen from: each the farthest from those before.
+PIVOTS, PIVOT_SAMPLE = 256, 4096
 #: Numbers held at a time when pairs are verified.
 HELD_NUMBERS = 1 << 22
 
@@ -90,6 +90,15 @@ def _assign(shared):
     return run
 
 
+def _pivots(x: np.ndarray) -> np.ndarray:
+    """Rows of x, each the farthest from those before, PIVOTS of them at most; none is close to another, as long as others are left."""
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(PIVOTS, len(x)):
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return _chain(x[chosen])
+
+
 def _chain(p: np.ndarray) -> np.ndarray:
     """p in an order in which each is the nearest of those left to the one before."""
     left, order = list(range(1, len(p))), [0]
@@ -102,8 +111,8 @@ def _deal(ws: Workspace, distinct: DataFrame, cosine: float) -> DataFrame:
     """(g1, g2, i, j, id, k2, many, vec, block): every vector in each cell (i, j) of its label and length that may hold a pair with it."""
     spark = ws.spark
     turn = Window.partitionBy("dim").orderBy("id", "k2")
-    some = distinct.select("dim", "vec", F.row_number().over(turn).alias("turn")).where(F.col("turn") <= PIVOTS).collect()  # PIVOTS rows of a length
-    pivots = {d: _chain(_unit([bytes(r["vec"]) for r in some if r["dim"] == d])) for d in {r["dim"] for r in some}}
+    some = distinct.select("dim", "vec", F.row_number().over(turn).alias("turn")).where(F.col("turn") <= PIVOT_SAMPLE).orderBy("dim", "turn").collect()  # PIVOT_SAMPLE rows of a length
+    pivots = {d: _pivots(_unit([bytes(r["vec"]) for r in some if r["dim"] == d])) for d in {r["dim"] for r in some}}
     apart = [(d, a, b, float(x)) for d, p in pivots.items() for a in range(len(p)) for b, x in enumerate(np.sqrt(((p - p[a]) ** 2).sum(1)))]
     apart = spark.createDataFrame(apart, "dim int, pivot int, other int, apart double")
     near = ws.stash(distinct.mapInArrow(_assign(spark.sparkContext.broadcast(pivots)), "label long, dim int, id long, k2 long, stand long, many long, vec binary, pivot int, far double"), "assigned")
@@ -113,13 +122,14 @@ def _deal(ws: Workspace, distinct: DataFrame, cosine: float) -> DataFrame:
     balls = ws.stash(balls.withColumn("start", before), "balls")
     # Rows of balls, PIVOTS at most for a label and length.
     other = balls.select(*group, F.col("pivot").alias("other"), F.col("radius").alias("other_radius"), F.expr(f"sequence(start div {BLOCK}, (start + m - 1) div {BLOCK})").alias("blocks"))
-    meet = balls.join(other, group).join(F.broadcast(apart), ["dim", "pivot", "other"])
-    meet = meet.where(F.col("apart") <= F.col("radius") + F.col("other_radius") + (2 - 2 * cosine) ** 0.5 + 1e-9)
-    meet = meet.groupBy(*group, "pivot", "start", "m").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("others"))
+    gap = F.col("apart") - F.col("other_radius") - (2 - 2 * cosine) ** 0.5 - 1e-9
+    meet = balls.join(other, group).join(F.broadcast(apart), ["dim", "pivot", "other"]).withColumn("gap", gap).where(F.col("gap") <= F.col("radius"))
+    meet = meet.groupBy(*group, "pivot", "start", "m").agg(F.collect_list(F.struct("gap", "blocks")).alias("reach"))
+    others = F.array_distinct(F.flatten(F.transform(F.filter("reach", lambda x: x["gap"] <= F.col("far")), lambda x: x["blocks"])))
     place = F.col("start") + F.floor(F.shiftrightunsigned(F.xxhash64("id", "k2"), 1) / F.lit(2.0**63) * F.col("m")).cast("long")
     block = F.expr(f"place div {BLOCK}")
     dealt = near.join(meet, [*group, "pivot"]).withColumn("place", F.least(place, F.col("start") + F.col("m") - 1)).withColumn("block", block)
-    dealt = dealt.select(F.col("label").alias("g1"), F.col("dim").cast("long").alias("g2"), "id", "k2", "many", "vec", "block", F.explode("others").alias("other"))
+    dealt = dealt.select(F.col("label").alias("g1"), F.col("dim").cast("long").alias("g2"), "id", "k2", "many", "vec", "block", F.explode(others).alias("other"))
     return dealt.select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "k2", "many", "vec", "block")
 
 
