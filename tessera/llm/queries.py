@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from tessera.llm import decontamination, embedding_dedup, html_text, language, licenses, line_dedup, mixing, ngram_join, quality, token_output
+from tessera.llm.shared import bound_batches
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _bounded(query: Query) -> Query:
+    """The query, in a session whose batches are bounded: that of whoever runs registered queries."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,6 +37,8 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
+QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
+
 ORACLE_SQL = {
     "op3_embedding_dedup": embedding_dedup.OP3_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,

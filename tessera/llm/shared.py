@@ -17,24 +17,31 @@ from tessera import storage
 
 #: Rows that a function looks at together. Texts are long, so this keeps the Python workers small.
 ROWS = 256
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the batches of a session by BATCH_BYTES: for those who own the session, as a plan that an operator returns runs with its settings."""
+    spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
 _watching: list[list[Workspace]] = []
 
 
 def small_batches(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """The stages that an operator (of a DataFrame and more) runs by itself send batches of ROWS rows; then the session is as before."""
+    """The stages that an operator (of a DataFrame and more) runs by itself send batches of BATCH_BYTES; then the session is as before."""
 
     @wraps(operator)
     def run(df: DataFrame, *args, **kwargs) -> DataFrame:
         conf = df.sparkSession.conf
-        before = conf.get(_BATCH_ROWS)
-        conf.set(_BATCH_ROWS, str(ROWS))
+        before = conf.get(_BATCH)
+        bound_batches(df.sparkSession)
         try:
             return operator(df, *args, **kwargs)
         finally:
-            conf.set(_BATCH_ROWS, before)
+            conf.set(_BATCH, before)
 
     return run
 

@@ -10,6 +10,7 @@ import corpus_pipeline
 from tessera import storage
 from tessera.llm import mixing, ngram_join
 from tessera.llm.decontamination import contaminated
+from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.mixing import select_mixture
 from tessera.llm.queries import ORACLE_SQL, QUERIES
 from tessera.llm.quality import learning_labels, score_quality
@@ -59,11 +60,24 @@ def test_stages_take_odd_rows(spark):
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
 
 
-def test_sessions_stay_as_they_were_and_scratch_goes(spark, tmp_path):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+def test_scratch_goes_and_the_token_files_stay(spark, tmp_path):
     root = Path(storage.shared_root(spark))
     there = set(root.iterdir())
     got = corpus_pipeline.run(spark, SF, str(tmp_path / "ids"))
-    assert set(root.iterdir()) == there and spark.conf.get(key) == before
+    assert set(root.iterdir()) == there
     assert sum(len(r.ids) for r in read_tokens(spark, str(tmp_path / "ids")).collect()) == sum(r.n_tokens for r in got.collect())
+
+
+def test_operators_leave_the_session_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    other = spark.newSession()
+    other.conf.set(key, "9999999b")
+    before = {k: other.conf.get(k) for k in (key, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.legacy.bucketedTableScan.outputOrdering")}
+    docs = other.read.parquet(f"{SF}/documents.parquet").limit(20)
+    ngram_join.ngram_components(docs).count()
+    dedup_lines(docs).count()
+    score_quality(docs, learning_labels(other, SF)).count()
+    assert {k: other.conf.get(k) for k in before} == before
+    # Registered queries bound the batches of their session.
+    QUERIES["op4_license_scan"](other, SF)
+    assert other.conf.get(key) == f"{2 << 20}b"
