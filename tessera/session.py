@@ -16,6 +16,8 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.parquet.aggregatePushdown": "true",
+        # Texts are long: small batches keep the Python workers small.
+        "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
     }
     for k, v in (fixed | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
