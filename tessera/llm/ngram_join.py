@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import Workspace, connected_components, grouped, slices, small_batches
 from tessera.llm.text import blob, shingle_sets
 
-#: Hash ranges of the suffix filter.
-BINS = 8
+#: Hash ranges of the suffix filter: enough to tell unlike sets of up to about a thousand shingles apart.
+BINS = 64
 #: Sets and shingles in a block, at most about.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
-#: Posting lists up to this long are joined pair by pair; longer ones by runs of like length.
+#: Posting lists up to this long are joined pair by pair; longer ones by what can be reached from each set.
 PAIR_LIST = 64
+#: Posting lists up to this long stay in one task; longer ones are spread, and joined by runs of like length.
+SPREAD = 1 << 14
 #: Postings held at a time by a task that joins them.
-HELD_POSTINGS = 1 << 18
+HELD_POSTINGS = 1 << 17
 #: Sets that stand for a component when blocks of one cluster meet.
 DELEGATES = 16
 #: Words of 64 bits, at most, of the table by which texts outside all clusters are mostly left where they are (16 bytes a word).
@@ -165,7 +167,8 @@ def _postings(ws: Workspace, texts: DataFrame, num: int, den: int, cut: int) ->
     rows = lists.join(texts.select("id", "n", "e", "hist"), "id").withColumn("alone", alone).withColumn("prefix", prefix).where("prefix > alone")
     rows = rows.select("id", "n", "hist", (F.col("e") > F.col("prefix")).alias("exact"), "alone", F.posexplode(F.expr("slice(x, 1, CAST(prefix - alone AS INT))")).alias("k", "x"))
     # Where the prefix ends beyond the counted share, the place among the posted ones is a lower bound of the true one.
-    return ws.stash(rows.select("id", "n", "hist", F.col("x.g").alias("g"), (F.col("k") + F.when(F.col("exact"), F.col("alone")).otherwise(0)).cast("int").alias("pos")), "postings")
+    pos = (F.col("k") + F.when(F.col("exact"), F.col("alone")).otherwise(0)).cast("int")
+    return ws.stash(rows.select("id", "n", "hist", F.col("x.g").alias("g"), pos.alias("pos")), "postings")
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,27 +188,58 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[out], names[least[out]]
 
 
+def _alike(total: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Suffix filter: whether sets of so many shingles in total share enough if each hash range shares all that it can."""
+    return (num + den) * np.minimum(a, b).sum(1, dtype=np.int64) >= num * total
+
+
+def reached(n: np.ndarray, left: np.ndarray, hist: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set of one list, ascending by size n, the first one of those that it hangs together with by pairs that pass the filters.
+
+    What has been reached is not looked at again, so a list of near copies takes about one pass.
+    """
+    to = np.arange(len(n))
+    free, fn, fl, fh = to.copy(), n, left, hist
+    while len(free) > 1:
+        seed = free[0]
+        free, fn, fl, fh = free[1:], fn[1:], fl[1:], fh[1:]
+        front = [seed]
+        while front and len(free):
+            i = front.pop()
+            a, b = np.searchsorted(fn, [-(-num * n[i] // den), n[i] * den // num + 1])
+            total = fn[a:b] + n[i]
+            good = (np.minimum(fl[a:b], left[i]) * (num + den) >= num * total) & _alike(total, fh[a:b], hist[i], num, den)
+            if good.any():
+                hit = free[a:b][good]
+                to[hit] = seed
+                front += hit.tolist()
+                rest = np.ones(len(free), bool)
+                rest[a:b] = ~good
+                free, fn, fl, fh = free[rest], fn[rest], fl[rest], fh[rest]
+    return to
+
+
 def _near(num: int, den: int):
     """Joins postings that are sorted by shingle and set size.
 
-    A short list is joined pair by pair: length, positional and suffix filter. In a long one, sets that follow each other
-    within the length bound are linked, so that any two that pass the length filter hang together; a list that may go on
-    in another task is taken for a long one, and its ends are given out (kind 1: set of the first row, of the last
-    one, shingle, the sizes of both). Otherwise kind 0: links (u, v).
+    A short list is joined pair by pair, and a longer one by what can be reached: length, positional and suffix filter. In
+    one beyond SPREAD, sets that follow each other within the length bound are linked, so that any two that pass the length
+    filter hang together; a big list that may go on in another task is taken for such a one, and its ends are given out
+    (kind 1: set of the first row, of the last one, shingle, the sizes of both). Otherwise kind 0: links (u, v).
     """
 
     def block(rows: dict[str, np.ndarray], open_: bool, last: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-        """Links of whole lists, and the long pieces at both ends if they may go on."""
+        """Links of whole lists, and the pieces of big ones at both ends if they may go on."""
         g, n, left, ids = rows["g"], rows["n"], rows["n"] - rows["pos"], rows["id"]
         start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         size = np.diff(start, append=len(g))
-        long_ = size > PAIR_LIST
-        ends = sorted(({0} if open_ else set()) | ({len(start) - 1} if last else set()))
-        long_[ends] = True
-        many = np.repeat(long_, size)
+        ends = sorted(k for k in ({0} if open_ else set()) | ({len(start) - 1} if last else set()) if rows["big"][start[k]])
+        runs = size > SPREAD
+        runs[ends] = True
+        many = np.repeat(runs, size)
         us, vs = [], []
         # Rows of one list stand side by side: all pairs at once, by how far they are apart.
-        i = np.flatnonzero(~many)
+        i = np.flatnonzero(np.repeat(~runs & (size <= PAIR_LIST), size))
         d = 0
         while len(i):
             d += 1
@@ -215,13 +249,16 @@ def _near(num: int, den: int):
             total = num * (n[i] + n[j])
             good = (n[i] * den >= num * n[j]) & (np.minimum(left[i], left[j]) * (num + den) >= total) & (ids[i] != ids[j])
             a, b = i[good], j[good]
-            both = np.minimum(rows["hist"][a], rows["hist"][b]).sum(1)
-            good = both * (num + den) >= total[good]
+            good = _alike(n[a] + n[b], rows["hist"][a], rows["hist"][b], num, den)
             us.append(ids[a[good]])
             vs.append(ids[b[good]])
         i = np.flatnonzero(many[:-1] & (g[1:] == g[:-1]) & (n[:-1] * den >= num * n[1:]))
         us.append(ids[i])
         vs.append(ids[i + 1])
+        for k in np.flatnonzero(~runs & (size > PAIR_LIST)):
+            one = slice(start[k], start[k] + size[k])
+            us.append(ids[one][reached(n[one], left[one], rows["hist"][one], num, den)])
+            vs.append(ids[one])
         return np.concatenate(us), np.concatenate(vs), [(int(start[k]), int(start[k] + size[k] - 1)) for k in ends]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +275,8 @@ def _near(num: int, den: int):
         def work(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal piece, first
             rows = {c: table.column(c).to_numpy().astype(np.int64) for c in ("g", "n", "pos", "id")}
-            rows["hist"] = table.column("hist").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BINS)
+            rows["hist"] = table.column("hist").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+            rows["big"] = table.column("big").to_numpy()
             g, n, ids = rows["g"], rows["n"], rows["id"]
             goes_on = piece is not None and piece[0] == g[0]
             u, v, ends = block(rows, first or goes_on, last)
@@ -269,8 +307,8 @@ def _near(num: int, den: int):
                 if cut:
                     yield from work(table.slice(0, cut), False)
                     held = table.slice(cut).to_batches()
-                else:
-                    # One list fills all that is held.
+                elif table.column("big")[0].as_py():
+                    # One list fills all that is held; those that are not big are held whole.
                     yield from work(table, True)
                     held = []
                 count = sum(x.num_rows for x in held)
@@ -285,19 +323,27 @@ def _near(num: int, den: int):
 def _candidates(ws: Workspace, postings: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) whose components hold every pair that may link.
 
-    Postings are dealt by ranges of (shingle, set size, set), so the list of a common shingle goes to as many tasks as
-    it has rows for.
+    Postings are dealt by ranges of shingles, and big lists by (shingle, set size, set), so the list of a common shingle goes to
+    as many tasks as it has rows for.
     """
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["g", "n", "id"]
-    dealt = postings.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = ws.stash(dealt.select("id", "n", "hist", "g", "pos").mapInArrow(_near(num, den), "kind long, u long, v long, g long, n1 long, n2 long"), "near")
+    # At most one row for each SPREAD postings.
+    big = postings.groupBy("g").count().where(F.col("count") > SPREAD).select("g", F.lit(True).alias("big"))
+    postings = postings.join(F.broadcast(big), "g", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+    dealt = postings.repartitionByRange(parts, "g", F.when(F.col("big"), F.col("n")), F.when(F.col("big"), F.col("id"))).sortWithinPartitions(*order)
+    found = ws.stash(dealt.select("id", "n", "hist", "g", "pos", "big").mapInArrow(_near(num, den), "kind long, u long, v long, g long, n1 long, n2 long"), "near")
     # At most two rows a task: where a list goes on in the next one.
     turn = Window.partitionBy("g").orderBy("n1", "u", "n2")
     ends = found.where("kind = 1").select("u", "g", "n1", F.lag("v").over(turn).alias("v"), F.lag("n2").over(turn).alias("before"))
     return found.where("kind = 0").select("u", "v").union(ends.where(F.col("before") * den >= F.col("n1") * num).select("u", "v"))
 
 
+def _blocks(m, w):
+    """How many blocks m sets of w shingles take."""
+    return F.greatest(F.ceil(m / BLOCK_SETS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+
+
 def _resolve(ws: Workspace, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(id, label): the components of all sets (id, cluster, blocks, grams)."""
     spread = lambda c, n, seed: F.pmod(F.xxhash64(F.lit(seed), c), F.col(n)).cast("int")
@@ -308,23 +354,23 @@ def _resolve(ws: Workspace, sets: DataFrame, num: int, den: int) -> DataFrame:
     if large.select("id").isEmpty():
         return labels
     large = ws.stash(large, "large")
-    now = ws.stash(large.select("id", "cluster", "blocks").join(labels, "id"), "large-labels0")
+    now = ws.stash(large.select("id", "cluster", "blocks", (F.length("grams") / 8).cast("long").alias("n")).join(labels, "id"), "large-labels0")
     k, apart = 0, now.select("cluster", "label").distinct().count()
     while True:
         # A few delegates of every component meet, and merge what links.
         k += 1
         open_ = now.groupBy("cluster").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("cluster")
         turn = Window.partitionBy("cluster", "label").orderBy(F.xxhash64(F.lit(k), "id"), "id")
-        some = now.join(open_, "cluster").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= DELEGATES).select("id", "cluster", "label")
+        some = now.join(open_, "cluster").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= DELEGATES).select("id", "cluster", "label", "n")
         some = ws.stash(some, f"delegates{k}")
-        rooms = some.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("rooms"))
+        rooms = some.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n")).alias("rooms"))
         most = rooms.agg(F.max("rooms")).first()[0]
         if most is None:
             break
         met = some.join(rooms, "cluster").withColumn("b", spread("label", "rooms", k)).join(large.select("id", "grams"), "id")
         met = met.repartition("cluster", "b").sortWithinPartitions("cluster", "b").select("cluster", "b", "id", "label", "grams")
         merged = met.mapInArrow(_verify(num, den, ["cluster", "b"]), "id long, label long, to long").select("label", "to").distinct()
-        now = ws.stash(now.join(merged, "label", "left").select("id", "cluster", "blocks", F.coalesce("to", "label").alias("label")), f"large-labels{k}")
+        now = ws.stash(now.join(merged, "label", "left").select("id", "cluster", "blocks", "n", F.coalesce("to", "label").alias("label")), f"large-labels{k}")
         # Rounds go on while they halve what is apart, so there are few; the rest is compared in full below.
         after = now.select("cluster", "label").distinct().count()
         if most == 1 or 2 * after > apart:
@@ -334,7 +380,7 @@ def _resolve(ws: Workspace, sets: DataFrame, num: int, den: int) -> DataFrame:
     held = now.groupBy("cluster", "label").agg(F.count("*").alias("held"))
     main = held.groupBy("cluster").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
     away = now.join(main, "cluster").where("label <> main").drop("main")
-    queries = away.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("rows"))
+    queries = away.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n")).alias("rows"))
     ask = away.join(queries, "cluster").select("cluster", spread("id", "rows", 1).alias("r"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"), "id", "label", F.lit(0).alias("side"))
     tell = now.join(queries, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), spread("id", "blocks", 2).alias("c"), "id", "label", F.lit(1).alias("side"))
     met = ask.union(tell).join(large.select("id", "grams"), "id").repartition("cluster", "r", "c").sortWithinPartitions("cluster", "r", "c")
@@ -348,8 +394,7 @@ def _members(ws: Workspace, texts: DataFrame, links: DataFrame) -> DataFrame:
     """(id, cluster, blocks): the sets of every candidate cluster, and in how many blocks it is verified."""
     clusters = connected_components(ws, links, "candidates").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     sized = clusters.join(texts.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
-    return ws.stash(clusters.join(sized.select("cluster", blocks.alias("blocks")), "cluster").select("id", "cluster", "blocks"), "member")
+    return ws.stash(clusters.join(sized.select("cluster", _blocks(F.col("m"), F.col("w")).alias("blocks")), "cluster").select("id", "cluster", "blocks"), "member")
 
 
 def _member_sets(ws: Workspace, rows: DataFrame, texts: DataFrame, member: DataFrame, n: int) -> DataFrame:

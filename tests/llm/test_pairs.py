@@ -94,6 +94,44 @@ def test_ngram_join_large_clusters(spark, monkeypatch, held, filter_words):
     assert sorted(map(tuple, ngram_components(df).collect())) == brute(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("held,spread", [(1 << 18, 1 << 14), (7, 1 << 14), (7, 5)])
+def test_ngram_join_common_shingles(spark, monkeypatch, held, spread):
+    """Lists beyond PAIR_LIST, whole, cut by what is held, and spread: the components are those of brute force."""
+    for name, value in (("PAIR_LIST", 3), ("HELD_POSTINGS", held), ("SPREAD", spread)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    tails = [[rng.choice(words) + f"-{k}" for _ in range(40)] for k in range(30)]
+    rows = [(2 * k + j, " ".join(["of", "the", "and", "in", *(reversed(t) if j else t)])) for k, t in enumerate(tails) for j in (0, 1)]
+    rows += [(200 + k, rows[k][1] + " more") for k in (4, 9, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_components(df, n=1, num=50, den=100, share=1.0).collect())) == brute(rows, 1, 50, 100)
+    assert sorted(map(tuple, ngram_components(df).collect())) == brute(rows, 4, 85, 100)
+
+
+def test_ngram_candidates_of_a_common_shingle(spark):
+    """200 unlike sets of one size share a shingle: none of them hang together, wherever the shingle's list ends."""
+    rng = np.random.default_rng(6)
+    count = lambda s: np.bincount(s & (ngram_join.BINS - 1), minlength=ngram_join.BINS).tolist()
+    rows = [(i, 75, count(rng.integers(0, 2**62, 75)), 5, 0) for i in range(200)]
+    postings = spark.createDataFrame(rows + [(900, *rows[7][1:])], "id long, n int, hist array<int>, g long, pos int").repartition(5)
+    found = ngram_join._candidates(Workspace(spark, "test"), postings, 85, 100).where("u <> v").collect()
+    assert [sorted((r.u, r.v)) for r in found] == [[7, 900]]
+
+
+def test_reached():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(-(2**62), 2**62, 50)) for _ in range(40)]
+    sets += [np.unique(np.append(s[2:], rng.integers(-(2**62), 2**62, 2))) for s in sets[:25] for _ in range(3)]
+    sets.sort(key=len)
+    n = np.array([len(s) for s in sets])
+    hist = np.stack([np.bincount(s & (ngram_join.BINS - 1), minlength=ngram_join.BINS) for s in sets])
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 185 * len(np.intersect1d(sets[i], sets[j])) >= 85 * (n[i] + n[j])]
+    want = smallest(range(len(sets)), links)
+    # Every link is kept, and unlike sets of like sizes are told apart.
+    assert ngram_join.reached(n, n, hist, 85, 100).tolist() == [want[i] for i in range(len(sets))]
+
+
 def test_ngram_join_empty_and_null_ids(spark):
     assert ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(None, "a b c d e"), (2, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (8, None)]
