@@ -109,13 +109,14 @@ def test_ngram_join_common_shingles(spark, monkeypatch, held, spread):
     assert sorted(map(tuple, ngram_components(df).collect())) == brute(rows, 4, 85, 100)
 
 
-def test_ngram_candidates_of_a_common_shingle(spark):
+@pytest.mark.parametrize("num", [85, 80])  # of the operator and of the pipeline
+def test_ngram_candidates_of_a_common_shingle(spark, num):
     """200 unlike sets of one size share a shingle: none of them hang together, wherever the shingle's list ends."""
     rng = np.random.default_rng(6)
     count = lambda s: np.bincount(s & (ngram_join.BINS - 1), minlength=ngram_join.BINS).tolist()
     rows = [(i, 75, count(rng.integers(0, 2**62, 75)), 5, 0) for i in range(200)]
     postings = spark.createDataFrame(rows + [(900, *rows[7][1:])], "id long, n int, hist array<int>, g long, pos int").repartition(5)
-    found = ngram_join._candidates(Workspace(spark, "test"), postings, 85, 100).where("u <> v").collect()
+    found = ngram_join._candidates(Workspace(spark, "test"), postings, num, 100).where("u <> v").collect()
     assert [sorted((r.u, r.v)) for r in found] == [[7, 900]]
 
 
