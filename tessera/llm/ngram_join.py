@@ -27,11 +27,11 @@ BINS = 64
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Posting lists up to this long are joined pair by pair; longer ones by what can be reached from each set.
 PAIR_LIST = 64
-#: Posting lists up to this long stay in one task; longer ones are spread, and joined by runs of like length.
+#: Posting lists up to this long stay in one task; longer ones are cut into runs of like set size.
 SPREAD = 1 << 14
 #: Postings held at a time by a task that joins them.
 HELD_POSTINGS = 1 << 17
-#: Sets that stand for a component when blocks of one cluster meet.
+#: Sets that stand for a component when blocks of one cluster meet; of a list cut into runs, about so many are in each run.
 DELEGATES = 16
 #: Words of 64 bits, at most, of the table by which texts outside all clusters are mostly left where they are (16 bytes a word).
 FILTER_WORDS = 1 << 18
@@ -219,27 +219,47 @@ def reached(n: np.ndarray, left: np.ndarray, hist: np.ndarray, num: int, den: in
     return to
 
 
+def apart(n: np.ndarray, left: np.ndarray, hist: np.ndarray, label: np.ndarray, k: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) of labels: of the first k sets with the others, which ascend by size n, by pairs that pass the filters.
+
+    Pairs that hang together by now are not looked at.
+    """
+    names, of = np.unique(label, return_inverse=True)
+    to = np.arange(len(names))
+    tn, tl, th, tof = n[k:], left[k:], hist[k:], of[k:]
+    for i in range(k):
+        a, b = np.searchsorted(tn, [-(-num * n[i] // den), n[i] * den // num + 1])
+        mine = to[of[i]]
+        j = a + np.flatnonzero(to[tof[a:b]] != mine)
+        j = j[np.minimum(tl[j], left[i]) * (num + den) >= num * (tn[j] + n[i])]
+        j = j[_alike(tn[j] + n[i], th[j], hist[i], num, den)]
+        if len(j):
+            met = np.append(np.unique(to[tof[j]]), mine)
+            to[np.isin(to, met)] = met.min()
+    moved = to != np.arange(len(names))
+    return names[moved], names[to[moved]]
+
+
+def _columns(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Columns of postings, and hist with a row for each."""
+    rows = {c: table.column(c).to_numpy().astype(np.int64) for c in names}
+    rows["hist"] = table.column("hist").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    return rows
+
+
 def _near(num: int, den: int):
-    """Joins postings that are sorted by shingle and set size.
+    """Links (u, v) within the lists of postings that are sorted by list and set size.
 
-    A short list is joined pair by pair, and a longer one by what can be reached: length, positional and suffix filter. In
-    one beyond SPREAD, sets that follow each other within the length bound are linked, so that any two that pass the length
-    filter hang together; a big list that may go on in another task is taken for such a one, and its ends are given out
-    (kind 1: set of the first row, of the last one, shingle, the sizes of both). Otherwise kind 0: links (u, v).
+    A short list is joined pair by pair, and a longer one by what can be reached: length, positional and suffix filter.
     """
 
-    def block(rows: dict[str, np.ndarray], open_: bool, last: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-        """Links of whole lists, and the pieces of big ones at both ends if they may go on."""
+    def block(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         g, n, left, ids = rows["g"], rows["n"], rows["n"] - rows["pos"], rows["id"]
         start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         size = np.diff(start, append=len(g))
-        ends = sorted(k for k in ({0} if open_ else set()) | ({len(start) - 1} if last else set()) if rows["big"][start[k]])
-        runs = size > SPREAD
-        runs[ends] = True
-        many = np.repeat(runs, size)
         us, vs = [], []
         # Rows of one list stand side by side: all pairs at once, by how far they are apart.
-        i = np.flatnonzero(np.repeat(~runs & (size <= PAIR_LIST), size))
+        i = np.flatnonzero(np.repeat(size <= PAIR_LIST, size))
         d = 0
         while len(i):
             d += 1
@@ -252,48 +272,19 @@ def _near(num: int, den: int):
             good = _alike(n[a] + n[b], rows["hist"][a], rows["hist"][b], num, den)
             us.append(ids[a[good]])
             vs.append(ids[b[good]])
-        i = np.flatnonzero(many[:-1] & (g[1:] == g[:-1]) & (n[:-1] * den >= num * n[1:]))
-        us.append(ids[i])
-        vs.append(ids[i + 1])
-        for k in np.flatnonzero(~runs & (size > PAIR_LIST)):
+        for k in np.flatnonzero(size > PAIR_LIST):
             one = slice(start[k], start[k] + size[k])
             us.append(ids[one][reached(n[one], left[one], rows["hist"][one], num, den)])
             vs.append(ids[one])
-        return np.concatenate(us), np.concatenate(vs), [(int(start[k]), int(start[k] + size[k] - 1)) for k in ends]
+        return (np.concatenate(us), np.concatenate(vs)) if us else (ids[:0], ids[:0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: int, u, v, g=None, n1=None, n2=None) -> pa.RecordBatch:
-            blank = np.zeros(len(u), np.int64)
-            cols = [np.full(len(u), kind), u, v, *(blank if x is None else x for x in (g, n1, n2))]
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], ["kind", "u", "v", "g", "n1", "n2"])
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        u, v = stars(*block(_columns(table, ("g", "n", "pos", "id"))))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        # The piece of the list that is still open: shingle, set and size of its first row, set and size of its last.
-        piece: tuple | None = None
-        first = True
-
-        def work(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal piece, first
-            rows = {c: table.column(c).to_numpy().astype(np.int64) for c in ("g", "n", "pos", "id")}
-            rows["hist"] = table.column("hist").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-            rows["big"] = table.column("big").to_numpy()
-            g, n, ids = rows["g"], rows["n"], rows["id"]
-            goes_on = piece is not None and piece[0] == g[0]
-            u, v, ends = block(rows, first or goes_on, last)
-            if goes_on and piece[4] * den >= num * n[0]:
-                u, v = np.append(u, piece[3]), np.append(v, ids[0])
-            u, v = stars(u, v)
-            if len(u):
-                yield out(0, u, v)
-            for a, b in ends:
-                now = (int(g[a]), int(ids[a]), int(n[a]), int(ids[b]), int(n[b]))
-                if piece is not None and piece[0] == now[0]:
-                    now = (piece[0], piece[1], piece[2], now[3], now[4])
-                elif piece is not None:
-                    yield out(1, [piece[1]], [piece[3]], [piece[0]], [piece[2]], [piece[4]])
-                piece = now
-            first = False
-
         count = 0
         for batch in batches:
             if not batch.num_rows:
@@ -305,38 +296,77 @@ def _near(num: int, den: int):
                 g = table.column("g").to_numpy()
                 cut = int(np.searchsorted(g, g[-1]))
                 if cut:
-                    yield from work(table.slice(0, cut), False)
+                    yield from work(table.slice(0, cut))
                     held = table.slice(cut).to_batches()
-                elif table.column("big")[0].as_py():
-                    # One list fills all that is held; those that are not big are held whole.
-                    yield from work(table, True)
-                    held = []
-                count = sum(x.num_rows for x in held)
+                    count = sum(x.num_rows for x in held)
         if held:
-            yield from work(pa.Table.from_batches(held), True)
-        if piece is not None:
-            yield out(1, [piece[1]], [piece[3]], [piece[0]], [piece[2]], [piece[4]])
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
 
+def _near_across(num: int, den: int):
+    """Links (u, v) of labels between the two sides of each pair of runs, sorted by side and set size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in grouped(batches, ["g", "a", "b"]):
+            rows = _columns(table, ("side", "n", "pos", "label"))
+            k = int(np.searchsorted(rows["side"], 1))
+            if 0 < k < table.num_rows:
+                u, v = apart(rows["n"], rows["n"] - rows["pos"], rows["hist"], rows["label"], k, num, den)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
+
+
+def _runs(ws: Workspace, postings: DataFrame, big: DataFrame) -> DataFrame:
+    """(g, n, hist, id, pos, count, run): big lists cut into runs of like size, of at most SPREAD postings and ascending by n."""
+    room = max(1, SPREAD // 4)
+    common = postings.join(F.broadcast(big), "g")
+    sizes = common.groupBy("g", "n").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("g").orderBy("n")) - F.col("m")
+    # Sets of one size beyond what a run has room for are dealt to several.
+    place = sizes.select("g", "n", F.floor(before / room).alias("base"), F.ceil(F.col("m") / room).alias("runs"))
+    return ws.stash(common.join(place, ["g", "n"]).select("g", "n", "hist", "id", "pos", "count", (F.col("base") + F.pmod(F.xxhash64(F.lit(5), "id"), F.col("runs"))).alias("run")), "runs")
+
+
 def _candidates(ws: Workspace, postings: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) whose components hold every pair that may link.
 
-    Postings are dealt by ranges of shingles, and big lists by (shingle, set size, set), so the list of a common shingle goes to
-    as many tasks as it has rows for.
+    Lists are dealt by ranges of shingles; big ones are cut into runs, each a list of its own, to which a few sets of the whole
+    list are added, so that alike ones hang together across runs. What is then outside a big list's largest component meets
+    the other runs within the length bound.
     """
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["g", "n", "id"]
+    near = lambda rows: ws.stash(rows.repartitionByRange(parts, "g").sortWithinPartitions("g", "n", "id").mapInArrow(_near(num, den), "u long, v long"), "near")
+    lists = postings.select("id", "n", "hist", "g", "pos")
     # At most one row for each SPREAD postings.
-    big = postings.groupBy("g").count().where(F.col("count") > SPREAD).select("g", F.lit(True).alias("big"))
-    postings = postings.join(F.broadcast(big), "g", "left").withColumn("big", F.coalesce("big", F.lit(False)))
-    dealt = postings.repartitionByRange(parts, "g", F.when(F.col("big"), F.col("n")), F.when(F.col("big"), F.col("id"))).sortWithinPartitions(*order)
-    found = ws.stash(dealt.select("id", "n", "hist", "g", "pos", "big").mapInArrow(_near(num, den), "kind long, u long, v long, g long, n1 long, n2 long"), "near")
-    # At most two rows a task: where a list goes on in the next one.
-    turn = Window.partitionBy("g").orderBy("n1", "u", "n2")
-    ends = found.where("kind = 1").select("u", "g", "n1", F.lag("v").over(turn).alias("v"), F.lag("n2").over(turn).alias("before"))
-    return found.where("kind = 0").select("u", "v").union(ends.where(F.col("before") * den >= F.col("n1") * num).select("u", "v"))
+    big = ws.stash(postings.groupBy("g").count().where(F.col("count") > SPREAD), "big")
+    if big.isEmpty():
+        return near(lists)
+    runs = _runs(ws, postings, big)
+    last = runs.groupBy("g").agg(F.max("run").alias("last"))
+    some = runs.where(F.pmod(F.xxhash64(F.lit(6), "id"), F.ceil(F.col("count") / DELEGATES)) == 0).drop("run")
+    some = some.join(F.broadcast(last), "g").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    cut = runs.select("id", "n", "hist", "g", "pos", "run").union(some.select("id", "n", "hist", "g", "pos", "run"))
+    links = near(lists.join(F.broadcast(big), "g", "left_anti").select(lists.columns).union(cut.select("id", "n", "hist", F.xxhash64("g", "run").alias("g"), "pos")))
+    whole = connected_components(ws, links, "near")
+    label = F.coalesce("component", "id")
+    rows = ws.stash(runs.join(whole, runs["id"] == whole["node"], "left").select("g", "run", "id", "n", "hist", "pos", label.alias("label")), "labelled")
+    held = rows.groupBy("g", "label").count()
+    main = held.groupBy("g").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    rows = rows.join(F.broadcast(main), "g").withColumn("away", F.col("label") != F.col("main"))
+    bounds = lambda df, k: df.groupBy("g", F.col("run").alias(k)).agg(F.min("n").alias(f"low_{k}"), F.max("n").alias(f"high_{k}"))
+    pairs = bounds(rows.where("away"), "a").join(bounds(rows, "b"), "g").where(f"high_a * {den} >= low_b * {num} AND high_b * {den} >= low_a * {num}")
+    pairs = ws.stash(pairs.select("g", "a", "b"), "run-pairs")
+    cols = ["g", "a", "b", "n", "hist", "pos", "label"]
+    ask = rows.where("away").withColumnRenamed("run", "a").join(pairs, ["g", "a"]).select(*cols, F.lit(0).alias("side"))
+    # Two sets that are both away meet in one of the two pairs of their runs.
+    tell = rows.withColumnRenamed("run", "b").join(pairs, ["g", "b"]).where("NOT away OR b >= a").select(*cols, F.lit(1).alias("side"))
+    met = ask.union(tell).repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "side", "n")
+    across = ws.stash(met.mapInArrow(_near_across(num, den), "u long, v long"), "near-across")
+    return whole.select(F.col("node").alias("u"), F.col("component").alias("v")).union(across)
 
 
 def _blocks(m, w):
@@ -436,7 +466,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = ws.stash(known.groupBy("s1", "s2").agg(first).select(F.col("s1").alias("id"), "s2", F.col("r.id").alias("stand"), "r.n", "r.e", "r.hist", "r.grams"), "texts")
     links = _candidates(ws, _postings(ws, texts, num, den, cut), num, den)
     member = _members(ws, texts, links)
-    ws.drop("postings", "near")
+    ws.drop("postings", "near", "runs", "labelled", "near-across")
     sets = ws.stash(_member_sets(ws, rows, texts, member, n), "sets")
     labels = _resolve(ws, sets, num, den)
     # Of each component the smallest id.

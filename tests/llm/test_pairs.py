@@ -120,6 +120,41 @@ def test_ngram_candidates_of_a_common_shingle(spark, num):
     assert [sorted((r.u, r.v)) for r in found] == [[7, 900]]
 
 
+@pytest.mark.parametrize("delegates", [1, 16])
+def test_ngram_candidates_of_a_list_cut_into_runs(spark, monkeypatch, delegates):
+    """A list beyond SPREAD, of unlike sets of like sizes with a few near copies: no unlike sets hang together, and copies do across runs."""
+    monkeypatch.setattr(ngram_join, "SPREAD", 32)
+    monkeypatch.setattr(ngram_join, "DELEGATES", delegates)
+    rng = np.random.default_rng(7)
+    count = lambda s: np.bincount(s & (ngram_join.BINS - 1), minlength=ngram_join.BINS).tolist()
+    sets = [rng.integers(0, 2**62, int(rng.integers(70, 90))) for _ in range(150)]
+    rows = [(i, len(s), count(s), 5, 0) for i, s in enumerate(sets)]
+    rows += [(1000 + i, len(sets[i]) - 3, count(sets[i][3:]), 5, 0) for i in range(20)]
+    # Near copies of one size, more of them than a run holds.
+    rows += [(2000 + k, 75, count(np.append(sets[149][:67], rng.integers(0, 2**62, 8))[:75]), 5, 0) for k in range(60)]
+    postings = spark.createDataFrame(rows, "id long, n int, hist array<int>, g long, pos int").repartition(5)
+    found = ngram_join._candidates(Workspace(spark, "test"), postings, 80, 100).where("u <> v").collect()
+    n, hist = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if 180 * np.minimum(hist[i], hist[j]).sum() >= 80 * (n[i] + n[j])]
+    nodes = [r[0] for r in rows]
+    assert smallest(nodes, [(r.u, r.v) for r in found]) == smallest(nodes, links)
+    assert len(set(smallest(nodes, links).values())) > 100
+
+
+def test_apart():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 2**62, rng.integers(40, 60))) for _ in range(30)]
+    asked = [np.append(s[3:], rng.integers(0, 2**62, 2)) for s in sets[:12]]
+    sets.sort(key=len)
+    every = asked + sets
+    n = np.array([len(s) for s in every])
+    hist = np.stack([np.bincount(s & (ngram_join.BINS - 1), minlength=ngram_join.BINS) for s in every])
+    label = np.array([100 + i // 2 if i < 12 else 200 + i for i in range(len(every))])
+    links = [(label[i], label[j]) for i in range(12) for j in range(12, len(every)) if 180 * np.minimum(hist[i], hist[j]).sum() >= 80 * (n[i] + n[j])]
+    u, v = ngram_join.apart(n, n, hist, label, 12, 80, 100)
+    assert len(links) >= 12 and smallest(label.tolist(), zip(u.tolist(), v.tolist(), strict=True)) == smallest(label.tolist(), links)
+
+
 def test_reached():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(-(2**62), 2**62, 50)) for _ in range(40)]
