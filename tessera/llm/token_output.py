@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,19 @@ _SPECIAL = "<|endoftext|>"
 #: Bytes that are white space for some libraries, and not a space or a line feed.
 _ODD = np.zeros(256, bool)
 _ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+#: Words of more bytes are left to the model one by one.
+_SHORT = 64
+#: Letters below U+0250. What a byte is in a plain word: a letter, the first or the second byte of one, a digit, a sign. Others (0) are
+#: left to the pre-tokenizer, and so are apostrophes, which it may cut off with letters, and what special tokens are written with.
+_LETTERS = np.array([k < 0x250 and chr(k).isalpha() for k in range(0x800)])
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 5
+_KIND[48:58] = 4
+_KIND[:128][_LETTERS[:128]] = 1
+_KIND[0xC2:0xCA], _KIND[0x80:0xC0] = 2, 3
+_KIND[[ord("'"), ord("|")]] = 0
+#: The bytes that the pre-tokenizer keeps together.
+_RUN = np.array([0, 1, 1, 1, 4, 5], np.uint8)[_KIND]
 #: What stands before a word: nothing, a space, a line feed.
 _LEADS = splitmix(3, 23)
 
@@ -93,13 +107,100 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class _Merges:
+    """Byte-pair merging of many words at a time, as the model does it: in each, of the pairs with the lowest rank always the first one."""
+
+    #: Stands for no rank.
+    NONE = (1 << 31) - 1
+
+    def __init__(self, vocab: dict[str, int], merges: list, symbols: dict[int, str]):
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        self.byte = np.zeros(256, np.int64)
+        for b, x in symbols.items():
+            self.byte[b] = vocab[x]
+        self.into = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        keys = self._key(np.array([vocab[a] for a, _ in pairs], np.int64), np.array([vocab[b] for _, b in pairs], np.int64))
+        # As the model reads them: of a pair that is listed twice, the last one counts.
+        last = len(keys) - 1 - np.unique(keys[::-1], return_index=True)[1]
+        self.shift = np.uint64(62 - max(4, len(keys)).bit_length())
+        self.keys, self.ranks = np.zeros(1 << int(64 - self.shift), np.uint64), np.full(1 << int(64 - self.shift), self.NONE, np.int64)
+        for rank, key, at in zip(last.tolist(), keys[last], self._slot(keys[last]).tolist(), strict=True):
+            while self.keys[at]:
+                at = (at + 1) & (len(self.keys) - 1)
+            self.keys[at], self.ranks[at] = key, rank
+
+    @staticmethod
+    def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a << 31) + b + 1).astype(np.uint64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, or NONE."""
+        keys = self._key(a, b)
+        at = self._slot(keys)
+        out = self.ranks[at]
+        there = self.keys[at]
+        left = np.flatnonzero((there != keys) & (there != 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            there = self.keys[at]
+            out[left] = self.ranks[at]
+            on = (there != keys[left]) & (there != 0)
+            left, at = left[on], at[on]
+        return out
+
+    def merge(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids; the words' bytes, none of them empty, stand one after the other."""
+        sym, name, count = self.byte[raw], np.arange(len(size)), np.zeros(len(size), np.int64)
+        last = np.cumsum(size) - 1
+        rank = np.full(len(sym), self.NONE, np.int64)
+        if len(sym) > 1:
+            rank[:-1] = self.rank(sym[:-1], sym[1:])
+        rank[last] = self.NONE
+        names, ids = [], []
+        while len(name):
+            first = np.cumsum(size) - size
+            low = np.minimum.reduceat((rank << 32) + np.arange(len(rank)), first)
+            live = (low >> 32) < self.NONE
+            if not live.all():
+                done = np.repeat(~live, size)
+                count[name[~live]] = size[~live]
+                names.append(np.repeat(name[~live], size[~live]))
+                ids.append(sym[done])
+                low = low[live] - (np.cumsum(np.where(live, 0, size)))[live]
+                sym, rank, name, size = sym[~done], rank[~done], name[live], size[live]
+                first = np.cumsum(size) - size
+            at = low & 0xFFFFFFFF
+            sym[at] = self.into[low >> 32]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            sym, rank = sym[keep], rank[keep]
+            # One symbol has gone from each word.
+            at = at - np.arange(len(at))
+            size = size - 1
+            first = np.cumsum(size) - size
+            rank[at] = self.NONE
+            after, before = at[at + 1 < first + size], at[at > first] - 1
+            both = np.concatenate([after, before])
+            if len(both):
+                rank[both] = self.rank(sym[both], sym[both + 1])
+        if not names:
+            return count, np.zeros(0, np.int64)
+        order = np.argsort(np.concatenate(names), kind="stable")
+        return count, np.concatenate(ids)[order]
+
+
 class _Encoder:
     """encode() of a byte-level BPE, word by word.
 
     A single space, or a single line feed, between two other characters always starts a pre-token of this family of
     tokenizers, so a text whose white space is of these kinds only can be cut there, and each word encoded once: by the
-    tokenizer's own model, after its own pre-tokenizer unless the word is plain. Other texts, and those with special
-    tokens, are encoded whole. Words are told apart by 64-bit hashes.
+    tokenizer's own model, after its own pre-tokenizer unless the word is plain. Short plain words are merged many at a time,
+    if nothing in the tokenizer's file stands against it. Other texts, and those with special tokens, are encoded whole. Words
+    are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str):
@@ -113,8 +214,22 @@ class _Encoder:
         self.latin = {k: "".join(x for x, _ in self.split(chr(k))) for k in range(0x250)}
         self.space = self.latin[32]
         self.signs = {x: [t.id for t in self.model.tokenize(x)] for x in ".,"}
+        self.merges = self._merges(path)
         self.words = _Words()
 
+    def _merges(self, path: str) -> _Merges | None:
+        """None if the model is more than merges of bytes, or may cut plain words otherwise."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        more = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        symbols = {b: x for k, written in self.latin.items() for b, x in zip(chr(k).encode(), written, strict=False)}
+        if not self.cuttable or model.get("type") != "BPE" or any(model.get(x) for x in more) or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            return None
+        if any(x not in model["vocab"] for x in symbols.values()):
+            return None
+        return _Merges(model["vocab"], model["merges"], symbols)
+
     def encode(self, buf: np.ndarray, off: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with `end` behind, and how many each row has."""
         rows = len(off) - 1
@@ -141,8 +256,7 @@ class _Encoder:
             last = np.append(where, off[-1])
             word = used[pick]
             ends = np.where(first[row[word] + 1] == word + 1, off[row[word] + 1], last[word + 1] - 1)
-            raw = buf.tobytes()
-            self.words.add(names, *self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(where[word].tolist(), ends.tolist(), strict=True)], lead[pick].tolist()))
+            self.words.add(names, *self._learn(buf, where[word], ends, lead[pick]))
             at[new] = self.words.find(keys[new])
         count = self.words.count[at]
         odd[row[used[count < 0]]] = True
@@ -182,8 +296,36 @@ class _Encoder:
             odd[np.searchsorted(off, places, "right") - 1] = True
         return odd
 
-    def _learn(self, words: list[str], leads: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and all ids."""
+        easy = _plain(buf, begin, end - begin) if self.merges else np.zeros(len(begin), bool)
+        hard, easy = np.flatnonzero(~easy), np.flatnonzero(easy)
+        sizes = np.zeros(len(begin), np.int64)
+        sizes[hard], others = self._learn_words([buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(begin[hard].tolist(), end[hard].tolist(), strict=True)], lead[hard].tolist())
+        if not len(easy):
+            return sizes.astype(np.int32), others
+        before = lead[easy]
+        first = begin[easy] - (before > 0)
+        size = end[easy] - first
+        raw = buf[_spans(first, size)]
+        # A space goes with what follows, a line feed is a piece of its own, and so is each run of letters, of digits and of signs.
+        kind, first = _RUN[raw], np.cumsum(size) - size
+        kind[first[before == 1]] = kind[first[before == 1] + 1]
+        cut = np.ones(len(raw), bool)
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        cut[first] = True
+        pieces = np.flatnonzero(cut)
+        count, ids = self.merges.merge(raw, np.diff(pieces, append=len(raw)))
+        count = np.add.reduceat(count, np.searchsorted(pieces, first))
+        sizes[easy] = count
+        held = np.maximum(sizes, 0)
+        first = np.cumsum(held) - held
+        flat = np.zeros(int(held.sum()), np.int32)
+        flat[_spans(first[hard], held[hard])] = others
+        flat[_spans(first[easy], count)] = ids
+        return sizes.astype(np.int32), flat
+
+    def _learn_words(self, words: list[str], leads: list[int]) -> tuple[np.ndarray, np.ndarray]:
         tokenize, latin, space, signs = self.model.tokenize, self.latin, self.space, self.signs
         sizes, flat = [], []
         collecting = gc.isenabled()
@@ -213,6 +355,35 @@ class _Encoder:
         return np.array(sizes, np.int32), np.array(flat, np.int32)
 
 
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at first, one run after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _plain(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether words are of 1 to _SHORT bytes, and of letters below U+0250, ASCII digits and signs only."""
+    out = (size > 0) & (size <= _SHORT)
+    some = np.flatnonzero(out)
+    if not len(some):
+        return out
+    size = size[some]
+    raw = buf[_spans(begin[some], size)]
+    first = np.cumsum(size) - size
+    kind = _KIND[raw]
+    good = kind > 0
+    # A letter of two bytes: both stand in one word, and each beside the other.
+    lead, rest = kind == 2, kind == 3
+    opens, closes = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+    opens[first] = closes[first + size - 1] = True
+    good &= ~(lead & closes) & ~(rest & opens)
+    good[1:] &= ~rest[1:] | lead[:-1]
+    good[:-1] &= ~lead[:-1] | rest[1:]
+    at = np.flatnonzero(lead[:-1] & rest[1:])
+    good[at] &= _LETTERS[((raw[at].astype(np.int64) & 31) << 6) | (raw[at + 1] & 63)]
+    out[some] = np.logical_and.reduceat(good, first)
+    return out
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _known:

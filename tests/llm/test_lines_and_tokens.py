@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from tessera.llm import text as T
 from tessera.llm import token_output
@@ -99,6 +100,47 @@ def test_encoder_on_any_white_space(texts):
     assert encoded(ours, texts) == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
 
 
+def test_plain_words_are_merged_together():
+    """Short words of letters, digits and signs do not go to the model one by one, and get the ids of whole encoding."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, ours, rng = Tokenizer.from_file(path), _Encoder(path), random.Random(12)
+    parts = ["a", "the", "Tion", "aaaa", "ing", "É", "é", "ß", "ǅ", "ɏ", "7", "2024", "000", ".", ",", "!!", "$$$", "--", "<", "\\", "_", "x" * 12]
+    odd = ["'", "'s", "'ll", "|", "<|endoftext|>", "²", "×", "ə", "語", "\u0301", "\x7f", "\x01", "\u00ad", "\u00a0", "\ud7ff", "𝒳", "lower" * 20]
+    make = lambda some, n: ["".join(rng.choice(some) for _ in range(rng.randrange(1, 5))) for _ in range(n)]
+
+    class Model:
+        asked = 0
+
+        def tokenize(self, word):
+            Model.asked += 1
+            return plain.model.tokenize(word)
+
+    ours.model = Model()
+    for some in (parts, parts + odd):
+        texts = ["".join(x for w in make(some, 30) for x in (w, rng.choice(" \n")))[:-1] for _ in range(200)]
+        assert encoded(ours, texts) == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert (Model.asked == 0) == (some is parts)
+
+
+def test_merges_of_any_order():
+    """Ranks need not rise with length, a pair may stand twice in a row, and words without merges stay as they are."""
+    rng = random.Random(3)
+    for _ in range(40):
+        vocab, merges = {x: i for i, x in enumerate("abc")}, []
+        for _ in range(12):
+            a, b = rng.choice(list(vocab)), rng.choice(list(vocab))
+            if a + b not in vocab and len(a + b) < 9:
+                vocab[a + b] = len(vocab)
+                merges.append((a, b))
+        rng.shuffle(merges)
+        words = ["".join(rng.choice("abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(1, 14))) for _ in range(60)]
+        model = BPE(vocab, merges)
+        want = [[t.id for t in model.tokenize(w)] for w in words]
+        ours = token_output._Merges(vocab, merges, {ord(x): x for x in "abc"})
+        count, ids = ours.merge(np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w) for w in words]))
+        assert count.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+
+
 def test_token_files_round_trip(spark, tmp_path):
     rows = [(i * 7 % 40, TEXTS[i % len(TEXTS)]) for i in range(40)] + [(40, None), (None, "null id")]
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
