@@ -341,10 +341,11 @@ def _candidates(ws: Workspace, postings: DataFrame, num: int, den: int) -> DataF
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     near = lambda rows: ws.stash(rows.repartitionByRange(parts, "g").sortWithinPartitions("g", "n", "id").mapInArrow(_near(num, den), "u long, v long"), "near")
     lists = postings.select("id", "n", "hist", "g", "pos")
-    # At most one row for each SPREAD postings.
-    big = ws.stash(postings.groupBy("g").count().where(F.col("count") > SPREAD), "big")
-    if big.isEmpty():
+    counts = postings.groupBy("g").count()
+    if (counts.agg(F.max("count")).first()[0] or 0) <= SPREAD:
         return near(lists)
+    # At most one row for each SPREAD postings.
+    big = ws.stash(counts.where(F.col("count") > SPREAD), "big")
     runs = _runs(ws, postings, big)
     last = runs.groupBy("g").agg(F.max("run").alias("last"))
     some = runs.where(F.pmod(F.xxhash64(F.lit(6), "id"), F.ceil(F.col("count") / DELEGATES)) == 0).drop("run")
