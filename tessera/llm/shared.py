@@ -20,6 +20,9 @@ ROWS = 256
 #: Bytes of a batch that goes to a Python worker.
 BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows that a scan decodes together: the arrays of Spark's default, 4,096 texts or lists of ids, are so large that the JVM's heap grows by them.
+READ_ROWS = 512
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -27,6 +30,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
+def bound_reads(spark: SparkSession) -> None:
+    """Bounds the rows that the scans of a session decode together by READ_ROWS: for those who own the session, as above."""
+    spark.conf.set(_READ, str(READ_ROWS))
+
+
 _watching: list[list[Workspace]] = []
 
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 from tessera.llm import text as T
-from tessera.llm import token_output
+from tessera.llm import queries, shared, token_output
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.token_output import _Encoder, encode_documents, read_tokens, token_digest, write_tokens
 
@@ -198,3 +198,16 @@ def test_files_have_small_groups_page_indexes_and_the_encoding(spark, tmp_path,
     got = table.orderBy("part", "start_in_part").collect()
     assert len(got) == 442 and [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda x: (x is not None, x))
     assert sum(r.doc_id == 5 for r in got) == 3 and all(b.part != a.part or b.start_in_part == a.start_in_part + a.n_tokens for a, b in zip(got[:-1], got[1:], strict=True))
+
+
+@pytest.mark.parametrize("name", ["op6_token_output"])
+def test_queries_scan_few_rows_at_a_time(spark, tmp_path, name):
+    """Thousands of texts, or lists of ids, decoded together made the executors' heaps grow."""
+    spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get(shared._READ), spark.conf.get(shared._BATCH)
+    try:
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() == 3000
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    finally:
+        spark.conf.set(shared._READ, before[0])
+        spark.conf.set(shared._BATCH, before[1])
