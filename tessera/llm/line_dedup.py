@@ -52,8 +52,9 @@ class LineRuns:
     """Runs of line hashes, each with the document that keeps the line, in levels of at most fanout - 1 runs.
 
     A run is a table bucketed and sorted by hash, one file a bucket, so that a batch that is dealt by hash meets
-    it in a merge join without dealing or sorting the run again. A run holds the lines that were new with its batch, so no
-    hash is in two runs. When a level has fanout runs, they are merged into one of the next level.
+    it in a merge join without dealing or sorting the run again. A batch is written once, as a run: the lines that were new with it are
+    marked, so no hash counts in two runs, and so are those that repeat. When a level has fanout runs, what was new in them is merged into
+    one of the next level.
     """
 
     def __init__(self, ws: Workspace, fanout: int = 3):
@@ -66,6 +67,9 @@ class LineRuns:
         df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.ws.path(name)).saveAsTable(name)
         return name
 
+    def _new(self, run: str) -> DataFrame:
+        return self.ws.spark.table(run).where("fresh").select("h1", "h2", "keep")
+
     def _drop(self, *names: str) -> None:
         for name in names:
             self.ws.spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -73,21 +77,22 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Takes the next batch, of larger ids than those before; returns (id, drops: positions of the lines to drop)."""
-        spark = self.ws.spark
         state = lines.groupBy("h1", "h2").agg(F.min("id").alias("own"), F.max("id").alias("last"))
         seen = []
         for level in self.levels:
             for run in level:
                 seen.append(f"k{len(seen)}")
-                state = state.join(spark.table(run).select("h1", "h2", F.col("keep").alias(seen[-1])), ["h1", "h2"], "left")
+                state = state.join(self._new(run).withColumnRenamed("keep", seen[-1]), ["h1", "h2"], "left")
         old = F.coalesce(*(F.col(x) for x in seen)) if seen else F.lit(None).cast("long")
-        # One pass over the runs tells both: lines without a match are new and become the run, lines that another document holds repeat.
-        state = self.ws.stash(state.select("h1", "h2", F.coalesce(old, "own").alias("keep"), old.isNull().alias("fresh"), (old.isNotNull() | (F.col("own") < F.col("last"))).alias("repeated")), f"state-{uuid.uuid4().hex}")
-        # Dealt anew on both sides, so that a line that a third of the documents hold can be split.
-        repeated = state.where("repeated").select("h1", "h2", "keep")
+        # One pass over the runs tells both: lines without a match are new, lines that another document holds repeat. The groups are dealt
+        # as the buckets are, so each bucket is written by one task.
+        state = state.select("h1", "h2", F.coalesce(old, "own").alias("keep"), old.isNull().alias("fresh"), (old.isNotNull() | (F.col("own") < F.col("last"))).alias("repeated"))
+        run = self._write(state)
+        # Read without the buckets, so dealt anew on both sides: a line that a third of the documents hold can be split.
+        repeated = self.ws.spark.read.schema(state.schema).parquet(self.ws.path(run)).where("repeated").select("h1", "h2", "keep")
         drops = lines.join(repeated.hint("merge"), ["h1", "h2"]).where("id <> keep").groupBy("id").agg(F.collect_list("pos").alias("drops"))
         drops = self.ws.stash(drops, f"drops-{uuid.uuid4().hex}")
-        self._push(self._write(state.where("fresh").select("h1", "h2", "keep").repartition(self.buckets, "h1", "h2")), 0)
+        self._push(run, 0)
         return drops
 
     def _push(self, run: str, level: int) -> None:
@@ -99,9 +104,9 @@ class LineRuns:
             self.levels[level] = []
             union = None
             for name in old:
-                part = self.ws.spark.table(name)
+                part = self._new(name)
                 union = part if union is None else union.union(part)
-            merged = self._write(union.repartition(self.buckets, "h1", "h2"))
+            merged = self._write(union.withColumn("fresh", F.lit(True)).repartition(self.buckets, "h1", "h2"))
             self._drop(*old)
             self._push(merged, level + 1)
 

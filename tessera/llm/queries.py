@@ -42,7 +42,7 @@ QUERIES = {
     "op4_license_scan": licenses.op4_license_scan,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_output": _small_reads(token_output.op6_token_output),
-    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op7_line_dedup": _small_reads(line_dedup.op7_line_dedup),
     "op8_language_id": language.op8_language_id,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_ngram_join": ngram_join.op10_ngram_join,

@@ -13,7 +13,7 @@ from tokenizers.models import BPE
 
 from tessera.llm import text as T
 from tessera.llm import queries, shared, token_output
-from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.line_dedup import LineRuns, dedup_lines
 from tessera.llm.token_output import _Encoder, encode_documents, read_tokens, token_digest, write_tokens
 
 SCHEMA = "doc_id long, text string, id string, pos string, drops string, part string"
@@ -58,6 +58,33 @@ def test_lines(spark, batches):
     assert sorted((r.id, r.n_lines, r.n_dropped, bytes(r.kept).decode()) for r in got) == brute_lines(ROWS)
 
 
+def test_each_batch_of_lines_is_written_once(spark, monkeypatch):
+    """Its lines are a run at once, one sorted file a bucket, not a table that the run is made of; runs are not dealt or sorted again."""
+    stashed, runs, plans = [], [], []
+    stash, write = shared.Workspace.stash, LineRuns._write
+
+    def watched(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        runs.append(name := write(self, df))
+        files = [f.name for f in Path(self.ws.path(name)).glob("*.parquet")]
+        assert len({f.split("_")[1] for f in files}) == len(files) > 1
+        return name
+
+    monkeypatch.setattr(shared.Workspace, "stash", lambda self, df, name: stashed.append(name.split("-")[0]) or stash(self, df, name))
+    monkeypatch.setattr(LineRuns, "_write", watched)
+    rows = [(i, "\n".join(f"line number {k} of many" for k in range(i, i + 9))) for i in range(0, 90, 3)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = dedup_lines(frame(spark, rows).repartition(3), batches=4).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r.id, r.n_lines, r.n_dropped, bytes(r.kept).decode()) for r in got) == brute_lines(rows)
+    assert stashed == ["lines", "drops", "drops", "drops", "drops"] and len(runs) == 5
+    # The second batch meets the first run: the groups are dealt once, and sorted; the run is neither.
+    assert [plans[1].count(x) for x in ("Exchange hashpartitioning", "SortMergeJoin", "- Sort [")] == [1, 1, 1]
+
+
 def test_lines_empty_null_and_repeated_ids(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
     rows = [(None, "a shared line here"), (1, "a shared line here"), (1, "a shared line here"), (2, "a shared line here")]
@@ -200,7 +227,7 @@ def test_files_have_small_groups_page_indexes_and_the_encoding(spark, tmp_path,
     assert sum(r.doc_id == 5 for r in got) == 3 and all(b.part != a.part or b.start_in_part == a.start_in_part + a.n_tokens for a, b in zip(got[:-1], got[1:], strict=True))
 
 
-@pytest.mark.parametrize("name", ["op6_token_output"])
+@pytest.mark.parametrize("name", ["op6_token_output", "op7_line_dedup"])
 def test_queries_scan_few_rows_at_a_time(spark, tmp_path, name):
     """Thousands of texts, or lists of ids, decoded together made the executors' heaps grow."""
     spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
