@@ -4,9 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.catalog import Layout
 
+#: Bytes of rows that one task sorts, about.
+TASK_BYTES = 128 << 20
+
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks that the rows of df need, at TASK_BYTES each: one pass adds up what a sort holds of them, 8 bytes a field and the lengths of the others."""
+    long = [F.octet_length(F.col(f"`{f.name}`") if isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`").cast("string")) for f in df.schema if not isinstance(f.dataType, _FIXED)]
+    lengths = sum((F.coalesce(x, F.lit(0)).cast("long") + 8 for x in long), F.lit(0).cast("long"))
+    # The record's own head, null bits and its place in the sorted array.
+    row = lengths + 8 * (len(df.columns) + 5)
+    return max(1, -(-(df.agg(F.sum(row)).first()[0] or 0) // TASK_BYTES))
+
 
 def arranged(df: DataFrame, layout: Layout) -> DataFrame:
     """df dealt and sorted as the layout says. Ranges serve pruning; buckets serve joins."""

@@ -1,5 +1,6 @@
 import math
 import random
+import shutil
 from datetime import date, datetime
 from pathlib import Path
 
@@ -14,7 +15,7 @@ from tessera.functions import scalars
 from tessera.models import recovery as rec
 from tessera.operators import placement, ranges, relational
 from tessera.operators.ingest import Store
-from tessera.plans import registry
+from tessera.plans import layouts, registry
 from tessera.sources import columnar, text
 from tessera.streaming.batches import ingest_arrivals
 
@@ -430,3 +431,34 @@ def test_fractured_store_in_the_limits():
                 at_once = t
         assert rec.simulate_fractures(c, 5_000, seed, one) == lost
         assert rec.simulate_fractures(rec.Cluster(racks=2, nodes_per_rack=3, mttf_node=700.0, mttf_rack=4000.0, **fast), 5_000, seed, one) == at_once
+
+
+def copied(tmp_path, *tables):
+    """A data folder of its own: what is written for it is written anew."""
+    for t in tables:
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    return str(tmp_path)
+
+
+def test_only_the_layouts_that_are_asked_for_are_written(spark, tmp_path):
+    sf = copied(tmp_path, "lineitem", "orders")
+    for keys, names in (((), ["l_orderkey"]), (("l_orderkey",), ["l_orderkey"]), (("l_partkey",), ["l_orderkey", "l_partkey"]), (("l_orderkey",), ["l_orderkey", "l_partkey"])):
+        got = layouts.read(spark, sf, "lineitem", join_keys=keys)
+        assert rows_of(got) == rows_of(spark.read.parquet(f"{sf}/lineitem.parquet"))
+        held = Catalog(spark, f"{storage.shared_root(spark)}/layouts-{layouts._short(sf, layouts.buckets(spark, sf))}")
+        (table,) = held.databases[layouts.DATABASE].values()
+        store = Store.open(spark, f"{held.root}/{layouts.DATABASE}/{table.name}")
+        assert [x.name for x in store.layouts] == names and sorted(n for n in storage.names(spark, store.root) if n[0] != "_") == names
+
+
+def test_buckets_grow_with_the_table(spark, tmp_path, monkeypatch):
+    sf = copied(tmp_path, "lineitem", "orders", "customer", "part")
+    assert layouts.buckets(spark, sf) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = rows_of(registry.QUERIES["q18_a"](spark, sf)), rows_of(registry.QUERIES["q17_b"](spark, sf))
+    monkeypatch.setattr(columnar, "TASK_BYTES", 64_000)
+    n = layouts.buckets(spark, sf)
+    assert n == columnar.tasks_for(spark.read.parquet(f"{sf}/lineitem.parquet")) > 8
+    for name, rows in zip(("q18_b", "q17_a"), want, strict=True):
+        got = registry.QUERIES[name](spark, sf)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(got) == rows and "Exchange hashpartitioning" not in plan and f"SelectedBucketsCount: {n} out of {n}" in plan
