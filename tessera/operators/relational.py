@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import storage
+from tessera.sources.columnar import tasks_for
 
 #: Rows up to which a side counts as small.
 SMALL = 100_000
@@ -74,11 +75,11 @@ def missing_keys(facts: DataFrame, key: str, dimension: DataFrame, dimension_key
 
 
 def merge_sorted(inputs: Sequence[DataFrame], partitions: int, *keys: str) -> DataFrame:
-    """The rows of several inputs as one, in order within and across partitions."""
+    """The rows of several inputs as one, in order within and across partitions, which are more if the rows need more tasks."""
     out = inputs[0]
     for x in inputs[1:]:
         out = out.unionByName(x)
-    return out.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    return out.repartitionByRange(max(partitions, tasks_for(out)), *keys).sortWithinPartitions(*keys)
 
 
 def least_used(nodes: DataFrame, used: DataFrame, key: str, n: int = 1) -> DataFrame:

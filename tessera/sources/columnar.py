@@ -24,10 +24,11 @@ def tasks_for(df: DataFrame) -> int:
 
 
 def arranged(df: DataFrame, layout: Layout) -> DataFrame:
-    """df dealt and sorted as the layout says. Ranges serve pruning; buckets serve joins."""
-    if layout.partition_key:
-        deal = df.repartition if layout.bucketed else df.repartitionByRange
-        df = deal(layout.partitions, layout.partition_key)
+    """df dealt and sorted as the layout says. Ranges serve pruning, and are more than the layout's if its rows need more tasks; buckets serve joins."""
+    if layout.partition_key and layout.bucketed:
+        df = df.repartition(layout.partitions, layout.partition_key)
+    elif layout.partition_key:
+        df = df.repartitionByRange(max(layout.partitions, tasks_for(df)), layout.partition_key)
     return df.sortWithinPartitions(layout.sort_key) if layout.sort_key else df
 
 
@@ -49,10 +50,16 @@ def lookup(spark: SparkSession, path: str, key: str, values: list) -> DataFrame:
 
 
 def at_rows(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
-    """n rows of each file under path from its row `start` on, by position; columns are read as far as they are selected."""
-    row = F.col("_metadata.row_index")
+    """n rows of a sorted layout under path from its row `start` on, by position: its files follow each other by name. A row for each file
+    goes to the driver; only files that hold some of the rows are read, and columns as far as they are selected."""
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     rows = spark.read.parquet(path)
-    return rows.where((row >= start) & (row < start + n)).select(*rows.columns)
+    wanted, first = F.lit(False), 0
+    for name, held in sorted(map(tuple, rows.groupBy(file.alias("file")).agg(F.count("*").alias("held")).collect())):
+        if first < start + n and first + held > start:
+            wanted = wanted | ((file == name) & (row >= start - first) & (row < start + n - first))
+        first += held
+    return rows.where(wanted).select(*rows.columns)
 
 
 def zone_map(df: DataFrame, key: str) -> DataFrame:

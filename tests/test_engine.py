@@ -462,3 +462,24 @@ def test_buckets_grow_with_the_table(spark, tmp_path, monkeypatch):
         got = registry.QUERIES[name](spark, sf)
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert rows_of(got) == rows and "Exchange hashpartitioning" not in plan and f"SelectedBucketsCount: {n} out of {n}" in plan
+
+
+def test_sorted_layouts_have_the_tasks_that_their_rows_need(spark, tmp_path, monkeypatch):
+    df = spark.range(3000).selectExpr("(id * 7) % 3000 AS k", "repeat('x', 20) AS s").repartition(3)
+    monkeypatch.setattr(columnar, "TASK_BYTES", 20_000)
+    path = str(tmp_path / "sorted")
+    columnar.write(df, path, Layout("x", "k", 2, sort_key="k"))
+    files = sorted(Path(path).glob("*.parquet"))
+    assert len(files) == columnar.tasks_for(df) > 10 and max(pq.ParquetFile(str(f)).metadata.num_rows for f in files) < 600
+    held = [pq.read_table(str(f))["k"].to_pylist() for f in files]
+    assert [k for x in held for k in x] == list(range(3000))
+    for start, n in ((0, 1), (0, 3000), (len(held[0]) - 1, 2), (1000, 700), (2990, 50), (3000, 5), (7, 0)):
+        assert [r.k for r in columnar.at_rows(spark, path, start, n).orderBy("k").collect()] == list(range(start, min(start + n, 3000)))
+    assert rows_of(columnar.lookup(spark, path, "k", [1, 77, 2999, 5000])) == rows_of(df.where("k IN (1, 77, 2999)"))
+    merged = relational.merge_sorted([df.where("k % 2 = 0"), df.where("k % 2 = 1")], 2, "k")
+    assert merged.rdd.getNumPartitions() == len(files) and [r.k for r in merged.collect()] == list(range(3000))
+
+
+def test_sizes_of_rows_of_all_types(spark):
+    df = spark.sql("SELECT id, CAST(NULL AS STRING) AS n, CAST(repeat('a', 1000) AS BINARY) AS b, array(id, 2) AS a, map('k', id) AS m, named_struct('x', id) AS `s.t`, DATE '2001-01-01' AS d FROM range(200000)")
+    assert columnar.tasks_for(df) == 2 and columnar.tasks_for(df.limit(5)) == 1 and columnar.tasks_for(df.where("id < 0")) == 1
