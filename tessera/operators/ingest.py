@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tessera import storage
 from tessera.catalog import EPOCH, Layout
 from tessera.operators.ranges import Range, design, from_json, overlap, range_id, to_json
-from tessera.sources.columnar import write_bucketed
+from tessera.sources.columnar import tasks_for, write_bucketed
 
 
 @dataclass
@@ -87,20 +87,33 @@ class Store:
     def _note(self, what: str, batch: int, status: str) -> None:
         self.log.append((what, batch, status))
 
-    def _write(self, df: DataFrame, layout: Layout, batch: int) -> None:
-        dealt = df
+    def _dealt(self, df: DataFrame, layout: Layout, tasks: int | None = None) -> DataFrame:
+        """df with its ranges, dealt and sorted for writing: a task for each range, or, if the rows need more, tasks of like size.
+
+        Those are cut in the order of range and sort key, and what is equal in these by a hash, so neither a range nor a value is too large for
+        its tasks; the files of a range, by name, follow each other in its order. tasks: what tasks_for() gives for df, if it is known.
+        """
+        key = [layout.sort_key] if layout.sort_key else []
+        if layout.partition_key:
+            ranges = self.ranges[layout.name]
+            out = df.withColumn("range_id", range_id(F.col(layout.partition_key), ranges))
+            tasks = tasks or tasks_for(df)
+            if tasks == 1:
+                out = out.repartitionById(len(ranges), F.col("range_id"))
+            else:
+                same = F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.AtomicType)))
+                out = out.repartitionByRange(max(tasks, len(ranges)), "range_id", *key, same)
+        else:
+            out = df.withColumn("range_id", F.lit(0))
+        return out.sortWithinPartitions("range_id", *key)
+
+    def _write(self, df: DataFrame, layout: Layout, batch: int, tasks: int | None = None) -> None:
         if layout.bucketed:
             name = f"tessera_{hashlib.sha1(self.path(layout, batch).encode()).hexdigest()}"
             write_bucketed(df, name, self.path(layout, batch), layout)
             self.spark.sql(f"DROP TABLE {name}")  # the files stay
             return
-        if layout.partition_key:
-            ranges = self.ranges[layout.name]
-            dealt = df.withColumn("range_id", range_id(F.col(layout.partition_key), ranges)).repartitionById(len(ranges), F.col("range_id"))
-        else:
-            dealt = df.withColumn("range_id", F.lit(0))
-        dealt = dealt.sortWithinPartitions("range_id", *([layout.sort_key] if layout.sort_key else []))
-        dealt.write.mode("overwrite").option("compression", layout.codec).partitionBy("range_id").parquet(self.path(layout, batch))
+        self._dealt(df, layout, tasks).write.mode("overwrite").option("compression", layout.codec).partitionBy("range_id").parquet(self.path(layout, batch))
 
     def add(self, df: DataFrame, stream: tuple[str, int] | None = None) -> int:
         """Imports a batch into every layout: the first by dealing the rows, the others from it. Returns the batch's number.
@@ -119,9 +132,10 @@ class Store:
                 self.ranges[layout.name] = design(df, layout.partition_key, layout.partitions)
         self.schema = df.schema
         first = self.layouts[0]
-        self._write(df, first, batch)
+        tasks = tasks_for(df) if any(x.partition_key and not x.bucketed for x in self.layouts) else None
+        self._write(df, first, batch, tasks)
         for layout in self.layouts[1:]:
-            self._write(self.read(first, [batch]), layout, batch)
+            self._write(self.read(first, [batch]), layout, batch, tasks)
         self.batches[batch], self.spans[batch] = self.read(first, [batch]).count(), span
         if stream:
             self.streams[stream[0]] = stream[1]
@@ -246,9 +260,7 @@ class Store:
             rows = self.read(source, [batch])
             if layout.partition_key:
                 rows = rows.where(range_id(F.col(layout.partition_key), self.ranges[layout.name]).isin(parts))
-        ranges = self.ranges.get(layout.name, [Range()])
-        key = F.col(layout.partition_key) if layout.partition_key else F.lit(0)
-        dealt = rows.withColumn("range_id", range_id(key, ranges)).repartitionById(len(ranges), F.col("range_id")).sortWithinPartitions("range_id", *([layout.sort_key] if layout.sort_key else []))
+        dealt = self._dealt(rows, layout)
         before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:

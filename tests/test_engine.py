@@ -483,3 +483,53 @@ def test_sorted_layouts_have_the_tasks_that_their_rows_need(spark, tmp_path, mon
 def test_sizes_of_rows_of_all_types(spark):
     df = spark.sql("SELECT id, CAST(NULL AS STRING) AS n, CAST(repeat('a', 1000) AS BINARY) AS b, array(id, 2) AS a, map('k', id) AS m, named_struct('x', id) AS `s.t`, DATE '2001-01-01' AS d FROM range(200000)")
     assert columnar.tasks_for(df) == 2 and columnar.tasks_for(df.limit(5)) == 1 and columnar.tasks_for(df.where("id < 0")) == 1
+
+
+def test_stores_deal_ranges_to_the_tasks_that_their_rows_need(spark, tmp_path, monkeypatch):
+    # Nearly all rows are in one range, and most of them have one value of the sort key, or none.
+    data = [(i, 1000 if i % 50 == 0 else i % 3, None if i % 5 == 0 else i % 7 // 6, f"s{i}") for i in range(4000)]
+    df = spark.createDataFrame(data, "k long, p int, d int, s string").repartition(3)
+    a, b, c, d = Layout("a", "p", 4, sort_key="d"), Layout("b", "p", 4, sort_key="s", codec="gzip"), Layout("c", "k", 3, sort_key="d"), Layout("d", None, sort_key="k")
+    monkeypatch.setattr(columnar, "TASK_BYTES", 20_000)
+
+    def check(store, layout, batch, rows):
+        folders = sorted(Path(store.path(layout, batch)).glob("range_id=*")) or [Path(store.path(layout, batch))]
+        most = 0
+        for folder in folders:
+            files = [pq.read_table(str(f), partitioning=None) for f in sorted(folder.glob("*.parquet"))]
+            most = max([most, *(f.num_rows for f in files)])
+            order = [(x is not None, x) for f in files for x in f[layout.sort_key].to_pylist()]
+            # Nulls first, as Spark sorts.
+            assert layout.partition_key is None or order == sorted(order, key=lambda x: (x[0], x[1] or type(x[1])()) if x[0] else (False,))
+        assert most < rows / 4
+
+    store = Store(spark, str(tmp_path / "t"), [a, b, c])
+    assert [store.add(df.where("k < 2000")), store.add(df.where("k >= 2000"))] == [0, 1]
+    for layout in (a, b, c):
+        assert rows_of(store.read(layout)) == rows_of(df)
+        for batch in (0, 1):
+            check(store, layout, batch, 2000)
+    other = Layout("e", "k", 5, sort_key="s")
+    store.rewrite(a, other)
+    store.rewrite(a, d)
+    check(store, other, 0, 2000)
+    assert store.merge([0, 1]) == 2
+    for layout in (a, b, c, other, d):
+        assert rows_of(store.read(layout)) == rows_of(df)
+    for layout in (a, b, c, other):
+        check(store, layout, 2, 4000)
+    for source in (b, c):
+        storage.delete(spark, store.path(a, 2, 1))
+        assert store.lost(a, 2) == [1] and store.rebuild(a, 2, source) == [1] and rows_of(store.read(a)) == rows_of(df)
+        check(store, a, 2, 4000)
+    storage.delete(spark, store.path(d, 2, 0))
+    assert store.rebuild(d, 2) == [0] and rows_of(store.read(d)) == rows_of(df)
+
+
+@pytest.mark.parametrize("name", ["m11_merge_batches"])
+def test_no_task_writes_a_whole_range_of_a_large_table(spark, name, monkeypatch):
+    monkeypatch.setattr(columnar, "TASK_BYTES", 32_000)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rows_of(got) == rows_of(lines)
+    assert got.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 2 * lines.count() / columnar.tasks_for(lines)
