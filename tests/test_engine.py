@@ -526,7 +526,7 @@ def test_stores_deal_ranges_to_the_tasks_that_their_rows_need(spark, tmp_path, m
     assert store.rebuild(d, 2) == [0] and rows_of(store.read(d)) == rows_of(df)
 
 
-@pytest.mark.parametrize("name", ["m11_merge_batches", "m06_import", "m07_rewrite", "m12_rebuild_same_ranges"])
+@pytest.mark.parametrize("name", ["m11_merge_batches", "m06_import", "m07_rewrite", "m12_rebuild_same_ranges", "m13_rebuild_other_ranges"])
 def test_no_task_writes_a_whole_range_of_a_large_table(spark, name, monkeypatch):
     monkeypatch.setattr(columnar, "TASK_BYTES", 32_000)
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
